@@ -2,7 +2,8 @@
 
 A raw-content zstandard dictionary is filled with sample texts of each language. A text is cut into
 blocks, every block is compressed once with each dictionary, and the language with the smallest sum
-wins. The score is how much smaller it is than the runner-up; narrow margins are rejected.
+wins. The score is how much smaller it is than the runner-up; narrow margins are rejected. Only
+letters count: case is folded, and whatever stands between words becomes one space.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,11 +23,19 @@ DICT_BYTES = 1 << 17
 SAMPLE_ROWS = 400
 #: Bytes compressed at once: short enough for the dictionary to count, in long texts too.
 BLOCK = 2048
-LEVEL = 3
+#: zstandard's level, and its level for texts of one block, whose sizes differ by few bytes.
+LEVEL, SHORT_LEVEL = 3, 17
 #: Below this share of the runner-up's size, a margin is narrow.
 MARGIN = 0.01
 #: The code for texts that have no language.
 NONE = "und"
+_LETTER = regex.compile(r"\p{L}")
+_OTHER = regex.compile(r"[^\p{L}]+")
+
+
+def letters(text: str) -> bytes:
+    """The letters of a text in lower case, one space for each run of anything else."""
+    return _OTHER.sub(" ", text).lower().encode("utf-8", "replace")
 
 
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", key: str = "doc_id") -> dict[str, bytes]:
@@ -46,8 +56,8 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", key
     out: dict[str, list] = {lang: [] for lang in sorted(counts)}
     for r in drawn.select("lang", "h", F.substring("text", 1, DICT_BYTES // 16).alias("text")).collect():
         out[r["lang"]].append((r["h"], r["text"]))
-    joined = {lang: "\n".join(t for _, t in sorted(x)).lower() for lang, x in out.items()}
-    return {lang: joined[lang].encode("utf-8", "replace")[:DICT_BYTES] for lang in sorted(joined, key=lambda x: (-counts[x], x))}
+    order = sorted(out, key=lambda x: (-counts[x], x))
+    return {lang: letters(" ".join(t for _, t in sorted(out[lang])))[:DICT_BYTES] for lang in order}
 
 
 def classify(df: DataFrame, model: dict[str, bytes], text_col: str = "text", margin: float = MARGIN) -> DataFrame:
@@ -65,25 +75,27 @@ def classify(df: DataFrame, model: dict[str, bytes], text_col: str = "text", mar
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard as z
 
-        coders = []
-        for lang, data in model_b.value.items():
+        def coder(data: bytes, level: int):
             d = z.ZstdCompressionDict(data, dict_type=z.DICT_TYPE_RAWCONTENT)
-            d.precompute_compress(level=LEVEL)
-            params = z.ZstdCompressionParameters.from_level(LEVEL, write_content_size=False, write_dict_id=False)
-            coders.append((lang, z.ZstdCompressor(dict_data=d, compression_params=params).compress))
+            d.precompute_compress(level=level)
+            params = z.ZstdCompressionParameters.from_level(level, write_content_size=False, write_dict_id=False)
+            return z.ZstdCompressor(dict_data=d, compression_params=params).compress
+
+        langs = list(model_b.value)
+        coders = {level: [coder(model_b.value[x], level) for x in langs] for level in (LEVEL, SHORT_LEVEL)}
 
         def one(text: str | None) -> tuple[str, float, bool]:
-            if not coders or text is None or not any(map(str.isalpha, text)):
+            if not langs or text is None or not _LETTER.search(text):
                 return NONE, 0.0, True
-            data = text.lower().encode("utf-8", "replace")
+            data = letters(text)
             # blocks of equal length, the last one not a stump
             n = max(1, round(len(data) / BLOCK))
             cuts = [len(data) * k // n for k in range(n + 1)]
             blocks = [data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
-            sizes = sorted((sum([len(c(b)) for b in blocks]), k) for k, (_, c) in enumerate(coders))
+            sizes = sorted((sum([len(c(b)) for b in blocks]), k) for k, c in enumerate(coders[SHORT_LEVEL if n == 1 else LEVEL]))
             best, least = sizes[0][1], sizes[0][0]
             gap = 1 - least / sizes[1][0] if len(sizes) > 1 else 1.0
-            return coders[best][0], gap, gap < margin
+            return langs[best], gap, gap < margin
 
         for batch in batches:
             out = [one(t) for t in batch.column(text_col).to_pylist()]
