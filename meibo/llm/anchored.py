@@ -12,7 +12,7 @@ from __future__ import annotations
 import numpy as np
 
 #: Window starts looked at in one go; longer texts are cut into pieces of pieces, which changes no result.
-STARTS = 1 << 20
+STARTS = 1 << 17
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -23,6 +23,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+#: A number for each byte, and odd multipliers, one for each doubling.
+_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _MIX)
+_STEPS = mix(np.arange(300, 364, dtype=np.uint64) * _MIX) | np.uint64(1)
+
+
 def gram_hashes(symbols: np.ndarray, k: int) -> np.ndarray:
     """The hash of every run of ``k`` symbols (uint8 or uint64), built from runs of half the length.
 
@@ -30,30 +35,31 @@ def gram_hashes(symbols: np.ndarray, k: int) -> np.ndarray:
     """
     if len(symbols) < k:
         return np.zeros(0, dtype=np.uint64)
-    h, span = mix(symbols.astype(np.uint64) + np.uint64(1)), 1
+    h, span, step = _BYTE[symbols] if symbols.dtype == np.uint8 else symbols, 1, 0
     while span < k:
         d = min(span, k - span)
-        h = mix(h[:-d] * _MIX + h[d:])
-        span += d
-    return h
+        left = h[:-d] * _STEPS[step]
+        left += h[d:]
+        h, span, step = left, span + d, step + 1
+    return mix(h)
 
 
 def window_anchors(g: np.ndarray, width: int) -> np.ndarray:
     """For every ``width`` neighbouring hashes, where the smallest stands, rightmost on ties."""
-    at, low, span = np.arange(len(g), dtype=np.int64), g, 1
+    at, low, span = np.arange(len(g), dtype=np.int32), g, 1
 
     def merge(d: int) -> None:
         nonlocal at, low
         right = low[d:] <= low[:-d]
         at = np.where(right, at[d:], at[:-d])
-        low = np.where(right, low[d:], low[:-d])
+        low = np.minimum(low[d:], low[:-d])
 
     while 2 * span <= width:
         merge(span)
         span *= 2
     if span < width:
         merge(width - span)
-    return at
+    return at.astype(np.int64)
 
 
 def pieces(symbols: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
