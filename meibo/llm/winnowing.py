@@ -30,7 +30,7 @@ def gram_hashes(words: Column, k: int = K) -> Column:
 
 
 def selected(hashes: Column, w: int = W) -> Column:
-    """(position, hash) of every window's smallest hash, rightmost on ties, each position once.
+    """struct<pos, hash>: two arrays, of every window's smallest hash, rightmost on ties, each position once.
 
     Fewer than ``w`` hashes make one window. Positions count grams from 0.
     """
@@ -44,20 +44,20 @@ def selected(hashes: Column, w: int = W) -> Column:
             return i + let(F.reverse(F.slice(h, i + 1, w)), right)
 
         picked = F.array_distinct(F.transform(F.sequence(F.lit(0), last), pick))
-        return F.transform(picked, lambda p: F.struct(p.alias("pos"), F.get(h, p).alias("hash")))
+        return let(picked, lambda p: F.struct(p.alias("pos"), F.transform(p, lambda i: F.get(h, i)).alias("hash")))
 
-    none = F.array().cast("array<struct<pos:int,hash:bigint>>")
+    none = F.struct(F.array().cast("array<int>").alias("pos"), F.array().cast("array<bigint>").alias("hash"))
     return let(hashes, lambda h: F.when(F.size(h) > 0, of(h)).otherwise(none))
 
 
 def fingerprint(text: Column, k: int = K, w: int = W) -> Column:
-    """array<struct<pos, hash>> of a text; empty for a text without words."""
+    """struct<pos, hash> of a text, two arrays; empty ones for a text without words."""
     return let(words_of(text), lambda x: selected(gram_hashes(x, k), w))
 
 
 def shown(marks: Column) -> Column:
     """A fingerprint as text: position and hash in hex, joined by commas."""
-    return F.array_join(F.transform(marks, lambda m: F.concat(m["pos"].cast("string"), F.lit(":"), F.hex(m["hash"]))), ",")
+    return F.array_join(F.zip_with(marks["pos"], marks["hash"], lambda p, h: F.concat(p.cast("string"), F.lit(":"), F.hex(h))), ",")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -67,12 +67,11 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(every == 0, F.lit(1.0)).otherwise(same / every)
 
 
-def with_next(df: DataFrame, key: str, order_by: str, carried: list[str]) -> DataFrame:
-    """``df`` with ``next``: a struct of ``carried`` of the row with the next higher ``key``; of the last row, the first's.
+def with_neighbours(df: DataFrame, key: str, order_by: str) -> DataFrame:
+    """``df`` with ``_g`` and ``_extra``: groups of neighbouring keys, each with a copy of the row that opens the next.
 
-    Rows are put in groups of neighbouring keys, and each group gets a copy of the row that opens the
-    next one; so one shuffle brings all pairs together and no window holds more than a group. A null
-    key comes before all; rows of equal keys follow each other by ``order_by``.
+    The last group gets the very first row, so within a group every row that is not extra is followed
+    by its next row. No group holds more than ``NEIGHBOURS`` keys, nor any window all groups.
     """
     place = F.coalesce(F.col(key), F.lit(-(1 << 62)))
     rows = df.withColumns({"_g": F.floor(place / NEIGHBOURS), "_extra": F.lit(0)})
@@ -86,33 +85,43 @@ def with_next(df: DataFrame, key: str, order_by: str, carried: list[str]) -> Dat
     follow = ids.withColumn("_next", following).join(tops, "_t")
     follow = follow.select("_g", F.coalesce("_next", "_after", F.lit(lowest)).alias("_next"))
     extra = follow.join(heads.select(F.col("_g").alias("_next"), "row"), "_next")
-    extra = extra.select("row.*", "_g", F.lit(1).alias("_extra"))
-    order = Window.partitionBy("_g").orderBy("_extra", F.col(key).asc_nulls_first(), order_by)
-    paired = rows.unionByName(extra).withColumn("next", F.lead(F.struct(*carried)).over(order))
-    return paired.where("_extra = 0").drop("_g", "_extra")
+    return rows.unionByName(extra.select("row.*", "_g", F.lit(1).alias("_extra")))
 
 
-def op3_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fingerprints of every document and of its edited text, and how alike they are."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", text_of().alias("text"))
-    marked = docs.withColumn("marks", fingerprint(F.col("text")))
-    paired = with_next(marked, "doc_id", "text", ["text", "marks"])
+def compared_with_next(df: DataFrame, key: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Fingerprints of every text and of its edited text, which ends with the start of the next text.
+
+    Returns key, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next. The
+    next row is the one of the next higher key; the last row's is the first. A null text is empty, a
+    null key comes before all, and rows of equal keys follow each other by text. A single row is its
+    own next. Empty fingerprints are alike.
+    """
+    docs = df.select(F.col(key).alias("id"), text_of(text_col).alias("text"))
+    marked = with_neighbours(docs, "id", "text").withColumn("marks", fingerprint(F.col("text")))
+    order = Window.partitionBy("_g").orderBy("_extra", F.col("id").asc_nulls_first(), "text")
+    following = F.struct("text", F.col("marks")["hash"].alias("hash"))
+    paired = marked.withColumn("next", F.lead(following).over(order)).where("_extra = 0")
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next.text"), F.lit(1), half))
-    hashes = lambda m: F.array_distinct(F.col(m)["hash"])
     out = paired.withColumns({"edited": edited, "n_chars": n.cast("long")}).withColumns(
         {"edited_sha256": F.sha2("edited", 256), "edited_marks": fingerprint(F.col("edited"))}
     )
+    hashes = lambda c: F.array_distinct(F.col(c))
     return out.select(
-        "doc_id",
+        F.col("id").alias(key),
         "n_chars",
         "edited_sha256",
         shown(F.col("marks")).alias("fingerprint"),
         shown(F.col("edited_marks")).alias("edited_fingerprint"),
-        likeness(hashes("marks"), hashes("edited_marks")).alias("near_edited"),
-        likeness(hashes("marks"), hashes("next.marks")).alias("near_next"),
+        likeness(hashes("marks.hash"), hashes("edited_marks.hash")).alias("near_edited"),
+        likeness(hashes("marks.hash"), hashes("next.hash")).alias("near_next"),
     )
 
 
+def op3_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and how alike they are."""
+    return compared_with_next(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {"op3_winnowing": op3_winnowing}
