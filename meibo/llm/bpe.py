@@ -29,7 +29,7 @@ WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|
 #: Most words in the broadcast table (about 30 bytes each).
 TABLE_WORDS = 200_000
 #: Most rare words that a task keeps at once.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 200_000
 
 
 def default_tokenizer() -> str:
@@ -144,53 +144,90 @@ def word_table(docs: DataFrame, path: str, text_col: str = "text", table_words:
     return dict(zip(hot.column("word").to_pylist(), map(tuple, hot.column("ids").to_pylist()), strict=True))
 
 
-def encode_column(
-    df: DataFrame, path: str | None = None, text_col: str = "text", table_words: int = TABLE_WORDS, digests: bool = False
-) -> DataFrame:
+class _Encoder:
+    """Looks words up in the broadcast table, else in the rare words of this task, else encodes them once.
+
+    ``make(ids)`` is what is kept for a word, so that work on its ids is done once as well.
+    """
+
+    def __init__(self, path: str, known: dict[str, tuple[int, ...]], make) -> None:
+        self.split, self.tokenizer, self.known, self.make, self.kept = _splitter(path), _tokenizer(path), known, make, {}
+
+    def __call__(self, text: str) -> list:
+        words = self.split(text)
+        get = self.kept.get
+        found = [get(w) for w in words]
+        if None in found:
+            new = dict.fromkeys(w for w, x in zip(words, found, strict=True) if x is None)
+            rare = [w for w in new if w not in self.known]
+            coded = self.tokenizer.encode_batch(rare, add_special_tokens=False)
+            ids = {w: tuple(e.ids) for w, e in zip(rare, coded, strict=True)}
+            fresh = {w: self.make(ids[w] if w in ids else self.known[w]) for w in new}
+            found = [fresh[w] if x is None else x for w, x in zip(words, found, strict=True)]
+            if len(self.kept) + len(fresh) > KEPT_WORDS:
+                self.kept.clear()
+            if len(fresh) <= KEPT_WORDS:
+                self.kept.update(fresh)
+        return found
+
+
+def _mapped(df: DataFrame, text_col: str, names: tuple[str, ...], types: str, carried: list[str], start) -> DataFrame:
+    """``carried`` and, by ``start() -> (text -> values)``, the new columns ``names``; one text is held at a time."""
+    fields = [f for f in df.schema.fields if f.name in carried]
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + [types])
+    kinds = {"n_tokens": pa.int64(), "ids": pa.list_(pa.int32())}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one = start()
+        for batch in batches:
+            for low in range(0, batch.num_rows, 1024):
+                part = batch.slice(low, 1024)
+                rows = [one(x or "") for x in part.column(text_col).to_pylist()]
+                new = [pa.array(list(x), kinds.get(n, pa.string())) for n, x in zip(names, zip(*rows, strict=True), strict=True)]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carried), *new], [*carried, *names])
+
+    return df.select(*dict.fromkeys([*carried, text_col])).mapInArrow(run, schema)
+
+
+def encode_column(df: DataFrame, path: str | None = None, text_col: str = "text", table_words: int = TABLE_WORDS) -> DataFrame:
     """``df`` with ``ids`` (array<int>) in place of any column of that name; a null text counts as empty.
 
-    With ``digests`` the ids are not kept: ``n_tokens``, ``ids_sha256`` and ``decoded_sha256`` (of the
-    text decoded from the ids) take their place. Repeated rows get equal ids; an empty table gives
-    an empty one; texts of any length are encoded whole.
+    Repeated rows get equal ids; an empty table gives an empty one; texts of any length are encoded whole.
     """
     path = path or default_tokenizer()
     hot = df.sparkSession.sparkContext.broadcast(word_table(df, path, text_col, table_words))
-    names = ("n_tokens", "ids_sha256", "decoded_sha256") if digests else ("ids",)
-    kept = [c for c in df.columns if c not in names]
-    carried = [c for c in kept if c != text_col] if digests else kept
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name in carried)
-    schema += ", n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else ", ids array<int>"
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, t, known, rare = _splitter(path), _tokenizer(path), hot.value, {}
-        piece = pieces(path) if digests else []
-
-        def ids_of(text: str) -> list[int]:
-            words = split(text)
-            found = [known.get(w) or rare.get(w) for w in words]
-            if None in found:
-                new = list(dict.fromkeys(w for w, x in zip(words, found, strict=True) if x is None))
-                if len(rare) > KEPT_WORDS:
-                    rare.clear()
-                fresh = {w: tuple(e.ids) for w, e in zip(new, t.encode_batch(new, add_special_tokens=False), strict=True)}
-                rare.update(fresh)
-                found = [fresh[w] if x is None else x for w, x in zip(words, found, strict=True)]
-            return [i for x in found for i in x]
+    def start():
+        encoder = _Encoder(path, hot.value, tuple)
+        return lambda text: ([i for x in encoder(text) for i in x],)
 
-        for batch in batches:
-            all_ids = [ids_of(x or "") for x in batch.column(text_col).to_pylist()]
-            own = [batch.column(c) for c in carried]
-            if digests:
-                new = [
-                    pa.array([len(x) for x in all_ids], pa.int64()),
-                    pa.array([hashlib.sha256(",".join(map(str, x)).encode()).hexdigest() for x in all_ids]),
-                    pa.array([hashlib.sha256(decode_ids(x, piece).encode()).hexdigest() for x in all_ids]),
-                ]
-            else:
-                new = [pa.array(all_ids, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays([*own, *new], [*carried, *names])
+    return _mapped(df, text_col, ("ids",), "ids array<int>", [c for c in df.columns if c != "ids"], start)
+
+
+def round_trip(df: DataFrame, path: str | None = None, text_col: str = "text", table_words: int = TABLE_WORDS) -> DataFrame:
+    """``df`` without its text, with ``n_tokens`` and the digests of its ids and of the text decoded from them.
+
+    Each word's ids are written out and joined to their pieces once, then joined by position like the
+    ids themselves.
+    """
+    path = path or default_tokenizer()
+    hot = df.sparkSession.sparkContext.broadcast(word_table(df, path, text_col, table_words))
+    names = ("n_tokens", "ids_sha256", "decoded_sha256")
+
+    def start():
+        piece = pieces(path)
+        encoder = _Encoder(path, hot.value, lambda ids: (len(ids), ",".join(map(str, ids)), b"".join([piece[i] for i in ids])))
+
+        def one(text: str) -> tuple[int, str, str]:
+            found = encoder(text)
+            decoded = b"".join([x[2] for x in found]).decode("utf-8", "replace")
+            ids = ",".join([x[1] for x in found]).encode()
+            return sum([x[0] for x in found]), hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
+
+        return one
 
-    return df.select(*kept).mapInArrow(encode, schema)
+    carried = [c for c in df.columns if c not in (*names, text_col)]
+    return _mapped(df, text_col, names, "n_tokens long, ids_sha256 string, decoded_sha256 string", carried, start)
 
 
 def decode_ids(ids: list[int], piece: list[bytes]) -> str:
@@ -215,7 +252,7 @@ def decode_column(df: DataFrame, path: str | None = None, ids_col: str = "ids")
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded again."""
-    return encode_column(table(spark, sf_dir, "documents").select("doc_id", "text"), digests=True)
+    return round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 QUERIES = {"op6_bpe": op6_bpe}
