@@ -20,7 +20,7 @@ from meibo.llm.anchored import batched
 from meibo.llm.common import cut
 
 #: Pieces of an anchor from which on its windows are compared by key, dealt evenly, not in one task.
-HOT = 128
+HOT = 1024
 #: Symbols that a task compares at once.
 BLOCK = 1 << 21
 _RUNS = "r1 long, r2 long, start long, n long"
