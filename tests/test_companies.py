@@ -116,3 +116,14 @@ def test_entry_and_queries_have_equal_names():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_names():
+    from meibo.functions.names import inspect_name
+
+    cases = {
+        "": "none", "　": "none", None: "none", "ご挨拶": "delete", "氏名 山田 太郎": "update", "山田 太郎 様": "update", "代表取締役 山田太郎": "update",
+        "ジョン・スミス": "none", "山田 太郎・鈴木 一郎": "none", "名古屋市": "delete", "株式会社山田": "delete", "山田　太郎": "none", "代表取締役": "delete",
+    }
+    assert {v: inspect_name(v)[0] for v in cases} == cases
+    assert inspect_name("代表取締役 山田太郎")[1] == "山田太郎" and inspect_name("山田 太郎 様")[1] == "山田 太郎"
