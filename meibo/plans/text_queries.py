@@ -43,37 +43,37 @@ _D2 = "regexp_matches(permit_number, '[0-9]{2}\\s*[-－ー―]\\s*ユ\\s*[-－
 URL = "CASE WHEN trim(coalesce(website_url, '')) = '' THEN NULL WHEN regexp_matches(website_url, '(?i)^https?://') THEN website_url ELSE 'https://' || website_url END"
 
 _QUERIES = {
-    "normalize_digits": (x.digits(x.col("zipcode")), _DIGITS("coalesce(zipcode, '')")),
-    "normalize_space": (x.space("representative_name"), "trim(regexp_replace(coalesce(representative_name, ''), '[\\s　]{2,}', ' ', 'g'))"),
-    "normalize_nullable_text": (x.nullable("company"), "nullif(trim(coalesce(company, ''), ' 　'), '')"),
-    "format_japanese_phone": (x.format_phone("phone"), format_sql("coalesce(phone, '')")),
-    "normalize_phone": (x.phone("phone"), PHONE),
-    "is_representative_phone": (x.landline("phone"), "regexp_matches(regexp_replace(coalesce(phone, ''), '[^0-9]', '', 'g'), '^0[0-9]{9,10}$') AND NOT regexp_matches(regexp_replace(coalesce(phone, ''), '[^0-9]', '', 'g'), '^(070|080|090|050|020|0120|0570|0800)')"),
-    "normalize_representative_phone": (x.representative_phone("phone"), f"CASE WHEN NOT regexp_matches(replace({PHONE}, '-', ''), '^(070|080|090|050|020|0120|0570|0800)') THEN {PHONE} END"),
-    "weak_phone_context": (x.weak_phone_context("memo"), "trim(coalesce(memo, '')) = '' OR regexp_matches(memo, '採用|店舗')"),
-    "normalize_fax": (x.fax("fax"), FAX),
-    "normalize_zipcode": (x.zipcode("zipcode"), ZIP),
-    "normalize_email": (x.email("email"), EMAIL),
-    "normalize_established": (x.established("established_date"), ESTABLISHED),
-    "normalize_capital": (x.capital("capital"), CAPITAL),
-    "normalize_employee_count": (x.employee_count("employee_count"), f"CASE WHEN {o.EMPLOYEES} IS NOT NULL THEN regexp_replace(format('{{:,}}', cast({o.EMPLOYEES} AS bigint)), ' ', '') || '名' END"),
-    "normalize_business_content": (x.business_content("business_content"), "CASE WHEN length(business_content) >= 8 AND regexp_matches(business_content, '販売|施工|運営|製造|介護') THEN business_content END"),
-    "permit_category": (x.permit_category("permit_number"), f"CASE WHEN {_D1} AND {_D2} THEN '労働者派遣・有料職業紹介' WHEN {_D1} THEN '労働者派遣' WHEN {_D2} THEN '有料職業紹介' END"),
-    "clean_company_name": (x.company_name(F.concat(F.lit("ホーム | "), x.col("company"), F.lit("｜会社概要"))), "nullif(trim(coalesce(company, ''), ' 　'), '')"),
-    "company_name_from_text": (x.company_name_in(F.concat(F.lit("運営: "), x.col("company"), F.lit(" です"))), "CASE WHEN company LIKE '株式会社%' THEN company END"),
-    "is_likely_company_name": (x.likely_company_name("company"), "coalesce(company, '') <> ''"),
-    "normalize_seed_url": (x.seed_url("website_url"), URL),
-    "url_without_hash": (x.without_hash("website_url"), "regexp_replace(coalesce(website_url, ''), '#.*$', '')"),
-    "url_scheme_variants": (F.array_join(x.url_variants("website_url"), " "), f"'https://' || regexp_replace({URL}, '^https?://', '') || ' http://' || regexp_replace({URL}, '^https?://', '')"),
-    "contact_number_key": (x.contact_key(F.concat(F.lit("+81 "), F.substring(x.col("phone"), 2, 20))), f"CASE WHEN length(regexp_replace({_DIGITS("'81' || substr(coalesce(phone, ''), 2, 20)")}, '[^0-9]', '', 'g')) >= 11 THEN '0' || substr(regexp_replace({_DIGITS("'81' || substr(coalesce(phone, ''), 2, 20)")}, '[^0-9]', '', 'g'), 3) ELSE regexp_replace({_DIGITS("'81' || substr(coalesce(phone, ''), 2, 20)")}, '[^0-9]', '', 'g') END"),
-    "contact_number_candidate": (x.contact_candidate("fax"), o.first(_DIGITS("coalesce(fax, '')"), "0[0-9]{1,4}-?[0-9]{1,4}-?[0-9]{3,4}", 0)),
-    "split_contact_candidates": (F.array_join(x.contact_candidates(F.concat(F.coalesce("phone", F.lit("03-0000-0000")), F.lit(" ; "), F.coalesce("fax", F.lit("0451112222")), F.lit("；"), F.coalesce("phone", F.lit("03-0000-0000")))), "/"), "coalesce(phone, '03-0000-0000') || '/' || coalesce(fax, '0451112222')"),
-    "strip_corporate_words": (x.strip_corporate("company"), "trim(replace(coalesce(company, ''), '株式会社', ''), ' 　')"),
-    "compare_key": (x.compare_key("zipcode"), "replace(translate(coalesce(zipcode, ''), '０１２３４５６７８９－', '0123456789-'), ' ', '')"),
-    "email_from_text": (x.email(F.concat(F.lit("お問合せ "), x.col("email"), F.lit(" 担当"))), EMAIL),
+    "normalize_digits": (lambda: x.digits(x.col("zipcode")), _DIGITS("coalesce(zipcode, '')")),
+    "normalize_space": (lambda: x.space("representative_name"), "trim(regexp_replace(coalesce(representative_name, ''), '[\\s　]{2,}', ' ', 'g'))"),
+    "normalize_nullable_text": (lambda: x.nullable("company"), "nullif(trim(coalesce(company, ''), ' 　'), '')"),
+    "format_japanese_phone": (lambda: x.format_phone("phone"), format_sql("coalesce(phone, '')")),
+    "normalize_phone": (lambda: x.phone("phone"), PHONE),
+    "is_representative_phone": (lambda: x.landline("phone"), "regexp_matches(regexp_replace(coalesce(phone, ''), '[^0-9]', '', 'g'), '^0[0-9]{9,10}$') AND NOT regexp_matches(regexp_replace(coalesce(phone, ''), '[^0-9]', '', 'g'), '^(070|080|090|050|020|0120|0570|0800)')"),
+    "normalize_representative_phone": (lambda: x.representative_phone("phone"), f"CASE WHEN NOT regexp_matches(replace({PHONE}, '-', ''), '^(070|080|090|050|020|0120|0570|0800)') THEN {PHONE} END"),
+    "weak_phone_context": (lambda: x.weak_phone_context("memo"), "trim(coalesce(memo, '')) = '' OR regexp_matches(memo, '採用|店舗')"),
+    "normalize_fax": (lambda: x.fax("fax"), FAX),
+    "normalize_zipcode": (lambda: x.zipcode("zipcode"), ZIP),
+    "normalize_email": (lambda: x.email("email"), EMAIL),
+    "normalize_established": (lambda: x.established("established_date"), ESTABLISHED),
+    "normalize_capital": (lambda: x.capital("capital"), CAPITAL),
+    "normalize_employee_count": (lambda: x.employee_count("employee_count"), f"CASE WHEN {o.EMPLOYEES} IS NOT NULL THEN regexp_replace(format('{{:,}}', cast({o.EMPLOYEES} AS bigint)), ' ', '') || '名' END"),
+    "normalize_business_content": (lambda: x.business_content("business_content"), "CASE WHEN length(business_content) >= 8 AND regexp_matches(business_content, '販売|施工|運営|製造|介護') THEN business_content END"),
+    "permit_category": (lambda: x.permit_category("permit_number"), f"CASE WHEN {_D1} AND {_D2} THEN '労働者派遣・有料職業紹介' WHEN {_D1} THEN '労働者派遣' WHEN {_D2} THEN '有料職業紹介' END"),
+    "clean_company_name": (lambda: x.company_name(F.concat(F.lit("ホーム | "), x.col("company"), F.lit("｜会社概要"))), "nullif(trim(coalesce(company, ''), ' 　'), '')"),
+    "company_name_from_text": (lambda: x.company_name_in(F.concat(F.lit("運営: "), x.col("company"), F.lit(" です"))), "CASE WHEN company LIKE '株式会社%' THEN company END"),
+    "is_likely_company_name": (lambda: x.likely_company_name("company"), "coalesce(company, '') <> ''"),
+    "normalize_seed_url": (lambda: x.seed_url("website_url"), URL),
+    "url_without_hash": (lambda: x.without_hash("website_url"), "regexp_replace(coalesce(website_url, ''), '#.*$', '')"),
+    "url_scheme_variants": (lambda: F.array_join(x.url_variants("website_url"), " "), f"'https://' || regexp_replace({URL}, '^https?://', '') || ' http://' || regexp_replace({URL}, '^https?://', '')"),
+    "contact_number_key": (lambda: x.contact_key(F.concat(F.lit("+81 "), F.substring(x.col("phone"), 2, 20))), f"CASE WHEN length(regexp_replace({_DIGITS("'81' || substr(coalesce(phone, ''), 2, 20)")}, '[^0-9]', '', 'g')) >= 11 THEN '0' || substr(regexp_replace({_DIGITS("'81' || substr(coalesce(phone, ''), 2, 20)")}, '[^0-9]', '', 'g'), 3) ELSE regexp_replace({_DIGITS("'81' || substr(coalesce(phone, ''), 2, 20)")}, '[^0-9]', '', 'g') END"),
+    "contact_number_candidate": (lambda: x.contact_candidate("fax"), o.first(_DIGITS("coalesce(fax, '')"), "0[0-9]{1,4}-?[0-9]{1,4}-?[0-9]{3,4}", 0)),
+    "split_contact_candidates": (lambda: F.array_join(x.contact_candidates(F.concat(F.coalesce("phone", F.lit("03-0000-0000")), F.lit(" ; "), F.coalesce("fax", F.lit("0451112222")), F.lit("；"), F.coalesce("phone", F.lit("03-0000-0000")))), "/"), "coalesce(phone, '03-0000-0000') || '/' || coalesce(fax, '0451112222')"),
+    "strip_corporate_words": (lambda: x.strip_corporate("company"), "trim(replace(coalesce(company, ''), '株式会社', ''), ' 　')"),
+    "compare_key": (lambda: x.compare_key("zipcode"), "replace(translate(coalesce(zipcode, ''), '０１２３４５６７８９－', '0123456789-'), ' ', '')"),
+    "email_from_text": (lambda: x.email(F.concat(F.lit("お問合せ "), x.col("email"), F.lit(" 担当"))), EMAIL),
 }
 for _name, (_column, _sql) in _QUERIES.items():
-    QUERIES[_name] = lambda spark, sf_dir, c=_column: companies(spark, sf_dir).select("id", c.alias("value"))
+    QUERIES[_name] = lambda spark, sf_dir, c=_column: companies(spark, sf_dir).select("id", c().alias("value"))
     ORACLES[_name] = with_companies(f"SELECT id, {_sql} AS value FROM companies")
 
 QUERIES["standardize_companies"] = lambda spark, sf_dir: x.standardize(companies(spark, sf_dir), ("phone", "zipcode", "email")).select(
