@@ -84,11 +84,11 @@ def export_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["export_company_file"] = export_file
 ORACLES["export_company_file"] = with_companies("SELECT count(*) + 1 AS n_lines, 1 AS parts FROM companies")
 QUERIES["write_jobboard_csv"] = lambda spark, sf_dir: files.jobboard_table(
-    companies(spark, sf_dir).select(F.col("company").alias("会社名"), F.col("address").alias("住所"), F.col("email").alias("メールアドレス"))
+    companies(spark, sf_dir).select(F.col("company").alias("会社名"), F.col("address").alias("本社所在地"), F.col("email").alias("E-MAIL"))
 )
 ORACLES["write_jobboard_csv"] = with_companies(
     "SELECT "
-    + ", ".join({"会社名": "coalesce(company, '')", "住所": "coalesce(address, '')", "メールアドレス": "coalesce(email, '')"}.get(c, "''") + f' AS "{c}"' for c in files.JOBBOARD)
+    + ", ".join({"会社名": "coalesce(company, '')", "本社所在地": "coalesce(address, '')", "E-MAIL": "coalesce(email, '')"}.get(c, "''") + f' AS "{c}"' for c in files.COLUMNS)
     + " FROM companies"
 )
 QUERIES["mirror_table"] = lambda spark, sf_dir: files.mirror_table(companies(spark, sf_dir), {n: f"{_folder(spark)}/{n}" for n in ("a", "b")})

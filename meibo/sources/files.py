@@ -8,17 +8,12 @@ from pyspark.sql import types as T
 
 from meibo.operators.dedupe import assign_missing_ids, js_trim, keep_first
 from meibo.operators.filters import Request, predicate
+from meibo.operators.jobboard import COLUMNS
 from meibo.operators.listing import list_order
 from meibo.schema import CSV_HEADERS, FIELD_OF_HEADER, FIELDS, NAMES
 from meibo.sources.shared import cut
 
 _RAW = T.StructType([T.StructField(f"_c{k}", T.StringType()) for k in range(len(CSV_HEADERS))])
-#: Columns of a job-board export, in order.
-JOBBOARD = (
-    "会社名", "郵便番号", "住所", "業種", "企業URL", "電話番号", "FAX番号", "メールアドレス", "設立", "代表者", "資本金", "従業員数", "売上高", "事業内容",
-    "採用実績校", "採用人数", "元URL",
-)
-
 
 def read_company_csv(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Every row of the files, headers included, as 28 texts with ``_file`` and ``_row``, which order them.
@@ -113,7 +108,7 @@ def export_job_rows(targets: DataFrame, changes: DataFrame, companies: DataFrame
 
 def jobboard_table(df: DataFrame) -> DataFrame:
     """The 17 columns of a job-board export in order; absent ones are empty."""
-    return df.select(*[(F.coalesce(F.col(c), F.lit("")) if c in df.columns else F.lit("")).alias(c) for c in JOBBOARD])
+    return df.select(*[(F.coalesce(F.col(c), F.lit("")) if c in df.columns else F.lit("")).alias(c) for c in COLUMNS])
 
 
 def write_jobboard_csv(df: DataFrame, path: str) -> None:
