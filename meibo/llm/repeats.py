@@ -23,7 +23,7 @@ from meibo.llm.common import cut
 HOT = 1024
 #: Symbols that a task compares at once.
 BLOCK = 1 << 21
-_RUNS = "r1 long, r2 long, start long, n long"
+_RUNS = "_r1 long, _r2 long, start long, n long"
 
 
 @dataclass(frozen=True)
@@ -41,13 +41,13 @@ class Kind:
 
 
 def identified(df: DataFrame, key: str, text_col: str) -> DataFrame:
-    """``df`` with the identity columns ``r1`` and ``r2``; a null text counts as empty."""
+    """``df`` with the identity columns ``_r1`` and ``_r2``; a null text counts as empty."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     return df.withColumns(
         {
             text_col: text,
-            "r1": F.xxhash64(F.lit(0), F.col(key).cast("string"), text),
-            "r2": F.xxhash64(F.lit(1), text, F.col(key).cast("string")),
+            "_r1": F.xxhash64(F.lit(0), F.col(key).cast("string"), text),
+            "_r2": F.xxhash64(F.lit(1), text, F.col(key).cast("string")),
         }
     )
 
@@ -57,7 +57,7 @@ def _batch(columns: dict[str, np.ndarray]) -> pa.RecordBatch:
 
 
 def all_pieces(docs: DataFrame, kind: Kind, text_col: str) -> DataFrame:
-    """(anchor, content, r1, r2, start, n) of every piece; ``content`` is the hash of its symbols."""
+    """(anchor, content, _r1, _r2, start, n) of every piece; ``content`` is the hash of its symbols."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_64_intdigest
@@ -73,10 +73,10 @@ def all_pieces(docs: DataFrame, kind: Kind, text_col: str) -> DataFrame:
                     spans = zip(doc.tolist(), (start * size).tolist(), ((start + n + more) * size).tolist(), strict=True)
                     content = np.array([digest(data[d][a:b]) for d, a, b in spans], dtype=np.uint64).view(np.int64)
                     yield _batch(
-                        {"anchor": anchor, "content": content, "r1": r1[doc + low], "r2": r2[doc + low], "start": start, "n": n}
+                        {"anchor": anchor, "content": content, "_r1": r1[doc + low], "_r2": r2[doc + low], "start": start, "n": n}
                     )
 
-    return docs.select("r1", "r2", text_col).mapInArrow(run, f"anchor long, content long, {_RUNS}")
+    return docs.select("_r1", "_r2", text_col).mapInArrow(run, f"anchor long, content long, {_RUNS}")
 
 
 def window_keys(piece: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -89,14 +89,14 @@ def window_keys(piece: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]
 
 
 def repeated_runs(docs: DataFrame, kind: Kind, text_col: str) -> DataFrame:
-    """(r1, r2, runs): runs (start, n) of window starts whose window starts anywhere else too.
+    """(_r1, _r2, _runs): runs (start, n) of window starts whose window starts anywhere else too.
 
     Every piece that occurs twice is a repeat as a whole. Other pieces are compared with those of the
     same anchor only: symbol by symbol in a task, or, where an anchor has very many, by window keys.
     """
     pieces = all_pieces(docs, kind, text_col)
     seen = pieces.groupBy("anchor", "content").agg(
-        F.count("*").alias("copies"), F.min(F.struct("r1", "r2", "start", "n")).alias("at")
+        F.count("*").alias("copies"), F.min(F.struct("_r1", "_r2", "start", "n")).alias("at")
     )
     # an anchor that holds one piece once is done with: nothing in it is repeated
     groups = seen.groupBy("anchor").agg(F.count("*").alias("m"), F.max("copies").alias("most"))
@@ -104,21 +104,21 @@ def repeated_runs(docs: DataFrame, kind: Kind, text_col: str) -> DataFrame:
     seen = cut(seen.join(groups, "anchor"))
 
     whole = pieces.join(seen.where("copies > 1").select("anchor", "content"), ["anchor", "content"])
-    whole = whole.select("r1", "r2", "start", "n")
+    whole = whole.select("_r1", "_r2", "start", "n")
 
     fetch = seen.where("m > 1").select(
-        F.col("at.r1").alias("r1"),
-        F.col("at.r2").alias("r2"),
+        F.col("at._r1").alias("_r1"),
+        F.col("at._r2").alias("_r2"),
         F.struct(F.col("at.start").alias("start"), F.col("at.n").alias("n"), "anchor", "copies", (F.col("m") > HOT).alias("hot")).alias("p"),
     )
-    fetch = fetch.groupBy("r1", "r2").agg(F.collect_list("p").alias("wanted"))
+    fetch = fetch.groupBy("_r1", "_r2").agg(F.collect_list("p").alias("_wanted"))
     # all columns, so that this join and the caller's share one shuffle of the texts
-    cut_out = docs.join(fetch, ["r1", "r2"])
+    cut_out = docs.join(fetch, ["_r1", "_r2"])
 
     def pick(hot: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                r1, r2, texts, wanted = (batch.column(c).to_pylist() for c in ("r1", "r2", text_col, "wanted"))
+                r1, r2, texts, wanted = (batch.column(c).to_pylist() for c in ("_r1", "_r2", text_col, "_wanted"))
                 for a, b, text, want in zip(r1, r2, texts, wanted, strict=True):
                     own = [w for w in want if w["hot"] == hot]
                     if not own:
@@ -128,7 +128,7 @@ def repeated_runs(docs: DataFrame, kind: Kind, text_col: str) -> DataFrame:
                     names = ("anchor", "copies", "start", "n")
                     anchor, copies, start, n = (np.array([w[c] for w in own], dtype=np.int64) for c in names)
                     if not hot:
-                        fixed = {"anchor": anchor, "copies": copies, "r1": np.full(len(own), a), "r2": np.full(len(own), b)}
+                        fixed = {"anchor": anchor, "copies": copies, "_r1": np.full(len(own), a), "_r2": np.full(len(own), b)}
                         rest = {"start": start, "n": n}
                         made = pa.array([x.tobytes() for x in data], pa.binary())
                         head = _batch(fixed | rest)
@@ -139,7 +139,7 @@ def repeated_runs(docs: DataFrame, kind: Kind, text_col: str) -> DataFrame:
                     yield _batch(
                         {
                             "k1": np.concatenate(k1), "k2": np.concatenate(k2), "copies": np.repeat(copies, n),
-                            "r1": np.full(len(at), a), "r2": np.full(len(at), b), "start": at, "n": np.ones(len(at), dtype=np.int64),
+                            "_r1": np.full(len(at), a), "_r2": np.full(len(at), b), "start": at, "n": np.ones(len(at), dtype=np.int64),
                         }
                     )
 
@@ -151,10 +151,10 @@ def repeated_runs(docs: DataFrame, kind: Kind, text_col: str) -> DataFrame:
 
     many = cut_out.mapInArrow(pick(True), f"k1 long, k2 long, copies long, {_RUNS}")
     twice = many.groupBy("k1", "k2").agg(F.sum("copies").alias("all")).where("all > 1").select("k1", "k2")
-    keyed = many.where("copies = 1").join(twice, ["k1", "k2"]).select("r1", "r2", "start", "n")
+    keyed = many.where("copies = 1").join(twice, ["k1", "k2"]).select("_r1", "_r2", "start", "n")
 
     runs = whole.unionByName(compared).unionByName(keyed).distinct()
-    return runs.groupBy("r1", "r2").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
+    return runs.groupBy("_r1", "_r2").agg(F.collect_list(F.struct("start", "n")).alias("_runs"))
 
 
 def _compare(kind: Kind):
@@ -164,7 +164,7 @@ def _compare(kind: Kind):
         dtype = kind.symbols("").dtype
         pieces = [np.frombuffer(x, dtype=dtype) for x in rows.column("symbols").to_pylist()]
         copies = rows.column("copies").to_numpy()
-        r1, r2, first = (rows.column(c).to_numpy() for c in ("r1", "r2", "start"))
+        r1, r2, first = (rows.column(c).to_numpy() for c in ("_r1", "_r2", "start"))
         parts = []
         for k, flags in enumerate(kind.repeated(pieces, copies)):
             if copies[k] > 1 or not flags.any():
@@ -174,7 +174,7 @@ def _compare(kind: Kind):
             parts.append((np.full(len(n), r1[k]), np.full(len(n), r2[k]), start + first[k], n))
         z = np.zeros(0, dtype=np.int64)
         cols = [np.concatenate(x).astype(np.int64) for x in zip(*parts, strict=True)] if parts else [z] * 4
-        return _batch(dict(zip(("r1", "r2", "start", "n"), cols, strict=True)))
+        return _batch(dict(zip(("_r1", "_r2", "start", "n"), cols, strict=True)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0

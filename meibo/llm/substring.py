@@ -66,7 +66,7 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text_col: str = "text") -
     names = ("n_words", "n_removed", "spans", "kept_text")
     own = [c for c in df.columns if c not in names]
     docs = identified(df.select(*own), key, text_col)
-    joined = docs.join(repeated_runs(docs, WORDS, text_col), ["r1", "r2"], "left")
+    joined = docs.join(repeated_runs(docs, WORDS, text_col), ["_r1", "_r2"], "left")
     fields = [f for f in df.schema.fields if f.name in own]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
     schema += ", n_words long, n_removed long, spans array<struct<first:int,count:int>>, kept_text string"
@@ -75,7 +75,7 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text_col: str = "text") -
         kind = pa.list_(pa.struct([("first", pa.int32()), ("count", pa.int32())]))
         for batch in batches:
             out = []
-            for text, runs in zip(batch.column(text_col).to_pylist(), batch.column("runs").to_pylist(), strict=True):
+            for text, runs in zip(batch.column(text_col).to_pylist(), batch.column("_runs").to_pylist(), strict=True):
                 w = words(text)
                 gone = covered(runs, len(w), LENGTH)
                 edge = np.flatnonzero(np.diff(np.concatenate(([0], gone.astype(np.int8), [0]))))
@@ -86,7 +86,7 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text_col: str = "text") -
             if out:
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), *cols], [*own, *names])
 
-    return joined.select(*own, "runs").mapInArrow(run, schema)
+    return joined.select(*own, "_runs").mapInArrow(run, schema)
 
 
 def op1_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,3 +96,17 @@ def op1_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_substring": op1_substring}
+
+SQL = r"""
+WITH t AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws FROM documents),
+w AS (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 33, 1))) AS i FROM t),
+g AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 34], ' ')) AS g FROM w WHERE i + 34 <= len(ws)),
+d AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY g) > 1),
+p AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS i FROM d),
+e AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM t),
+k AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept, count(*) AS n FROM e ANTI JOIN p USING (doc_id, i) GROUP BY doc_id)
+SELECT t.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(k.n, 0))::BIGINT AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM t LEFT JOIN k USING (doc_id)
+"""
+ORACLES = {"op1_substring": SQL}

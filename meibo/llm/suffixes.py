@@ -103,7 +103,7 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text_col: str = "text") -
     names = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "spans")
     own = [c for c in df.columns if c not in names]
     docs = identified(df.select(*own), key, text_col)
-    joined = docs.join(repeated_runs(docs, BYTES, text_col), ["r1", "r2"], "left")
+    joined = docs.join(repeated_runs(docs, BYTES, text_col), ["_r1", "_r2"], "left")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name in own)
     schema += ", n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<first:int,count:int>>"
 
@@ -111,7 +111,7 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text_col: str = "text") -
         long, kind = pa.int64(), pa.list_(pa.struct([("first", pa.int32()), ("count", pa.int32())]))
         for batch in batches:
             out = []
-            for text, runs in zip(batch.column(text_col).to_pylist(), batch.column("runs").to_pylist(), strict=True):
+            for text, runs in zip(batch.column(text_col).to_pylist(), batch.column("_runs").to_pylist(), strict=True):
                 data = text_bytes(text)
                 gone = covered(runs, len(data), LENGTH)
                 edge = np.flatnonzero(np.diff(np.concatenate(([0], gone.astype(np.int8), [0]))))
@@ -123,7 +123,7 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text_col: str = "text") -
                 cols = [pa.array(list(x), t) for x, t in zip(zip(*out, strict=True), types, strict=True)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), *cols], [*own, *names])
 
-    return joined.select(*own, "runs").mapInArrow(run, schema)
+    return joined.select(*own, "_runs").mapInArrow(run, schema)
 
 
 def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,3 +133,19 @@ def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op10_suffixes": op10_suffixes}
+
+SQL = r"""
+WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, h, unnest(range(1, length(h) // 2 - 398)) AS i FROM t WHERE length(h) >= 800),
+g AS (SELECT doc_id, i, md5(substr(h, 2 * i - 1, 800)) AS g FROM w),
+d AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY g) > 1),
+b AS (SELECT doc_id, i, coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 400, true) AS opens FROM d),
+n AS (SELECT doc_id, i, sum(opens::INT) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM b),
+s AS (SELECT doc_id, run, min(i) AS a, max(i) + 400 AS z FROM n GROUP BY doc_id, run),
+k AS (SELECT doc_id, h, a, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 1) AS from_, z, lead(a) OVER (PARTITION BY doc_id ORDER BY a) IS NULL AS last FROM s JOIN t USING (doc_id)),
+m AS (SELECT doc_id, string_agg(substr(h, 2 * from_ - 1, 2 * (a - from_)) || CASE WHEN last THEN substr(h, 2 * z - 1) ELSE '' END, '' ORDER BY a) AS kept, count(*) AS spans, sum(z - a) AS gone FROM k GROUP BY doc_id)
+SELECT t.doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM t LEFT JOIN m USING (doc_id)
+"""
+ORACLES = {"op10_suffixes": SQL}
