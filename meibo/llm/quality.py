@@ -35,7 +35,7 @@ RULES = (
     Rule("mean_word_chars", least=2.0, most=15.0),
     Rule("symbol_word_ratio", most=0.1),
     Rule("stop_word_ratio", least=0.02),
-    Rule("dup_line_ratio", most=0.3),
+    Rule("dup_line_ratio", most=0.6),
     Rule("repeat_word_ratio", most=0.5),
 )
 
