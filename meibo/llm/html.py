@@ -2,9 +2,10 @@
 
 A page is cut into blocks at block-level tags; each block knows the tags, classes and ids above it. Two
 labels, main text or not, form a chain along the page. Weights are learned from a bounded sample of
-pages whose own landmarks (an article or main element) label their blocks, each page also being
-re-dressed in other layouts: the same blocks in other containers, with menus, notices, forms, comments
-and adverts around and inside the article. A page is decoded by Viterbi.
+pages whose own landmarks (an article or main element) label their blocks, but for menus, forms,
+comments and adverts in them, each page also being re-dressed in other layouts: the same blocks in other
+containers, with menus, notices, forms, comments and adverts around and inside the article. Where a
+table has fewer than ``FEWEST_PAGES`` such pages, made-up pages fill up. A page is decoded by Viterbi.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from meibo.llm.common import table
 
 #: Pages that the model is fitted on (on average), layouts made of each, and passes over them.
 SAMPLE_PAGES, LAYOUTS, PASSES = 200, 3, 6
+#: Pages with a landmark that a model is fitted on at least; made-up pages stand for those that a table lacks.
+FEWEST_PAGES = 50
 SEED = 11
 
 #: Elements whose inside is no text of the page.
@@ -56,21 +59,49 @@ _AROUND = (
     "div.toolbar", "div.topbar", "div#comments", "div#sidebar", "div#footer", "div#header", "div#menu", "div#nav", "ol.commentlist",
     "div.disclaimer", "div.alert", "div.recommended", "div.responses", "div.discussion", "div.gdpr", "div.masthead", "div.site-header",
 )
+#: Elements, and words of classes and ids, of boxes in an article that are not its text; words that make such a name tell something else.
+_BOX_TAGS = frozenset("nav aside form footer dialog".split())
+_BOX_WORDS = frozenset(
+    "comment comments commentlist replies respond disqus ad ads advert adverts advertisement sponsor sponsored promo related recommended "
+    "share sharing social newsletter subscribe signup login nav navigation navbar menu breadcrumb breadcrumbs sidebar toolbar pagination "
+    "pager widget cookie consent popup modal complementary".split()
+)
+_NO_BOX = frozenset("no has with without open closed enabled disabled".split())
+#: Whether a page has a landmark outside its comments and scripts.
+_NOT_READ = r"(?is)<!--.*?-->|<(script|style|textarea|noscript|template)[\s/>].*?</\1\s*>"
+_LANDMARK = r"(?i)<(article|main)[\s/>]"
 
 
 @dataclass
 class Block:
+    """``main`` tells a block in a landmark and in no box of other matter there."""
+
     text: str
     tag: str
     path: tuple[str, ...]
     linked: int
+    main: bool = False
     features: list[str] = field(default_factory=list)
 
 
+def _place(tag: str, found: list[str], above: int, quoted: bool) -> int:
+    """Where an element is: 0 outside landmarks, 1 in one, 2 in a box of other matter in one."""
+    mark = tag in ("article", "main")
+    if above == 2 or not (above or mark):
+        return above
+    if tag in _BOX_TAGS:
+        return 1 if tag == "footer" and quoted else 2
+    for name in " ".join(found).split():
+        parts = {p.lower() for p in _PART.findall(name)}
+        if parts & _BOX_WORDS and not parts & _NO_BOX:
+            return 2
+    return 1
+
+
 def blocks(html: str | None) -> list[Block]:
     """The leaf blocks of a page that have text, white space folded and character references decoded."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[tuple[str, tuple[str, ...], int]] = []
     open_tags: dict[str, int] = {}
     buffer: list[str] = []
     linked = in_link = 0
@@ -81,13 +112,13 @@ def blocks(html: str | None) -> list[Block]:
             raw = "".join(buffer)
             text = " ".join((unescape(raw) if "&" in raw else raw).split())
             if text:
-                path = tuple(x for tag, names in stack for x in (f"<{tag}", *names))
-                out.append(Block(text, stack[-1][0] if stack else "", path, linked))
+                path = tuple(x for tag, names, _ in stack for x in (f"<{tag}", *names))
+                out.append(Block(text, stack[-1][0] if stack else "", path, linked, bool(stack) and stack[-1][2] == 1))
             buffer.clear()
         linked = 0
 
     def pop() -> None:
-        tag, _ = stack.pop()
+        tag = stack.pop()[0]
         open_tags[tag] -= 1
 
     html, at = html or "", 0
@@ -119,11 +150,11 @@ def blocks(html: str | None) -> list[Block]:
             pop()
         if tag in _VOID or m[4].endswith("/"):
             continue
-        names = ()
+        names, found = (), []
         if m[4]:
             found = [x for y in _NAMES.findall(m[4]) for x in y if x]
             names = tuple("." + p.lower() for x in found for p in _PART.findall(x))
-        stack.append((tag, names))
+        stack.append((tag, names, _place(tag, found, stack[-1][2] if stack else 0, open_tags.get("blockquote", 0) > 0)))
         open_tags[tag] = open_tags.get(tag, 0) + 1
     buffer.append(html[at:])
     flush()
@@ -268,7 +299,7 @@ def labelled(html: str, rng: random.Random, layouts: int = LAYOUTS) -> list[tupl
     from html import escape
 
     page = blocks(html)
-    truth = ["<article" in b.path or "<main" in b.path for b in page]
+    truth = [b.main for b in page]
     if not any(truth):
         return []
     out = [(featured(page), truth)]
@@ -285,14 +316,31 @@ def labelled(html: str, rng: random.Random, layouts: int = LAYOUTS) -> list[tupl
     return out
 
 
+def made_up(rng: random.Random) -> str:
+    """A page of made-up words in an article with short texts around it, for tables that have no such page."""
+    words = lambda low, high: " ".join("x" * rng.randint(1, 11) for _ in range(rng.randint(low, high)))
+    sentence = lambda: words(4, 12) + rng.choice(["", ", " + words(3, 9)]) + rng.choice("...!?")
+    texts = [words(2, 9), *(" ".join(sentence() for _ in range(rng.randint(1, 7))) for _ in range(rng.randint(2, 9)))]
+    links = "".join(f'<li><a href="#">{words(1, 3)}</a></li>' for _ in range(rng.randint(2, 9)))
+    notes = "".join(f"<div>{words(2, 12)}{rng.choice(['', '.', ' | ' + words(1, 2)])}</div>" for _ in range(rng.randint(1, 6)))
+    article = "".join(f"<p>{t}</p>" for t in texts)
+    return f"<nav><ul>{links}</ul></nav><article>{article}</article><div>{notes}</div><footer>© {words(2, 6)}</footer>"
+
+
 def fit(pages: DataFrame, key: str = "page_id", html_col: str = "html", sample: int = SAMPLE_PAGES, seed: int = SEED) -> Model:
-    """A model from about ``sample`` pages, those of the lowest share of their key's hash; more are never read."""
+    """A model from about ``sample`` pages with landmarks, those of the lowest share of their key's hash; more are never read.
+
+    Where fewer than ``FEWEST_PAGES`` have labelled text, made-up pages fill up.
+    """
     known = pages.where(F.col(html_col).isNotNull()).select(html_col, F.xxhash64(F.col(key).cast("string"), html_col).alias("h"))
-    n = known.count()
-    drawn = known.where(F.pmod("h", F.lit(1_000_000)) < 1_000_000 * min(1.0, sample / max(1, n)))
+    landmark = F.col(html_col).rlike(_LANDMARK) & F.regexp_replace(html_col, _NOT_READ, " ").rlike(_LANDMARK)
+    n = known.where(landmark).count()
+    drawn = known.where(F.pmod("h", F.lit(1_000_000)) < 1_000_000 * min(1.0, sample / max(1, n))).where(landmark)
     rows = sorted(drawn.limit(4 * sample).collect(), key=lambda r: r["h"])
     rng = random.Random(seed)
-    return train([x for r in rows for x in labelled(r[html_col], rng)])
+    found = [made for r in rows if (made := labelled(r[html_col], rng))]
+    found += [labelled(made_up(rng), rng) for _ in range(FEWEST_PAGES - len(found))]
+    return train([x for made in found for x in made])
 
 
 def extract(df: DataFrame, model: Model, html_col: str = "html") -> DataFrame:

@@ -302,6 +302,30 @@ def test_html_extraction(spark):
     assert got[90] == got[91] == got[93] == "" and len(got) == len(rows)
 
 
+def test_html_training_pages_are_those_with_landmarks(spark):
+    plain = '<nav><a href="/">Home</a></nav><div class="content"><p>{}</p></div><div class="footer">© x</div>'
+    long = "A long line of text, number {} of many. It goes on for some more words, and then it ends."
+    rows = [(k, plain.format(long.format(k)) + "<!-- <main> -->") for k in range(2000)]
+
+    def got(rows):
+        df = spark.createDataFrame(rows, "page_id long, html string")
+        return {r["page_id"]: r["text"] for r in html.extract(df, html.fit(df)).collect()}
+
+    assert all(long.format(k) in t for k, t in got(rows).items())
+    few = [(5000 + k, PAGE.replace("First", f"First {k}")) for k in range(3)]
+    out = got(rows + few)
+    assert all(f"First {k} line" in out[5000 + k] for k in range(3)) and all(out.values())
+
+
+def test_html_boxes_in_a_landmark_are_not_its_text():
+    page = """<form><main class="no-sidebar"><article><h1>Head</h1><p>Text</p><div class="post-comments"><p>Nice</p></div><aside>See</aside><form>Ask</form>
+    <div class="adBox"><p>Buy</p></div><blockquote>Said<footer>by me</footer></blockquote><footer>Tags</footer></article></main>
+    <section><article class="comment">Too</article></section></form>"""
+    assert [b.text for b in html.blocks(page) if b.main] == ["Head", "Text", "Said", "by me"]
+    (got, truth), *_ = html.labelled(page, random.Random(1))
+    assert [b.text for b, y in zip(got, truth, strict=True) if y] == ["Head", "Text", "Said", "by me"]
+
+
 def test_viterbi_is_the_best_of_all_labelings():
     rng = random.Random(8)
     model = html.Model({f"f{k}": rng.uniform(-2, 2) for k in range(6)}, [[0.5, -0.3], [-0.7, 0.4]])
