@@ -30,18 +30,23 @@ SAMPLE_PAGES, LAYOUTS, PASSES = 200, 3, 6
 FEWEST_PAGES = 50
 SEED = 11
 
-#: Elements whose inside is no text of the page.
-_HIDDEN = "script|style|noscript|template|svg|iframe|textarea|title|select|object|canvas|math"
-_TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({_HIDDEN})\b(?>[^>]*)>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-z][^\s/>]*)((?>(?:\"[^\"]*\"|'[^']*'|[^'\">])*))>|<[!?/][^>]*>",
-    re.DOTALL | re.IGNORECASE,
-)
+#: Elements whose inside is no text of the page: those that run to the page's end if they are not closed, and those that hide
+#: nothing then.
+_RAW = "script|style|textarea|title"
+_HIDDEN = "noscript|template|svg|iframe|select|canvas"
+_ATTRS = r"(?>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)"
+_OPAQUE = re.compile(rf"<!--|<(/?)({_RAW}|{_HIDDEN})(?=[\s/>])({_ATTRS}|[^>]*+)>", re.IGNORECASE)
+_COMMENT_END = re.compile(r"(?<=<!--)-?>|--!?>")
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.IGNORECASE) for tag in _RAW.split("|")}
+_SELF_CLOSED = re.compile(r"(?:^|[\s\"'])/$")
+_TOKEN = re.compile(rf"<!---->|<(/?)([a-z][^\s/>]*)({_ATTRS})>|<[!?/][^>]*>", re.IGNORECASE)
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark q rp rt ruby s samp "
-    "small span strike strong sub sup time tt u var wbr".split()
+    "small span strike strong sub sup time tt u var wbr object canvas iframe noscript select svg template "
+    "math annotation annotation-xml maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow "
+    "ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split()
 )
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
@@ -98,6 +103,45 @@ def _place(tag: str, found: list[str], above: int, quoted: bool) -> int:
     return 1
 
 
+def shown(html: str) -> str:
+    """A page with an empty comment in the place of each comment and each element whose inside is no text."""
+    spans: list[tuple[int, int]] = []
+    opened: dict[str, list[int]] = {}
+    unclosed: set[str] = set()
+    at = 0
+    while m := _OPAQUE.search(html, at):
+        at = m.end()
+        if m[2] is None:
+            end = _COMMENT_END.search(html, at)
+            at = end.end() if end else len(html)
+            spans.append((m.start(), at))
+            continue
+        tag, closed = m[2].lower(), _SELF_CLOSED.search(m[3])
+        if tag in _RAW_END:
+            if m[1] or (closed and opened.get("svg")):
+                continue
+            end = None if tag in unclosed else _RAW_END[tag].search(html, at)
+            if end is None:
+                unclosed.add(tag)
+                if opened.get("svg"):
+                    continue
+            at = end.end() if end else len(html)
+            spans.append((m.start(), at))
+        elif m[1]:
+            if opened.get(tag):
+                spans.append((opened[tag].pop(), at))
+        elif tag == "svg" and closed:
+            spans.append((m.start(), at))
+        else:
+            opened.setdefault(tag, []).append(m.start())
+    out, at = [], 0
+    for start, end in sorted(spans):
+        if start >= at:
+            out += (html[at:start], "<!---->")
+        at = max(at, end)
+    return "".join([*out, html[at:]]) if spans else html
+
+
 def blocks(html: str | None) -> list[Block]:
     """The leaf blocks of a page that have text, white space folded and character references decoded."""
     out: list[Block] = []
@@ -121,7 +165,7 @@ def blocks(html: str | None) -> list[Block]:
         tag = stack.pop()[0]
         open_tags[tag] -= 1
 
-    html, at = html or "", 0
+    html, at = shown(html or ""), 0
     for m in _TOKEN.finditer(html):
         if m.start() > at:
             part = html[at : m.start()]
@@ -129,14 +173,14 @@ def blocks(html: str | None) -> list[Block]:
             if in_link:
                 linked += len(part)
         at = m.end()
-        tag = m[3]
+        tag = m[2]
         if tag is None:
             continue
-        tag, closing = tag.lower(), m[2]
+        tag, closing = tag.lower(), m[1]
         if tag in _INLINE:
             if tag == "a":
                 in_link = 0 if closing else 1
-            elif tag in ("br", "wbr"):
+            elif tag in ("br", "wbr", "mtd"):
                 buffer.append(" ")
             continue
         flush()
@@ -148,11 +192,11 @@ def blocks(html: str | None) -> list[Block]:
             continue
         if stack and stack[-1][0] in ("p", "li", "dt", "dd", "option") and (stack[-1][0] == "p" or stack[-1][0] == tag):
             pop()
-        if tag in _VOID or m[4].endswith("/"):
+        if tag in _VOID or m[3].endswith("/"):
             continue
         names, found = (), []
-        if m[4]:
-            found = [x for y in _NAMES.findall(m[4]) for x in y if x]
+        if m[3]:
+            found = [x for y in _NAMES.findall(m[3]) for x in y if x]
             names = tuple("." + p.lower() for x in found for p in _PART.findall(x))
         stack.append((tag, names, _place(tag, found, stack[-1][2] if stack else 0, open_tags.get("blockquote", 0) > 0)))
         open_tags[tag] = open_tags.get(tag, 0) + 1

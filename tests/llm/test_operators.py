@@ -326,6 +326,24 @@ def test_html_boxes_in_a_landmark_are_not_its_text():
     assert [b.text for b, y in zip(got, truth, strict=True) if y] == ["Head", "Text", "Said", "by me"]
 
 
+@pytest.mark.parametrize(
+    ("page", "texts"),
+    [
+        ('<p>one</p><svg class="i"/><p>two</p>', ["one", "two"]),
+        ('<p>one</p><svg class="i"><p>two</p><svg><text>x</text></svg><p>three</p>', ["one", "two", "three"]),
+        ("<p>one</p><svg><title/><style/><text>x</text></svg><p>two</p>", ["one", "two"]),
+        ("<p>one</p><svg><title>x</title><svg>y</svg>z</svg><p>two</p>", ["one", "two"]),
+        ("<p>one</p><svg-icon></svg-icon><title-bar>bar</title-bar><select-menu>menu</select-menu><p>two</p>", ["one", "bar", "menu", "two"]),
+        ("<p>As <math><mfrac><mi>a</mi><mn>2</mn></mfrac></math> is</p><object data=x>Plain <b>text</b></object>", ["As a2 is", "Plain text"]),
+        ("<p>a<select><option>x</select>b<!-- <p>x --><noscript><template>x</template>y</noscript>c<!-->d</p><iframe>", ["abcd"]),
+        ("<template>x<script>'<template>'</script>y</template><p>one</p><canvas><p>two", ["one", "two"]),
+        ("<p>one</p><SCRIPT src='a>b'>x</SCRIPTS></script ><p>two</p><textarea>x<p>y", ["one", "two"]),
+    ],
+)
+def test_html_drops_only_what_no_page_shows(page, texts):
+    assert [b.text for b in html.blocks(page)] == texts
+
+
 def test_viterbi_is_the_best_of_all_labelings():
     rng = random.Random(8)
     model = html.Model({f"f{k}": rng.uniform(-2, 2) for k in range(6)}, [[0.5, -0.3], [-0.7, 0.4]])
