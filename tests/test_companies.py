@@ -127,3 +127,38 @@ def test_names():
     }
     assert {v: inspect_name(v)[0] for v in cases} == cases
     assert inspect_name("代表取締役 山田太郎")[1] == "山田太郎" and inspect_name("山田 太郎 様")[1] == "山田 太郎"
+
+
+MARKUPS = {
+    "table": "<table><tr><th>{}</th><td>{}</td></tr></table>", "list": "<dl><dt>{}</dt><dd>{}</dd></dl>", "colon": "<p>{}：{}</p>",
+    "spans": "<li><span>{}</span> <em><a href='#'>{}</a></em></li>", "mixed": "<div><dt>{}</dt><dd>{}<br></dd></div>",
+    "classes": '<h5><span class="item-label">{}</span><span class="item-value">{}</span></h5>',
+    "divs": "<article><p>{}</p><p>{}</p></article>", "heading": "<section><h3>{}</h3><a href='#'>{}</a></section>",
+}
+
+
+def test_pairs_of_each_markup(spark):
+    rows = [(k, f"<html><body>{markup.format('資本金', f'{n + 1}00万円')}</body></html>") for n, (k, markup) in enumerate(MARKUPS.items())]
+    got = pages.extract_pairs(spark.createDataFrame(rows, "kind string, html string"), ["kind"]).collect()
+    assert {(r["kind"], r["label"], r["value"]) for r in got} == {(k, "資本金", f"{n + 1}00万円") for n, k in enumerate(MARKUPS)}
+
+
+def test_candidates_of_each_source(spark):
+    url = "https://a.jp/"
+    made = {
+        "tel": '<a href="tel:03-1234-5678">call</a>', "line": "<p>TEL 03-1234-5679</p>", "below": "<h4>電話番号</h4><h4>本店</h4><h4>03-1234-5670</h4>",
+        "contact": "<dl><dt>連絡先</dt><dd>TEL 03-1234-5671 FAX 03-1234-5672</dd></dl>", "weak": "<dl><dt>採用TEL</dt><dd>03-1234-5673</dd></dl>",
+        "form": '<a href="/x.docx">お問い合わせ</a><a href="/ask">お問い合わせ</a><a href="/contact">c</a>', "text": "<h4>設立 1990年4月</h4><h4>資本金</h4><h4>500万円</h4>",
+        "business": "<h4>事業内容</h4><h4>広告の企画と販売</h4><h4>営業時間 9時</h4>", "zip": "<dl><dt>住所</dt><dd>〒100-0001 東京都千代田区1-2</dd></dl>",
+    }
+    rows = [(k, 0, None, url, f"<body>{h}</body>") for k, h in made.items()] + [("job", 0, None, url + "recruit", made["tel"])]
+    got = pages.candidates(spark.createDataFrame(rows, "company_id string, page_seq int, focus string, final_url string, html string")).collect()
+    values = {(r["company_id"], r["field"], r["value"], r["score"]) for r in got}
+    assert values >= {
+        ("tel", "phone", "03-1234-5678", 260), ("line", "phone", "03-1234-5679", 340), ("below", "phone", "03-1234-5670", 340),
+        ("contact", "phone", "03-1234-5671", 360), ("contact", "fax", "03-1234-5672", 210), ("form", "form_url", "https://a.jp/ask", 120),
+        ("text", "established_date", "1990年4月", 165), ("text", "capital", "500万円", 195), ("business", "business_content", "広告の企画と販売", 210),
+        ("zip", "zipcode", "100-0001", 230), ("zip", "address", "〒100-0001 東京都千代田区1-2", 320 + 220 + 180 + 160),
+    }
+    assert not {v for v in values if v[0] in ("weak", "job") and v[1] == "phone"}
+    assert [v for v in values if v[:2] == ("form", "form_url")] == [("form", "form_url", "https://a.jp/ask", 120)]
