@@ -29,11 +29,15 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each near-duplicate group the document of the smallest doc_id, once.
+    """Keeps of each near-duplicate group the row of the smallest doc_id and text hash, once.
 
-    A document without doc_id goes by its text's hash.
+    Rows are told apart by all they hold, so unlike texts of one doc_id all stay. A document without
+    doc_id goes by its text's hash.
     """
-    named = docs.select(*COLUMNS).withColumn("k", F.coalesce("doc_id", F.xxhash64("text")))
+    row = F.struct(
+        F.coalesce("doc_id", F.xxhash64("text")).alias("id"), F.xxhash64("text").alias("text"), F.xxhash64(F.lit("row"), *COLUMNS).alias("row")
+    )
+    named = docs.select(*COLUMNS).withColumn("k", row)
     found = simhash.near_duplicates(named, key="k")
     keep = found.where("k = component").select("k").distinct()
     return _columns(named.join(keep, "k", "left_semi").dropDuplicates(["k"]))

@@ -32,6 +32,15 @@ def test_stages(spark, tmp_path):
     assert after.count() >= len(before) and after.where("size(ids) <> n_tokens").count() == 0
 
 
+def test_near_dedup_decides_per_row(spark):
+    one, two = (" ".join(f"{a}{k * k}" for k in range(80)) for a in "pq")
+    rows = [(1, one, "en", "a", 9), (1, two, "en", "a", 9), (1, two, "en", "a", 9), (1, two, "en", "b", 9), (2, one, "en", "a", 9)]
+    for _ in range(2):
+        out = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, DOCS).repartition(3), "").collect()
+        assert sum(r["text"] == one for r in out) == 1 and sum(r["text"] == two for r in out) == 1 and len(out) == 2
+        assert {r["doc_id"] for r in out if r["text"] == one} == {1}
+
+
 def test_run(spark, tmp_path):
     spark.createDataFrame(corpus(), DOCS).write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).columns[0] == "doc_id"
