@@ -1,35 +1,47 @@
 """Byte-level BPE encoding and decoding by a table of distinct words.
 
-Texts are split into the tokenizer's words. A word table holds the most frequent words of the whole
-corpus, each encoded once; it is broadcast, its size being bounded by ``table_words``. A task looks
-its words up in that table; a word outside it is rare, is encoded where it first occurs in the task,
-and kept for its later occurrences there. Ids are joined back by position. Decoding joins ids to
-their pieces, a table as large as the vocabulary.
-
-Joining the rare words through a shuffle as well was weighed: the partly encoded documents would
-then be shuffled too, which alone writes more than this stage's budget of disk.
+Spark splits texts into the tokenizer's words. A task numbers the distinct words of each chunk of
+documents (``CHUNK_BYTES`` of text) and writes a document as the numbers of its words. The chunks' words
+are dealt by word, so that each distinct word of the whole corpus meets in one place and is encoded
+once; its ids go back to the chunks that hold it, and are joined to the documents by position. No table
+of all words exists anywhere: a task holds the words of one chunk, or a batch of sorted words.
+Decoding joins ids to their pieces, a table as large as the vocabulary.
+
+A chunk is named by the hash of its content. Should a lost task be run again over rows in another order,
+its chunks have other names, and a chunk without its words ends the job with an error.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
-from collections import Counter
-from collections.abc import Iterator
+import os
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+import xxhash
+import zstandard
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meibo.llm.common import cut, table
+from meibo.llm.common import table
 
+_SPACE = r"\p{IsWhite_Space}"
 #: How a byte-level tokenizer splits a text into words (published with its vocabulary).
-WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Most words in the broadcast table (about 30 bytes each).
-TABLE_WORDS = 200_000
-#: Most rare words that a task keeps at once.
-KEPT_WORDS = 200_000
+WORD = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|{_SPACE}+(?!\P{{IsWhite_Space}})|{_SPACE}+"
+#: Characters that Spark's regular expressions may not know yet, so that the tokenizer splits their texts.
+_UNKNOWN = r"[ࡰ-\x{10FFFF}&&\p{Cn}]"
+#: Bytes of text in a chunk, about; a longer text is a chunk of its own.
+CHUNK_BYTES = 32 << 20
+#: Texts whose words are looked at together.
+TEXTS = 1024
+#: Numbers below these are written in one and two bytes, others in four; none reaches 2^27.
+ONE, TWO = 224, 224 + 24 * 256
+#: Words whose ids are sent back to their chunks at once.
+SENT_WORDS = 1 << 18
 
 
 def default_tokenizer() -> str:
@@ -41,6 +53,7 @@ def default_tokenizer() -> str:
 
 @lru_cache(maxsize=2)
 def _tokenizer(path: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
@@ -50,32 +63,34 @@ def _tokenizer(path: str):
 
 
 @lru_cache(maxsize=2)
-def _splitter(path: str):
-    """(text -> words). A special token's string in a text is a word of its own."""
+def special_tokens(path: str) -> tuple[str, ...]:
+    """Strings that are a token of their own wherever a text has them, longest first."""
+    with open(path, encoding="utf-8") as f:
+        return tuple(sorted((a["content"] for a in json.load(f)["added_tokens"]), key=len, reverse=True))
+
+
+def split_text(text: str, path: str) -> list[str]:
+    """The words of one text by the tokenizer itself, special tokens being words of their own."""
     import regex
 
-    with open(path, encoding="utf-8") as f:
-        added = [a["content"] for a in json.load(f)["added_tokens"]]
-    find = regex.compile(WORD).findall
-    if not added:
-        return find
-    special = regex.compile("(" + "|".join(regex.escape(a) for a in sorted(added, key=len, reverse=True)) + ")")
-    kept = frozenset(added)
-
-    def split(text: str) -> list[str]:
-        if not any(a in text for a in added):
-            return find(text)
-        out: list[str] = []
-        for part in special.split(text):
-            if part in kept:
-                out.append(part)
-            elif part:
-                out += find(part)
-        return out
-
-    return split
+    special = special_tokens(path)
+    parts = regex.split("(" + "|".join(map(regex.escape, special)) + ")", text) if special else [text]
+    split = _tokenizer(path).pre_tokenizer.pre_tokenize_str
+    out: list[str] = []
+    for part in parts:
+        out += [part] if part in special else [part[a:b] for _, (a, b) in split(part)] if part else []
+    return out
+
+
+def words_and_rest(text: Column, path: str) -> tuple[Column, Column]:
+    """(words of a text, null) or, for a text with special tokens or characters that Spark may not know, (null, the text)."""
+    odd = F.regexp_like(text, F.lit(_UNKNOWN))
+    for s in special_tokens(path):
+        odd = odd | F.contains(text, F.lit(s))
+    return F.when(~odd, F.regexp_extract_all(text, F.lit(WORD), F.lit(0))), F.when(odd, text)
 
 
+@lru_cache(maxsize=2)
 def pieces(path: str) -> list[bytes]:
     """The bytes of every id, from the vocabulary's printable stand-ins."""
     with open(path, encoding="utf-8") as f:
@@ -91,143 +106,256 @@ def pieces(path: str) -> list[bytes]:
     return out
 
 
-def word_counts(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
-    """(word, n) over all documents; each task adds up its own words before they are shuffled."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, seen = _splitter(path), Counter()
-
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays(
-                [pa.array(list(seen.keys()), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"]
-            )
-
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                seen.update(split(text))
-                if len(seen) > KEPT_WORDS:
-                    yield out()
-                    seen.clear()
-        if seen:
-            yield out()
+def _packed(numbers: np.ndarray) -> bytes:
+    """Numbers from 0 on, byte plane by byte plane, compressed."""
+    wide = np.ascontiguousarray(numbers, dtype="<i8").view(np.uint8).reshape(-1, 8)
+    used = max(1, (int(numbers.max()).bit_length() + 7) // 8) if len(numbers) else 1
+    return bytes([used]) + zstandard.ZstdCompressor(level=1).compress(wide[:, :used].T.tobytes())
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), dtype=np.uint8).reshape(data[0], -1)
+    out = np.zeros((planes.shape[1], 8), dtype=np.uint8)
+    out[:, : data[0]] = planes.T
+    return out.view("<i8").ravel()
+
+
+def _coded(numbers: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    """Texts (their word numbers end to end, and where each ends) as bytes: the first byte of all numbers, then the other ones."""
+    size = 1 + (numbers >= ONE).astype(np.int8) + (numbers >= TWO)
+    rest = np.where(size == 3, numbers - TWO, numbers - ONE)
+    first = np.where(size == 1, numbers, np.where(size == 2, ONE + (rest >> 8), ONE + (TWO - ONE) // 256 + (rest >> 24))).astype(np.uint8)
+    second, wide = (rest[size == 2] & 255).astype(np.uint8), rest[size == 3]
+    wide = np.stack([(wide >> 16) & 255, (wide >> 8) & 255, wide & 255]).astype(np.uint8)
+    twos, fours = (np.concatenate(([0], np.cumsum(size == k)))[np.concatenate(([0], ends))] for k in (2, 3))
+    pack, out, a = zstandard.ZstdCompressor(level=1).compress, [], 0
+    for k, b in enumerate(ends.tolist()):
+        more = wide[:, fours[k] : fours[k + 1]].tobytes()
+        out.append((b - a).to_bytes(4, "little") + pack(first[a:b].tobytes() + second[twos[k] : twos[k + 1]].tobytes() + more))
+        a = b
+    return out
 
-    texts = docs.where(F.col(text_col).isNotNull()).select(text_col)
-    return texts.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
+def _decoded(data: bytes) -> np.ndarray:
+    """The word numbers of one text of ``_coded``."""
+    n = int.from_bytes(data[:4], "little")
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[4:]), dtype=np.uint8) if n else np.zeros(0, dtype=np.uint8)
+    out, top = raw[:n].astype(np.int64), ONE + (TWO - ONE) // 256
+    two, four = np.flatnonzero((out >= ONE) & (out < top)), np.flatnonzero(out >= top)
+    high, middle, low = raw[n + len(two) :].reshape(3, -1).astype(np.int64)
+    out[two] = ONE + ((out[two] - ONE) << 8) + raw[n : n + len(two)]
+    out[four] = TWO + ((out[four] - top) << 24) + (high << 16) + (middle << 8) + low
+    return out
 
-def word_table(docs: DataFrame, path: str, text_col: str = "text", table_words: int = TABLE_WORDS) -> dict[str, tuple[int, ...]]:
-    """Ids of the most frequent words: all those of the lowest count that still fits ``table_words``.
 
-    The count is found from a histogram, so words are never sorted and at most ``table_words`` reach
-    the driver.
-    """
-    counted = cut(word_counts(docs, path, text_col).where("n > 1"))
-    # the histogram has a row per order of magnitude, in steps of an eighth
-    step = F.floor(F.log2("n") * 8).cast("int")
-    least, total = None, 0
-    for r in counted.groupBy(step.alias("s")).agg(F.count("*").alias("k")).orderBy(F.desc("s")).collect():
-        total += r["k"]
-        if total > table_words:
-            break
-        least = r["s"]
-    if least is None:
-        return {}
+def _table(words: pa.Array) -> bytes:
+    """The words of a chunk in the order of their numbers."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, pa.schema([("word", pa.string())])) as out:
+        out.write_batch(pa.record_batch([words], ["word"]))
+    return zstandard.ZstdCompressor(level=1).compress(sink.getvalue().to_pybytes())
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = _tokenizer(path)
-        for batch in batches:
-            words = batch.column(0).to_pylist()
-            ids = [e.ids for e in t.encode_batch(words, add_special_tokens=False)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["word", "ids"])
 
-    hot = counted.where(step >= least).select("word").mapInArrow(encode, "word string, ids array<int>").toArrow()
-    return dict(zip(hot.column("word").to_pylist(), map(tuple, hot.column("ids").to_pylist()), strict=True))
+def _split_batch(batch: pa.RecordBatch, path: str) -> tuple[list[pa.Array], np.ndarray]:
+    """The words of all texts of a batch, end to end, and how many each text has."""
+    words, rest = batch.column("words"), batch.column("rest")
+    sizes = np.diff(words.offsets.to_numpy())
+    parts, low = [], 0
+    for k in np.flatnonzero(rest.is_valid().to_numpy(zero_copy_only=False)).tolist():
+        own = split_text(rest[k].as_py(), path)
+        parts += [words.slice(low, k - low).flatten(), pa.array(own, pa.string())]
+        sizes[k], low = len(own), k + 1
+    return [*parts, words.slice(low).flatten()], sizes
 
 
-class _Encoder:
-    """Looks words up in the broadcast table, else in the rare words of this task, else encodes them once.
+def numbered(df: DataFrame, path: str, text_col: str, carried: list[str]) -> DataFrame:
+    """(chunk, words, numbers, c0, c1, ...): a row with ``words`` for each chunk, and one for each document.
 
-    ``make(ids)`` is what is kept for a word, so that work on its ids is done once as well.
+    A chunk's words are numbered from the most frequent on, so that most numbers take one or two bytes.
     """
-
-    def __init__(self, path: str, known: dict[str, tuple[int, ...]], make) -> None:
-        self.split, self.tokenizer, self.known, self.make, self.kept = _splitter(path), _tokenizer(path), known, make, {}
-
-    def __call__(self, text: str) -> list:
-        words = self.split(text)
-        get = self.kept.get
-        found = [get(w) for w in words]
-        if None in found:
-            new = dict.fromkeys(w for w, x in zip(words, found, strict=True) if x is None)
-            rare = [w for w in new if w not in self.known]
-            coded = self.tokenizer.encode_batch(rare, add_special_tokens=False)
-            ids = {w: tuple(e.ids) for w, e in zip(rare, coded, strict=True)}
-            fresh = {w: self.make(ids[w] if w in ids else self.known[w]) for w in new}
-            found = [fresh[w] if x is None else x for w, x in zip(words, found, strict=True)]
-            if len(self.kept) + len(fresh) > KEPT_WORDS:
-                self.kept.clear()
-            if len(fresh) <= KEPT_WORDS:
-                self.kept.update(fresh)
-        return found
-
-
-def _mapped(df: DataFrame, text_col: str, names: tuple[str, ...], types: str, carried: list[str], start) -> DataFrame:
-    """``carried`` and, by ``start() -> (text -> values)``, the new columns ``names``; one text is held at a time."""
-    fields = [f for f in df.schema.fields if f.name in carried]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + [types])
-    kinds = {"n_tokens": pa.int64(), "ids": pa.list_(pa.int32())}
+    words, rest = words_and_rest(F.coalesce(text_col, F.lit("")), path)
+    names = [f"c{k}" for k in range(len(carried))]
+    source = df.select(words.alias("words"), rest.alias("rest"), *(F.col(c).alias(n) for c, n in zip(carried, names, strict=True)))
+    types = [source.schema[n].dataType.simpleString() for n in names]
+
+    def chunk(batches: list[pa.RecordBatch], parts: list[pa.Array], sizes: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        coded = pa.chunked_array(parts, pa.string()).combine_chunks().dictionary_encode()
+        index = coded.indices.to_numpy()
+        order = np.argsort(-np.bincount(index, minlength=len(coded.dictionary)), kind="stable")
+        rank = np.empty(len(order), dtype=np.int64)
+        rank[order] = np.arange(len(order))
+        # by the bytes that a number takes, then by the alphabet
+        order = pc.sort_indices(coded.dictionary).to_numpy()
+        order = order[np.argsort((rank[order] >= ONE).astype(np.int8) + (rank[order] >= TWO), kind="stable")]
+        rank[order] = np.arange(len(order))
+        docs = _coded(rank[index], np.cumsum(np.concatenate(sizes)))
+        text = _table(coded.dictionary.take(pa.array(order)))
+        name = xxhash.xxh3_64(text)
+        for d in docs:
+            name.update(d)
+        name = name.intdigest() >> 1
+        none = lambda n, kind: pa.nulls(n, kind)
+        kinds = [batches[0].column(n).type for n in names]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([name]), pa.array([text], pa.binary()), none(1, pa.binary()), *(none(1, t) for t in kinds)], ["chunk", "words", "numbers", *names]
+        )
+        low = 0
+        for b in batches:
+            n = b.num_rows
+            own = [pa.array([name] * n), none(n, pa.binary()), pa.array(docs[low : low + n], pa.binary()), *(b.column(c) for c in names)]
+            yield pa.RecordBatch.from_arrays(own, ["chunk", "words", "numbers", *names])
+            low += n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one = start()
+        held, parts, sizes, size = [], [], [], 0
+        for whole in batches:
+            for low in range(0, whole.num_rows, TEXTS):
+                batch = whole.slice(low, TEXTS)
+                found, n = _split_batch(batch, path)
+                held.append(batch)
+                parts += found
+                sizes.append(n)
+                size += sum(p.nbytes for p in found)
+                if size > CHUNK_BYTES:
+                    yield from chunk(held, parts, sizes)
+                    held, parts, sizes, size = [], [], [], 0
+        if held:
+            yield from chunk(held, parts, sizes)
+
+    schema = ", ".join(["chunk long, words binary, numbers binary", *(f"{n} {t}" for n, t in zip(names, types, strict=True))])
+    return source.mapInArrow(run, schema).repartition("chunk")
+
+
+def encoded_words(chunks: DataFrame, path: str) -> DataFrame:
+    """(chunk, word_numbers, sizes, ids): the ids of every chunk's words, each distinct word being encoded once."""
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low in range(0, batch.num_rows, 1024):
-                part = batch.slice(low, 1024)
-                rows = [one(x or "") for x in part.column(text_col).to_pylist()]
-                new = [pa.array(list(x), kinds.get(n, pa.string())) for n, x in zip(names, zip(*rows, strict=True), strict=True)]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carried), *new], [*carried, *names])
-
-    return df.select(*dict.fromkeys([*carried, text_col])).mapInArrow(run, schema)
+            for name, data in zip(batch.column("chunk").to_pylist(), batch.column("words"), strict=True):
+                if data.is_valid:
+                    raw = zstandard.ZstdDecompressor().decompress(data.as_py())
+                    words = pa.ipc.open_stream(raw).read_all().column("word").combine_chunks()
+                    for low in range(0, len(words), 1 << 16):
+                        part = words.slice(low, 1 << 16)
+                        number = pa.array(np.arange(low, low + len(part), dtype=np.int32))
+                        yield pa.RecordBatch.from_arrays([part, pa.array(np.full(len(part), name)), number], ["word", "chunk", "number"])
 
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokenizer, last = _tokenizer(path), (None, [])
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def sent() -> pa.RecordBatch:
+            chunk, number, size = (np.concatenate([h[k] for h in held]) for k in range(3))
+            ids = np.concatenate([h[3] for h in held])
+            start = np.cumsum(size) - size
+            order = np.argsort(chunk, kind="stable")
+            cuts = np.flatnonzero(np.diff(chunk[order], prepend=chunk[order[0]] - 1))
+            rows = []
+            for own in np.split(order, cuts[1:]):
+                n = size[own]
+                at = np.repeat(start[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                rows.append((int(chunk[own[0]]), _packed(number[own]), _packed(n), _packed(ids[at])))
+            held.clear()
+            kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["chunk", "word_numbers", "sizes", "ids"])
 
-def encode_column(df: DataFrame, path: str | None = None, text_col: str = "text", table_words: int = TABLE_WORDS) -> DataFrame:
-    """``df`` with ``ids`` (array<int>) in place of any column of that name; a null text counts as empty.
-
-    Repeated rows get equal ids; an empty table gives an empty one; texts of any length are encoded whole.
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            coded = batch.column("word").dictionary_encode()
+            words = coded.dictionary.to_pylist()
+            new = words[1:] if words[0] == last[0] else words
+            ids = [e.ids for e in tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+            if len(new) < len(words):
+                ids.insert(0, last[1])
+            last = (words[-1], ids[-1])
+            index, n = coded.indices.to_numpy(), np.array([len(x) for x in ids])
+            flat = np.array([i for x in ids for i in x], dtype=np.int64)
+            size = n[index]
+            at = np.repeat((np.cumsum(n) - n)[index] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            held.append((batch.column("chunk").to_numpy(), batch.column("number").to_numpy(), size, flat[at]))
+            if sum(len(h[0]) for h in held) >= SENT_WORDS:
+                yield sent()
+        if held:
+            yield sent()
+
+    words = chunks.mapInArrow(unpack, "word string, chunk long, number int")
+    words = words.repartition("word").sortWithinPartitions("word")
+    return words.mapInArrow(encode, "chunk long, word_numbers binary, sizes binary, ids binary")
+
+
+def _joined(df: DataFrame, path: str, text_col: str, carried: list[str], new: dict[str, tuple[str, pa.DataType]], make: Callable) -> DataFrame:
+    """``carried`` and the columns ``new``, made by ``make(ids of all words, their starts and sizes) -> (numbers -> values)``."""
+    fields = [df.schema[c] for c in carried]
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + [f"{n} {t}" for n, (t, _) in new.items()])
+    chunks = numbered(df, path, text_col, carried)
+
+    def join(docs: pa.Table, words: pa.Table) -> pa.Table:
+        own = docs.filter(docs.column("numbers").is_valid())
+        parts = [[_unpacked(x) for x in words.column(c).to_pylist()] for c in ("word_numbers", "sizes", "ids")]
+        number, size, ids = (np.concatenate(p) if p else np.zeros(0, dtype=np.int64) for p in parts)
+        n = int(number.max()) + 1 if len(number) else 0
+        first, count = np.full(n, -1, dtype=np.int64), np.zeros(n, dtype=np.int64)
+        first[number], count[number] = np.cumsum(size) - size, size
+        one = make(ids, first, count)
+        rows = []
+        for data in own.column("numbers"):
+            numbers = _decoded(data.as_py())
+            if len(numbers) and (numbers.max() >= n or (first[numbers] < 0).any()):
+                raise RuntimeError("a chunk's words are missing: its task was run again over rows in another order; checkpoint the input")
+            rows.append(one(numbers))
+        made = [pa.array(list(x), t) for x, (_, t) in zip(zip(*rows, strict=True) if rows else [()] * len(new), new.values(), strict=True)]
+        return pa.table([*(own.column(f"c{k}") for k in range(len(carried))), *made], [*carried, *new])
+
+    words = encoded_words(chunks, path)
+    return chunks.groupBy("chunk").cogroup(words.groupBy("chunk")).applyInArrow(join, schema)
+
+
+def encode_column(df: DataFrame, path: str | None = None, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """``df``, or its columns ``keep``, with ``ids`` (array<int>) in place of any column of that name.
+
+    A null or empty text has no ids. Repeated rows get equal ids; an empty table gives an empty one; texts
+    of any length are encoded whole, their words being held at once. Special tokens' strings are encoded as those tokens.
     """
     path = path or default_tokenizer()
-    hot = df.sparkSession.sparkContext.broadcast(word_table(df, path, text_col, table_words))
 
-    def start():
-        encoder = _Encoder(path, hot.value, tuple)
-        return lambda text: ([i for x in encoder(text) for i in x],)
+    def make(ids: np.ndarray, first: np.ndarray, count: np.ndarray) -> Callable:
+        def one(numbers: np.ndarray) -> tuple:
+            n = count[numbers]
+            at = np.repeat(first[numbers] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            return (ids[at].astype(np.int32),)
 
-    return _mapped(df, text_col, ("ids",), "ids array<int>", [c for c in df.columns if c != "ids"], start)
+        return one
+
+    carried = [c for c in (df.columns if keep is None else keep) if c != "ids"]
+    return _joined(df, path, text_col, carried, {"ids": ("array<int>", pa.list_(pa.int32()))}, make)
 
 
-def round_trip(df: DataFrame, path: str | None = None, text_col: str = "text", table_words: int = TABLE_WORDS) -> DataFrame:
+def round_trip(df: DataFrame, path: str | None = None, text_col: str = "text") -> DataFrame:
     """``df`` without its text, with ``n_tokens`` and the digests of its ids and of the text decoded from them.
 
-    Each word's ids are written out and joined to their pieces once, then joined by position like the
-    ids themselves.
+    A null or empty text has no tokens and the digests of the empty string. Repeated rows get equal results,
+    an empty table gives an empty one, and texts of any length are taken whole. Columns of the names of the
+    new ones are replaced. The ids of a chunk's words are joined to their pieces once, and to the documents by position.
     """
     path = path or default_tokenizer()
-    hot = df.sparkSession.sparkContext.broadcast(word_table(df, path, text_col, table_words))
-    names = ("n_tokens", "ids_sha256", "decoded_sha256")
 
-    def start():
-        piece = pieces(path)
-        encoder = _Encoder(path, hot.value, lambda ids: (len(ids), ",".join(map(str, ids)), b"".join([piece[i] for i in ids])))
+    def make(ids: np.ndarray, first: np.ndarray, count: np.ndarray) -> Callable:
+        piece, every = pieces(path), ids.tolist()
+        spans = [(a, a + n) for a, n in zip(first.tolist(), count.tolist(), strict=True)]
+        decoded = [b"".join([piece[i] for i in every[a:b]]) for a, b in spans]
+        shown = [("".join([f"{i}," for i in every[a:b]])).encode() for a, b in spans]
 
-        def one(text: str) -> tuple[int, str, str]:
-            found = encoder(text)
-            decoded = b"".join([x[2] for x in found]).decode("utf-8", "replace")
-            ids = ",".join([x[1] for x in found]).encode()
-            return sum([x[0] for x in found]), hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
+        def one(numbers: np.ndarray) -> tuple[int, str, str]:
+            own = numbers.tolist()
+            text = b"".join([decoded[k] for k in own]).decode("utf-8", "replace")
+            listed = b"".join([shown[k] for k in own])[:-1]
+            return int(count[numbers].sum()), hashlib.sha256(listed).hexdigest(), hashlib.sha256(text.encode()).hexdigest()
 
         return one
 
-    carried = [c for c in df.columns if c not in (*names, text_col)]
-    return _mapped(df, text_col, names, "n_tokens long, ids_sha256 string, decoded_sha256 string", carried, start)
+    new = {"n_tokens": ("long", pa.int64()), "ids_sha256": ("string", pa.string()), "decoded_sha256": ("string", pa.string())}
+    return _joined(df, path, text_col, [c for c in df.columns if c not in (*new, text_col)], new, make)
 
 
 def decode_ids(ids: list[int], piece: list[bytes]) -> str:

@@ -194,17 +194,36 @@ def test_quality_measures(docs):
         assert r["base_failed"] == (len(w) < 50 or 100 * len(rep) > 50 * len(w)) and not (r["base_failed"] and r["kept"])
 
 
-def test_bpe_round_trip(docs, spark):
+@pytest.mark.parametrize("chunk_bytes", [1 << 25, 1 << 9])
+def test_bpe_round_trip(docs, spark, monkeypatch, chunk_bytes):
     from tokenizers import Tokenizer
 
+    monkeypatch.setattr(bpe, "CHUNK_BYTES", chunk_bytes)
+    monkeypatch.setattr(bpe, "TEXTS", 4)
     t = Tokenizer.from_file(bpe.default_tokenizer())
-    more = spark.createDataFrame([(900, "a <|endoftext|> b  \n c"), (901, "it's I'LL  　 x1y2 ñandú 😀")], "doc_id long, text string")
-    every = docs.select("doc_id", "text").unionByName(more)
-    coded = bpe.encode_column(every, table_words=5)
+    more = ["a <|endoftext|> b  \n c", "it's I'LL  　 x1y2 ñandú 😀", "!!<|endoftext|><|endoftext|>  <|endoftext|>", "ࡰaࡰ 𞀰", "日本語" * 30000, "\n\n x \t\ty\r\n", "a\x1cb\x85c d"]
+    every = docs.select("doc_id", "text").unionByName(spark.createDataFrame(list(enumerate(more, 900)), "doc_id long, text string"))
+    coded = bpe.encode_column(every)
+    ids = lambda text: t.encode(text or "", add_special_tokens=False).ids
     for r in coded.collect():
-        assert list(r["ids"]) == t.encode(r["text"] or "", add_special_tokens=False).ids
+        assert list(r["ids"]) == ids(r["text"])
     assert bpe.decode_column(coded).where("decoded <> coalesce(text, '')").count() == 0
-    assert bpe.round_trip(every).where(F.col("n_tokens") < 0).count() == 0
+    digest = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    wanted = Counter()
+    for r in every.collect():
+        own = ids(r["text"])
+        wanted[r["doc_id"], len(own), digest(",".join(map(str, own))), digest(t.decode(own, skip_special_tokens=False))] += 1
+    assert by_row(bpe.round_trip(every), "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == wanted
+
+
+def test_bpe_numbers_of_any_size_are_kept():
+    rng = np.random.default_rng(2)
+    numbers = np.concatenate([rng.integers(0, 1 << k, 50) for k in range(1, 27)])
+    rng.shuffle(numbers)
+    ends = np.array([0, 7, 7, 600, len(numbers)])
+    got = [bpe._decoded(x) for x in bpe._coded(numbers, ends)]
+    assert [len(g) for g in got] == np.diff(ends, prepend=0).tolist() and np.concatenate(got).tolist() == numbers.tolist()
+    assert bpe._unpacked(bpe._packed(numbers)).tolist() == numbers.tolist()
 
 
 def test_language(spark):
