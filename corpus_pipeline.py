@@ -58,7 +58,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document of the mix."""
-    return bpe.encode_column(docs.select("doc_id", "text", "lang", "source")).drop("text").withColumn("n_tokens", F.size("ids"))
+    return bpe.encode_column(docs, keep=["doc_id", "lang", "source"]).withColumn("n_tokens", F.size("ids"))
 
 
 STAGES = [
