@@ -1,12 +1,13 @@
 """Suffix-array dedup: Burrows-Wheeler transforms of shards, merged by refining their interleave.
 
 Content-defined anchors bring together what can repeat at all: the pieces of text around one anchor.
-Each piece is a shard with a suffix order and a transform of its own, over an alphabet of runs of
-``STEP`` bytes. Shards are merged as follows: at first all suffixes are one interval, shard after
-shard, each shard in its order. A round takes the symbol before every suffix, in the present interleave,
-and deals the suffixes out by it, keeping the order within a symbol; so the suffixes one symbol longer
-stand in order of one symbol more, without being sorted anew. Where symbol or former interval changes, a
-new interval begins, and the round's number is the common prefix there. An interval of one suffix is
+Each piece is a shard with a suffix order and a Burrows-Wheeler transform of its own, over an alphabet of
+runs of ``STEP`` bytes: the symbol before each suffix in order, and where in the order the suffix
+stands that begins with it. Shards are merged as follows: at first all suffixes are one interval, shard
+after shard, each in its order. A round reads the transforms' symbols in the present interleave and deals
+the suffixes before them out by symbol, keeping the order within a symbol; so suffixes stand in order of
+one symbol more, without being sorted anew. Where symbol or former interval changes, a new interval
+begins; suffixes that go on sharing one have a common prefix of one symbol more. An interval of one suffix is
 settled, and so are all longer suffixes it leads to; they are left out of later rounds. After
 ``LENGTH / STEP`` rounds, what still shares an interval is a repeat of ``LENGTH`` bytes.
 """
@@ -14,28 +15,46 @@ settled, and so are all longer suffixes it leads to; they are left out of later
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from meibo.llm.anchored import gram_hashes
 from meibo.llm.common import table
-from meibo.llm.repeats import Kind, covered, identified, repeated_runs
+from meibo.llm.repeats import Kind, covered, marked, removed_spans
 
 #: Bytes of a repeat, of an anchor's gram, and of a symbol.
 LENGTH, GRAM, STEP = 400, 128, 50
 
 
-def text_bytes(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8)
+def text_bytes(text: bytes) -> np.ndarray:
+    return np.frombuffer(text, dtype=np.uint8)
 
 
-def shard_orders(sym: np.ndarray, piece: np.ndarray, at: np.ndarray) -> np.ndarray:
+def cutter(text: str):
+    own = text.encode("utf-8", "surrogatepass")
+    return lambda a, b: own[a:b]
+
+
+@dataclass
+class Transforms:
+    """The transforms of all shards, shard after shard.
+
+    ``order`` has the shards' suffixes, by place in the joined bytes; ``symbol`` the symbol before each, -1 if
+    its shard has none there; ``before`` where in ``order`` the suffix beginning with that symbol stands.
+    """
+
+    order: np.ndarray
+    symbol: np.ndarray
+    before: np.ndarray
+    last: np.ndarray
+
+
+def shard_orders(sym: np.ndarray, shard: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The suffixes ``at`` ordered shard by shard, each by its symbols; -1 stands for no symbol."""
-    order = at[np.lexsort((sym[at], piece[at]))]
-    same = (sym[order[1:]] == sym[order[:-1]]) & (piece[order[1:]] == piece[order[:-1]])
+    order = at[np.lexsort((sym[at], shard[at]))]
+    same = (sym[order[1:]] == sym[order[:-1]]) & (shard[order[1:]] == shard[order[:-1]])
     tied = np.zeros(len(order), dtype=bool)
     tied[1:] |= same
     tied[:-1] |= same
@@ -44,53 +63,66 @@ def shard_orders(sym: np.ndarray, piece: np.ndarray, at: np.ndarray) -> np.ndarr
         keys = [sym[few]]
         for k in range(STEP, LENGTH, STEP):
             on = np.minimum(few + k, len(sym) - 1)
-            keys.append(np.where(piece[on] == piece[few], sym[on], -1))
-        order[tied] = few[np.lexsort((*reversed(keys), piece[few]))]
+            keys.append(np.where(shard[on] == shard[few], sym[on], -1))
+        order[tied] = few[np.lexsort((*reversed(keys), shard[few]))]
     return order
 
 
-def merge(pieces: list[np.ndarray], copies: np.ndarray) -> list[np.ndarray]:
-    """For every piece, which of its window starts begin ``LENGTH`` bytes that the pieces hold twice."""
-    size = np.array([len(p) for p in pieces])
+def transforms(shards: list[np.ndarray]) -> Transforms:
+    """The transforms of shards of bytes."""
+    size = np.array([len(p) for p in shards])
     base = np.concatenate(([0], np.cumsum(size)))
-    joined = np.concatenate(pieces)
-    piece = np.repeat(np.arange(len(pieces)), size)
-    place = np.arange(len(joined)) - base[piece]
+    joined = np.concatenate(shards)
+    shard = np.repeat(np.arange(len(shards)), size)
+    place = np.arange(len(joined)) - base[shard]
     sym = np.full(len(joined), -1, dtype=np.int64)
     g = gram_hashes(joined, STEP)
-    whole = place + STEP <= size[piece]  # a run that would reach into the next shard is none
-    inside = np.flatnonzero(whole[: len(g)])
+    inside = np.flatnonzero((place + STEP <= size[shard])[: len(g)])  # a symbol does not reach into the next shard
     sym[inside] = np.unique(g[inside], return_inverse=True)[1]
-
-    order = shard_orders(sym, piece, np.arange(len(joined)))
-    interval = np.zeros(len(order), dtype=np.int64)
-    # a suffix that ends with its shard opens the interleave: it leads on the symbol before it
-    ends = base[1:][size >= STEP] - STEP
-    first = True
-    for _ in range(LENGTH // STEP):
-        keep = place[order] >= STEP
-        before, old = order[keep] - STEP, interval[keep]
-        if first:
-            before, old = np.concatenate((ends, before)), np.concatenate((np.zeros(len(ends), dtype=np.int64), old))
-            first = False
-        symbol = sym[before]
+    order = shard_orders(sym, shard, np.arange(len(joined)))
+    stands = np.empty(len(order), dtype=np.int64)
+    stands[order] = np.arange(len(order))
+    has = place[order] >= STEP
+    symbol, before = np.full(len(order), -1, dtype=np.int64), np.zeros(len(order), dtype=np.int64)
+    symbol[has], before[has] = sym[order[has] - STEP], stands[order[has] - STEP]
+    # the suffix of one symbol that ends its shard stands before the empty suffix
+    last = base[1:][size >= STEP] - STEP
+    return Transforms(order, symbol, before, np.stack([stands[last], sym[last]]))
+
+
+def common_prefixes(t: Transforms, rounds: int) -> np.ndarray:
+    """For every suffix in ``t.order``, how many symbols it shares with another suffix of any shard, up to ``rounds``."""
+    prefix = np.zeros(len(t.order), dtype=np.int16)
+    at, interval = np.arange(len(t.order)), np.zeros(len(t.order), dtype=np.int64)
+    for number in range(1, rounds + 1):
+        symbol, before, old = t.symbol[at], t.before[at], interval
+        if number == 1:  # the empty suffixes open the interleave
+            symbol, before = np.concatenate((t.last[1], symbol)), np.concatenate((t.last[0], before))
+            old = np.concatenate((np.zeros(t.last.shape[1], dtype=np.int64), old))
         real = symbol >= 0
-        before, old, symbol = before[real], old[real], symbol[real]
-        dealt = np.argsort(symbol, kind="stable")
-        before, old, symbol = before[dealt], old[dealt], symbol[dealt]
+        symbol, before, old = symbol[real], before[real], old[real]
         if not len(before):
-            order = before
             break
+        dealt = np.argsort(symbol, kind="stable")
+        symbol, before, old = symbol[dealt], before[dealt], old[dealt]
         new = np.concatenate(([True], (symbol[1:] != symbol[:-1]) | (old[1:] != old[:-1])))
-        number = np.cumsum(new) - 1
-        shared = np.bincount(number)[number] > 1
-        order, interval = before[shared], number[shared]
-    repeated = np.zeros(len(joined), dtype=bool)
-    repeated[order] = True
-    return [repeated[a : a + max(0, n - LENGTH + 1)] for a, n in zip(base[:-1].tolist(), size.tolist(), strict=True)]
+        interval = np.cumsum(new) - 1
+        shared = np.bincount(interval)[interval] > 1
+        at, interval = before[shared], interval[shared]
+        prefix[at] = number
+    return prefix
 
 
-BYTES = Kind(LENGTH, GRAM, text_bytes, merge)
+def merge(pieces: list[np.ndarray], copies: np.ndarray) -> list[np.ndarray]:
+    """For every piece, which of its window starts begin ``LENGTH`` bytes that the pieces hold twice."""
+    t = transforms(pieces)
+    repeated = np.zeros(len(t.order), dtype=bool)
+    repeated[t.order] = common_prefixes(t, LENGTH // STEP) == LENGTH // STEP
+    ends = np.cumsum([len(p) for p in pieces]).tolist()
+    return [repeated[b - len(p) : max(b - len(p), b - LENGTH + 1)] for p, b in zip(pieces, ends, strict=True)]
+
+
+BYTES = Kind(LENGTH, GRAM, cutter, text_bytes, merge)
 
 
 def remove_repeats(df: DataFrame, key: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -98,32 +130,19 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text_col: str = "text") -
 
     ``spans`` are the maximal runs of removed bytes (first, count); the other bytes need not be valid
     UTF-8 by themselves, so their digest is returned. Every byte is judged on the input. A null text
-    counts as empty; repeated rows are copies of each other.
+    counts as empty; repeated rows are copies of each other. An empty table gives an empty one; texts of
+    any length are taken whole.
     """
     names = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "spans")
-    own = [c for c in df.columns if c not in names]
-    docs = identified(df.select(*own), key, text_col)
-    joined = docs.join(repeated_runs(docs, BYTES, text_col), ["_r1", "_r2"], "left")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name in own)
-    schema += ", n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<first:int,count:int>>"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        long, kind = pa.int64(), pa.list_(pa.struct([("first", pa.int32()), ("count", pa.int32())]))
-        for batch in batches:
-            out = []
-            for text, runs in zip(batch.column(text_col).to_pylist(), batch.column("_runs").to_pylist(), strict=True):
-                data = text_bytes(text)
-                gone = covered(runs, len(data), LENGTH)
-                edge = np.flatnonzero(np.diff(np.concatenate(([0], gone.astype(np.int8), [0]))))
-                spans = [{"first": a, "count": b - a} for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)]
-                kept = data[~gone] if spans else data
-                out.append((len(data), len(data) - len(kept), len(spans), hashlib.sha256(kept.tobytes()).hexdigest(), spans))
-            if out:
-                types = (long, long, long, pa.string(), kind)
-                cols = [pa.array(list(x), t) for x, t in zip(zip(*out, strict=True), types, strict=True)]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), *cols], [*own, *names])
-
-    return joined.select(*own, "_runs").mapInArrow(run, schema)
+
+    def one(text: str, runs: np.ndarray) -> tuple:
+        data = text_bytes(text.encode("utf-8", "surrogatepass"))
+        gone = covered(runs, len(data), LENGTH)
+        spans, kept = removed_spans(gone), data[~gone] if len(runs) else data
+        return len(data), len(data) - len(kept), len(spans), hashlib.sha256(kept.tobytes()).hexdigest(), spans
+
+    made = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<first:int,count:int>>"
+    return marked(df, BYTES, key, text_col, [c for c in df.columns if c not in names], made, one)
 
 
 def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -61,8 +61,8 @@ def test_substring_dedup(docs):
     assert by_row(out, "doc_id", "n_words", "n_removed", "kept_text") == brute_words(corpus())
 
 
-def test_suffix_dedup(docs):
-    rows = [(d, (t or "").encode()) for d, t, *_ in corpus()]
+def brute_bytes(rows):
+    rows = [(d, (t or "").encode()) for d, t, *_ in rows]
     seen = Counter(b[i : i + 400] for _, b in rows for i in range(len(b) - 399))
     expected = Counter()
     for d, b in rows:
@@ -75,15 +75,46 @@ def test_suffix_dedup(docs):
         kept = np.frombuffer(b, dtype=np.uint8)[~mask].tobytes()
         spans = int((np.diff(np.concatenate(([0], mask.astype(int)))) == 1).sum())
         expected[(d, len(b), int(mask.sum()), spans, hashlib.sha256(kept).hexdigest())] += 1
-    assert by_row(suffixes.remove_repeats(docs), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == expected
+    return expected
+
 
+def test_suffix_dedup(docs):
+    got = by_row(suffixes.remove_repeats(docs), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert got == brute_bytes(corpus())
 
-@pytest.mark.parametrize("hot", [1, 1000])
-def test_pieces_are_compared_alike_in_a_task_and_by_keys(docs, monkeypatch, hot):
+
+@pytest.mark.parametrize(("hot", "block"), [(1, 1 << 20), (2, 1), (1024, 1), (1024, 1 << 20)])
+def test_pieces_are_compared_alike_in_a_task_and_by_keys(docs, monkeypatch, hot, block):
     from meibo.llm import repeats
 
     monkeypatch.setattr(repeats, "HOT", hot)
+    monkeypatch.setattr(repeats, "BLOCK", block)
     assert by_row(substring.remove_repeats(docs), "doc_id", "n_words", "n_removed", "kept_text") == brute_words(corpus())
+    assert by_row(suffixes.remove_repeats(docs), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute_bytes(corpus())
+
+
+def test_runs_of_equal_pieces_are_one_row(spark):
+    """A text of one letter has a piece for each byte; they reach Spark as one row, at any length."""
+    from meibo.llm import repeats
+
+    df = spark.createDataFrame([(1, "a" * 300_000), (2, "ab " * 1000)], "doc_id long, text string")
+    pieces = repeats.all_pieces(repeats.identified(df, "doc_id", "text", []), suffixes.BYTES)
+    assert pieces.count() < 50
+    got = {r["doc_id"]: r["n_removed"] for r in suffixes.remove_repeats(df).collect()}
+    assert got == {1: 300_000, 2: 3000}
+
+
+def test_parse_extends_factors_and_checks_their_ends():
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 60, 300, dtype=np.uint64)
+    fresh = lambda n: rng.integers(0, 1 << 60, n, dtype=np.uint64)
+    pieces = [base, np.concatenate((base[10:80], base[50:120], fresh(5), base[200:240])), np.concatenate((fresh(3), base[100:134])), np.tile(base[:3], 30)]
+    seen = Counter(tuple(p[i : i + 35]) for p in pieces for i in range(len(p) - 34))
+    wanted = [[seen[tuple(p[i : i + 35])] > 1 for i in range(len(p) - 34)] for p in pieces]
+    assert [f.tolist() for f in substring.parse(pieces, np.ones(4, dtype=int))] == wanted
+    block = substring.BlockIndex(pieces)
+    assert block.factor(300) == 70 and block.factor(10) == 70 and block.factor(0) == 0
+    assert all(substring.parse(pieces, np.array([1, 1, 2, 1]))[2])
 
 
 def test_long_texts_are_cut_into_pieces_without_effect(monkeypatch):
@@ -376,7 +407,7 @@ def test_viterbi_is_the_best_of_all_labelings():
     assert score(html.viterbi(page, model)) == pytest.approx(max(map(score, every)))
 
 
-CLASH = ("h", "runs", "words", "fp", "component", "id", "src", "size", "marks", "next", "n", "score", "key", "part", "u", "r1", "r2", "_g", "block", "ids")
+CLASH = ("h", "runs", "words", "fp", "component", "id", "src", "size", "marks", "next", "n", "score", "key", "part", "u", "r1", "r2", "_g", "block", "ids", "_r1", "_r2", "_runs", "_text", "_words", "_lines", "text_", "c0", "c1", "span", "chunk", "numbers", "anchor")
 
 
 @pytest.mark.parametrize("empty", [True, False])
