@@ -164,10 +164,11 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 
 def format_chats(df: DataFrame, key: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """(key, part, n_turns, cost, rendered): the repaired conversation, its parts in order.
+    """(key, part, n_parts, total_cost, n_turns, cost, rendered): a row for each part of a repaired conversation.
 
-    Parts' texts joined make the whole; a conversation whose turn numbers lie within ``PART`` of each
-    other's multiple is one part. Turns go by number, nulls first, then by role and by a hash of the
+    The texts of a conversation's parts, joined in the order of ``part``, make the whole, and their costs add up to
+    ``total_cost``. No row holds a conversation of any length: a part is the turns whose numbers have the same
+    multiple of ``PART`` below them, so that a usual conversation is one row. Turns go by number, nulls first, then by role and by a hash of the
     text. An unknown or null role must be replaced, a null text is empty, repeated rows are turns of
     their own, and a null key is a conversation of its own. An empty table gives an empty one.
     """
@@ -200,9 +201,12 @@ def format_chats(df: DataFrame, key: str = "conv_id", turn: str = "turn", role:
 
     def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            c, part, before, after, last = [], [], [], [], []
+            c, part, before, after, last, parts, total = [], [], [], [], [], [], []
             for name, ms in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 cross = crossings([np.array(x["m"], dtype=np.int64).reshape(STATES, STATES) for x in ms])
+                whole = sum(x["m"][a * STATES + b] for x, (a, b) in zip(ms, cross, strict=True)) + STOP[cross[-1][1]][0]
+                parts += [len(ms)] * len(ms)
+                total += [whole] * len(ms)
                 for k, (x, (a, b)) in enumerate(zip(ms, cross, strict=True)):
                     c.append(name)
                     part.append(x["part"])
@@ -210,10 +214,11 @@ def format_chats(df: DataFrame, key: str = "conv_id", turn: str = "turn", role:
                     after.append(b)
                     last.append(k == len(ms) - 1)
             cols = [pa.array(c, pa.string()), pa.array(part, pa.int64()), pa.array(before, pa.int32()), pa.array(after, pa.int32()), pa.array(last, pa.bool_())]
-            yield pa.RecordBatch.from_arrays(cols, ["c", "part", "before", "after", "last"])
+            cols += [pa.array(parts, pa.int64()), pa.array(total, pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, ["c", "part", "before", "after", "last", "parts", "total"])
 
     gathered = matrices.groupBy("c").agg(F.array_sort(F.collect_list(F.struct("part", "m"))).alias("ms"))
-    crossed = gathered.mapInArrow(ends, "c string, part long, before int, after int, last boolean")
+    crossed = gathered.mapInArrow(ends, "c string, part long, before int, after int, last boolean, parts long, total long")
     kind = df.schema[key].dataType.simpleString()
 
     def rendered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,12 +228,13 @@ def format_chats(df: DataFrame, key: str = "conv_id", turn: str = "turn", role:
             body, n = render(g.column("x").to_pylist(), way, before != START, after if last else None)
             cost += STOP[after][0] if last else 0
             values = [pa.array([n], pa.int64()), pa.array([cost], pa.int64()), pa.array([body])]
-            yield pa.RecordBatch.from_arrays([g.column("k").combine_chunks()[:1], g.column("part").combine_chunks()[:1], *values], [key, "part", "n_turns", "cost", "rendered"])
+            first = [g.column(x).combine_chunks()[:1] for x in ("k", "part", "parts", "total")]
+            yield pa.RecordBatch.from_arrays([*first, *values], [key, "part", "n_parts", "total_cost", "n_turns", "cost", "rendered"])
 
     # dealt before the join, so that a part lies in one partition however the join is run
     whole = turns.repartition("c", "part").join(crossed, ["c", "part"]).sortWithinPartitions("c", "part", "t", "r", "h")
-    return whole.select("c", "part", "k", "r", "x", "before", "after", "last").mapInArrow(
-        rendered, f"`{key}` {kind}, part long, n_turns long, cost long, rendered string"
+    return whole.select("c", "part", "k", "r", "x", "before", "after", "last", "parts", "total").mapInArrow(
+        rendered, f"`{key}` {kind}, part long, n_parts long, total_cost long, n_turns long, cost long, rendered string"
     )
 
 

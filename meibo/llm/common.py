@@ -36,14 +36,13 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> None:
-    """Makes sure that ``checkpoint()`` has a folder: the one that the cluster names, else one for tests."""
+    """Makes sure that ``checkpoint()`` has a folder that all executors share: the one in ``spark.checkpoint.dir``."""
     if spark.sparkContext.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
-        if named is None:
-            import tempfile
-
-            named = tempfile.mkdtemp(prefix="spark-checkpoint-")
-        spark.sparkContext.setCheckpointDir(named)
+        if named is None and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        # in one process, as in tests, any folder is shared
+        spark.sparkContext.setCheckpointDir(named or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoint")
 
 
 def cut(df: DataFrame) -> DataFrame:

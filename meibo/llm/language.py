@@ -23,8 +23,10 @@ DICT_BYTES = 1 << 17
 SAMPLE_ROWS = 400
 #: Bytes compressed at once: short enough for the dictionary to count, in long texts too.
 BLOCK = 2048
-#: zstandard's level, and its level for texts of one block, whose sizes differ by few bytes.
-LEVEL, SHORT_LEVEL = 3, 17
+#: zstandard's level: high enough that the sizes of short texts, which differ by few bytes, tell languages apart.
+LEVEL = 7
+#: Languages that are learned at most; a text is compressed once for each.
+MOST_LANGUAGES = 256
 #: Below this share of the runner-up's size, a margin is narrow.
 MARGIN = 0.01
 #: The code for texts that have no language.
@@ -43,12 +45,15 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", key
 
     About ``SAMPLE_ROWS`` rows of each language are read: those whose key's hash lies in the share of
     the hash range that gives so many, so reruns agree and no language is sorted or gathered whole.
-    A sample text counts with a sixteenth of ``DICT_BYTES`` at most.
+    A sample text counts with a sixteenth of ``DICT_BYTES`` at most. Rows without a text or a language teach
+    nothing, an empty table gives an empty model, and over ``MOST_LANGUAGES`` languages are an error.
     """
     rows = labelled.select(
         F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(key).cast("string")).alias("h")
     ).where("lang IS NOT NULL AND length(text) > 0")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     if not counts:
         return {}
     share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, SAMPLE_ROWS / n))])
@@ -64,7 +69,8 @@ def classify(df: DataFrame, model: dict[str, bytes], text_col: str = "text", mar
     """``df`` with ``lang_pred``, ``score`` (0 to 1) and ``rejected``, replacing columns so named.
 
     A null text or one without a letter is ``und`` with score 0 and is rejected. So is, with its best
-    guess kept, a text whose margin is under ``margin``. Case is ignored. Ties go to the language that
+    guess kept, a text whose margin is under ``margin``. Case is ignored. Texts of any length are read whole;
+    repeated rows get equal answers, and an empty table gives an empty one. Ties go to the language that
     comes first in ``model``, which is the one with the most labelled rows.
     """
     names = ("lang_pred", "score", "rejected")
@@ -75,14 +81,14 @@ def classify(df: DataFrame, model: dict[str, bytes], text_col: str = "text", mar
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard as z
 
-        def coder(data: bytes, level: int):
+        def coder(data: bytes):
             d = z.ZstdCompressionDict(data, dict_type=z.DICT_TYPE_RAWCONTENT)
-            d.precompute_compress(level=level)
-            params = z.ZstdCompressionParameters.from_level(level, write_content_size=False, write_dict_id=False)
+            d.precompute_compress(level=LEVEL)
+            params = z.ZstdCompressionParameters.from_level(LEVEL, write_content_size=False, write_dict_id=False)
             return z.ZstdCompressor(dict_data=d, compression_params=params).compress
 
         langs = list(model_b.value)
-        coders = {level: [coder(model_b.value[x], level) for x in langs] for level in (LEVEL, SHORT_LEVEL)}
+        coders = [coder(model_b.value[x]) for x in langs]
 
         def one(text: str | None) -> tuple[str, float, bool]:
             if not langs or text is None or not _LETTER.search(text):
@@ -92,7 +98,7 @@ def classify(df: DataFrame, model: dict[str, bytes], text_col: str = "text", mar
             n = max(1, round(len(data) / BLOCK))
             cuts = [len(data) * k // n for k in range(n + 1)]
             blocks = [data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
-            sizes = sorted((sum([len(c(b)) for b in blocks]), k) for k, c in enumerate(coders[SHORT_LEVEL if n == 1 else LEVEL]))
+            sizes = sorted((sum([len(c(b)) for b in blocks]), k) for k, c in enumerate(coders))
             best, least = sizes[0][1], sizes[0][0]
             gap = 1 - least / sizes[1][0] if len(sizes) > 1 else 1.0
             return langs[best], gap, gap < margin

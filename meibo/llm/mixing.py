@@ -6,7 +6,8 @@ words are drawn from the front of that order: its quota of block draws. The quot
 then split among output shards by a binary tree: at each node the draws of the left half are a
 multivariate-hypergeometric sample without replacement, so all shards are alike and the quotas are met
 exactly. A shard walks from the root to its leaf alone, its random numbers coming from the node's
-number, and so finds which draws of each source are its own. Within a shard, rows are shuffled locally.
+number, and so finds which draws of each source are its own. What a document gives to the mix is the sum
+over the shards' draws of its block. Within a shard, rows are shuffled locally.
 
 What reaches the driver is one row for each source, at most ``MAX_SOURCES``.
 """
@@ -25,8 +26,8 @@ from meibo.llm.common import cut, table, text_of
 WEIGHTS = (5.0, 2.0, 1.0)
 #: Words of the mix as a share of all words, and the most that a source is repeated.
 SHARE, MOST = 1.5, 2.0
-#: Documents in a block, on average.
-BLOCK_DOCS = 64
+#: Documents in a block, on average, and the most blocks, beyond which blocks grow (random draws take up to 10^9).
+BLOCK_DOCS, MOST_BLOCKS = 64, 1 << 26
 #: Words in an output shard, about.
 SHARD_WORDS = 1 << 22
 MAX_SOURCES = 100_000
@@ -84,8 +85,8 @@ class Mix:
         self.spark, self.df, self.key, self.source_col, self.text_col, self.seed = df.sparkSession, df, key, source_col, text_col, seed
         source = F.when(F.col(source_col).isNull(), F.lit("")).otherwise(F.concat(F.lit("s"), F.col(source_col).cast("string")))
         size = F.regexp_count(text_of(text_col), F.lit(WORD)).cast("long")
-        rank = F.xxhash64(F.lit(seed), F.col(key).cast("string"))
-        self.sized = cut(df.select(F.col(key).alias("id"), source.alias("src"), size.alias("size"), rank.alias("h")))
+        self.identity = (F.xxhash64(F.lit(seed), *df.columns).alias("h"), F.hash(F.lit(seed), *df.columns).alias("h2"))
+        self.sized = cut(df.select(F.col(key).alias("id"), source.alias("src"), size.alias("size"), *self.identity))
         self._plan()
 
     def _plan(self) -> None:
@@ -94,11 +95,12 @@ class Mix:
             raise ValueError(f"more than {MAX_SOURCES} sources")
         totals = sorted(totals, key=lambda r: (r["src"] == "", r["src"]))
         goal = targets([r["words"] for r in totals])
+        block_docs = max(BLOCK_DOCS, -(-sum(r["docs"] for r in totals) // MOST_BLOCKS))
         plan = []
         for r, t in zip(totals, goal, strict=True):
             quota = round(t)
             whole, rest = divmod(quota, r["words"]) if r["words"] else (0, 0)
-            blocks = -(-r["docs"] // BLOCK_DOCS)
+            blocks = -(-r["docs"] // block_docs)
             plan.append((r["src"], r["words"], float(t), whole, rest, blocks, max(1, round(blocks**0.5))))
         schema = "src string, source_size long, target double, whole long, rest long, n_blocks long, n_groups long"
         self.sources = F.broadcast(self.spark.createDataFrame(plan, schema))
@@ -129,6 +131,7 @@ class Mix:
             "src",
             "block",
             "whole",
+            "words",
             (F.col("n0") + inside(F.lit(1))).alias("place"),
             # words of the block that the last, partial pass takes
             F.greatest(F.lit(0), F.least("words", F.col("rest") - F.col("w0") - inside("words"))).alias("part"),
@@ -161,37 +164,42 @@ class Mix:
             .withColumn("pass", F.explode(F.sequence(F.lit(0).cast("long"), last)))
             .withColumn("draw", F.col("pass") * F.col("n") + F.col("place"))
         )
-        self.draws = draws.join(owned, ["src", "draw"]).select("src", "block", "pass", "shard")
+        words = F.when(F.col("pass") == F.col("whole"), F.col("part")).otherwise(F.col("words"))
+        self.draws = draws.join(owned, ["src", "draw"]).select("src", "block", "pass", "shard", words.alias("drawn"), "words")
 
     def taken(self) -> DataFrame:
-        """(id, src, block, h, size, source_size, target, taken, shards) of every input row."""
-        drawn = self.draws.groupBy("src", "block").agg(F.array_sort(F.collect_list(F.struct("pass", "shard"))).alias("d"))
-        drawn = self.blocks.join(drawn, ["src", "block"], "left").select("src", "block", "part", F.col("d.shard").alias("shards"))
-        docs = self.dealt.join(drawn, ["src", "block"])
-        # a block that is taken in part gives its documents in their order
-        order = Window.partitionBy("src", "block").orderBy("h", "id").rowsBetween(Window.unboundedPreceding, -1)
-        some = docs.withColumn("before", F.coalesce(F.sum("size").over(order), F.lit(0)))
-        part = F.greatest(F.lit(0), F.least("size", F.col("part") - F.col("before")))
-        return some.select(
-            "id", "src", "block", "h", "size", "source_size", "target", (F.col("whole") * F.col("size") + part).alias("taken"), "shards"
+        """(id, src, block, h, h2, size, source_size, target, taken, shards) of every input row.
+
+        ``shards`` are those that draw its block; ``taken`` sums what it gives to them: all its words to a
+        draw of the whole block, and to a draw of a part those that come first in the block's order.
+        """
+        partial = F.col("drawn") < F.col("words")
+        drawn = self.draws.groupBy("src", "block").agg(
+            F.count_if(~partial).alias("times"),
+            F.coalesce(F.max(F.when(partial, F.col("drawn"))), F.lit(0)).alias("part"),
+            F.array_sort(F.collect_list(F.struct("pass", "shard")))["shard"].alias("shards"),
         )
+        docs = self.dealt.join(drawn, ["src", "block"], "left")
+        order = Window.partitionBy("src", "block").orderBy("h", "h2").rowsBetween(Window.unboundedPreceding, -1)
+        some = docs.withColumn("before", F.coalesce(F.sum("size").over(order), F.lit(0)))
+        part = F.greatest(F.lit(0), F.least("size", F.coalesce("part", F.lit(0)) - F.col("before")))
+        taken = F.coalesce("times", F.lit(0)) * F.col("size") + part
+        return some.select("id", "src", "block", "h", "h2", "size", "source_size", "target", taken.alias("taken"), "shards")
 
     def rows(self) -> DataFrame:
         """The mix itself: the columns of the input, one row for each copy, by shard and shuffled in it.
 
         Whole documents are written: one that is taken in part is written if half of it is taken.
         """
-        t = self.taken()
         copies = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
-        mine = t.where("size > 0").withColumn("copies", copies).where("copies > 0")
-        mine = mine.groupBy("id").agg(F.max("copies").alias("copies"), F.max("shards").alias("shards"))
-        names = self.df.columns
-        own = self.df.select(F.struct(*names).alias("row"), F.col(self.key).alias("id"), text_of(self.text_col).alias("t"))
-        own = own.where(F.regexp_like("t", F.lit(r"[^\x20\x09-\x0D]"))).drop("t")
-        own = own.join(mine.withColumnRenamed("id", "id2"), F.col("id").eqNullSafe(F.col("id2")))
-        each = own.select("row", "id", F.posexplode(F.slice("shards", 1, "copies")).alias("pass", "shard"))
-        mixed = each.repartition("shard").sortWithinPartitions("shard", F.xxhash64(F.lit(self.seed), "id", "pass"), "pass")
-        return mixed.select("row.*")
+        mine = self.taken().where("size > 0").withColumn("copies", copies).where("copies > 0")
+        mine = mine.select(F.col("h").alias("m"), F.col("h2").alias("m2"), F.posexplode(F.slice("shards", 1, "copies")).alias("pass", "shard"))
+        own = self.df.select(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(self.df.columns)), *self.identity)
+        own = own.where(F.regexp_like(text_of(f"c{self.df.columns.index(self.text_col)}"), F.lit(r"[^\x20\x09-\x0D]")))
+        # rows of one identity are equal, so one of them stands for all that is drawn
+        each = own.dropDuplicates(["h", "h2"]).join(mine, (F.col("h") == F.col("m")) & (F.col("h2") == F.col("m2")))
+        mixed = each.repartition("shard").sortWithinPartitions("shard", F.xxhash64(F.lit(self.seed), "h", "pass"), "pass")
+        return mixed.select(*(F.col(f"c{k}").alias(c) for k, c in enumerate(self.df.columns)))
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,6 +18,8 @@ STOP_WORDS = (
     "el los las y con por una del se lo"
 ).split()
 SYMBOLS = "[#*$%&|<>]"
+#: The rest of a word from its first Latin letter on.
+LATIN_WORD = r"[A-Za-zÀ-ÖØ-öø-ɏ][^\x20\x09-\x0D]*"
 
 
 @dataclass(frozen=True)
@@ -29,13 +31,15 @@ class Rule:
     most: float | None = None
 
 
-#: The verdict's thresholds. Each ratio is 0 to 1 and 0 where its divisor is 0.
+#: The verdict's thresholds, after the published rules for the MassiveText corpus but for wider word lengths. Each ratio is 0
+#: where its divisor is 0. One repeated line is let pass, so that texts of two or three lines are not judged by chance;
+#: stop words are looked for among the words of Latin letters, texts without any not being judged by them.
 RULES = (
     Rule("n_words", least=50),
     Rule("mean_word_chars", least=2.0, most=15.0),
     Rule("symbol_word_ratio", most=0.1),
     Rule("stop_word_ratio", least=0.02),
-    Rule("dup_line_ratio", most=0.6),
+    Rule("dup_line_ratio", most=0.3),
     Rule("repeat_word_ratio", most=0.5),
 )
 
@@ -84,24 +88,26 @@ def measures(df: DataFrame, text_col: str = "text") -> DataFrame:
     name are replaced. Nothing is shuffled and no row is dropped.
     """
     text = text_of(text_col)
-    names = ("_text", "_words", "_lines")
-    staged = df.withColumns({"_text": text, "_words": words_of(text), "_lines": F.split(text, "\n")})
-    full = F.filter(F.col("_lines"), lambda line: F.length(F.regexp_replace(line, r"[\x20\x09-\x0D]+", "")) > 0)
+    own = "_" * (1 + max([len(c) - len(c.lstrip("_")) for c in df.columns], default=0))  # no column of ``df`` begins so
+    t, w, lines = names = f"{own}text", f"{own}words", f"{own}lines"
+    staged = df.withColumns({t: text, w: words_of(text), lines: F.split(text, "\n")})
+    full = F.filter(F.col(lines), lambda line: F.length(F.regexp_replace(line, r"[\x20\x09-\x0D]+", "")) > 0)
     base = {
-        "n_words": F.size("_words").cast("long"),
-        "word_chars": _sum_chars(F.col("_text")).cast("long"),
-        "n_symbols": F.regexp_count(F.col("_text"), F.lit(SYMBOLS)).cast("long"),
+        "n_words": F.size(w).cast("long"),
+        "word_chars": _sum_chars(F.col(t)).cast("long"),
+        "n_symbols": F.regexp_count(F.col(t), F.lit(SYMBOLS)).cast("long"),
         "n_lines": F.size(full).cast("long"),
         "n_dup_lines": (F.size(full) - F.size(F.array_distinct(full))).cast("long"),
-        "n_repeat_words": _repeats(F.col("_words")).cast("long"),
-        "n_stop_words": F.size(F.filter(F.col("_words"), lambda w: F.lower(w).isin(STOP_WORDS))).cast("long"),
+        "n_repeat_words": _repeats(F.col(w)).cast("long"),
+        "n_stop_words": F.size(F.filter(F.col(w), lambda x: F.lower(x).isin(STOP_WORDS))).cast("long"),
+        "n_latin_words": F.regexp_count(F.col(t), F.lit(LATIN_WORD)).cast("long"),
     }
     ratio = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(F.lit(0.0))
     ratios = {
         "mean_word_chars": ratio("word_chars", "n_words"),
         "symbol_word_ratio": ratio("n_symbols", "n_words"),
-        "stop_word_ratio": ratio("n_stop_words", "n_words"),
-        "dup_line_ratio": ratio("n_dup_lines", "n_lines"),
+        "stop_word_ratio": F.when(F.col("n_latin_words") > 0, F.col("n_stop_words") / F.col("n_latin_words")).otherwise(F.lit(1.0)),
+        "dup_line_ratio": F.when(F.col("n_dup_lines") > 1, (F.col("n_dup_lines") - 1) / F.col("n_lines")).otherwise(F.lit(0.0)),
         "repeat_word_ratio": ratio("n_repeat_words", "n_words"),
     }
     return staged.withColumns(base).drop(*names).withColumns(ratios)
@@ -123,7 +129,7 @@ def quality_rules(df: DataFrame, text_col: str = "text", rules: tuple[Rule, ...]
 
     ``base_failed``: under 50 words, or over half of them in repeated windows. ``kept`` is false
     then, and else says whether all ``rules`` hold. Rows are independent: repeated rows get equal
-    answers, an empty table gives an empty one.
+    answers, an empty table gives an empty one, and texts of any length are measured whole.
     """
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return measures(df, text_col).withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & verdict(rules))
@@ -167,13 +173,14 @@ m AS (
          (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
          coalesce(n.n, 0)::BIGINT AS n_repeat_words,
          len(lines) AS n_lines,
-         len(list_filter(ws, lambda w: lower(w) IN ({stop}))) AS n_stop_words
+         len(list_filter(ws, lambda w: lower(w) IN ({stop}))) AS n_stop_words,
+         len(list_filter(ws, lambda w: regexp_matches(w, '[A-Za-zÀ-ÖØ-öø-ɏ]'))) AS n_latin_words
   FROM g LEFT JOIN n USING (doc_id)),
 q AS (
   SELECT *, CASE WHEN n_words > 0 THEN word_chars / n_words ELSE 0 END AS mean_word_chars,
          CASE WHEN n_words > 0 THEN n_symbols / n_words ELSE 0 END AS symbol_word_ratio,
-         CASE WHEN n_words > 0 THEN n_stop_words / n_words ELSE 0 END AS stop_word_ratio,
-         CASE WHEN n_lines > 0 THEN n_dup_lines / n_lines ELSE 0 END AS dup_line_ratio,
+         CASE WHEN n_latin_words > 0 THEN n_stop_words / n_latin_words ELSE 1 END AS stop_word_ratio,
+         CASE WHEN n_dup_lines > 1 THEN (n_dup_lines - 1) / n_lines ELSE 0 END AS dup_line_ratio,
          CASE WHEN n_words > 0 THEN n_repeat_words / n_words ELSE 0 END AS repeat_word_ratio,
          n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed
   FROM m)

@@ -21,6 +21,8 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from meibo.llm.anchored import batched, gram_hashes, mix
 from meibo.llm.common import cut
@@ -51,13 +53,13 @@ class Kind:
 
 
 def identified(df: DataFrame, key: str, text_col: str, own: list[str]) -> DataFrame:
-    """(r1, r2, text, c0, c1, ...): identity, text and the columns ``own`` of every row."""
+    """(r1, r2, text, c0, c1, ...): identity, text and the columns ``own`` of every row; a null text counts as empty."""
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     name = F.col(f"`{key}`").cast("string")
     return df.select(
         F.xxhash64(F.lit(0), name, text).alias("r1"),
         F.hash(F.lit(1), text, name).alias("r2"),
-        text.alias("text"),
+        F.col(f"`{text_col}`").alias("text"),
         *(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(own)),
     )
 
@@ -96,7 +98,7 @@ def all_pieces(docs: DataFrame, kind: Kind) -> DataFrame:
             r1, r2 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for low in range(0, batch.num_rows, TEXTS):
                 texts = batch.column(2).slice(low, TEXTS).to_pylist()
-                parts = [kind.symbols(t.encode("utf-8", "surrogatepass")) for t in texts]
+                parts = [kind.symbols((t or "").encode("utf-8", "surrogatepass")) for t in texts]
                 size = parts[0].itemsize
                 data = [memoryview(p).cast("B") if len(p) else b"" for p in parts]
                 for doc, anchor, _, start, n in batched(parts, kind.length, kind.gram):
@@ -106,7 +108,10 @@ def all_pieces(docs: DataFrame, kind: Kind) -> DataFrame:
                     own = doc[first] + low
                     yield _batch({"anchor": anchor[first], "content": content[first], "r1": r1[own], "r2": r2[own], "span": span})
 
-    return docs.select("r1", "r2", "text").mapInArrow(run, f"anchor long, content long, {_SPAN}")
+    # no column is ever null, so all joins of the pieces read one shuffle: none has a filter of its own
+    types = {"r2": IntegerType()}
+    schema = StructType([StructField(c, types.get(c, LongType()), False) for c in ("anchor", "content", "r1", "r2", "span")])
+    return docs.select("r1", "r2", "text").mapInArrow(run, schema)
 
 
 def window_keys(piece: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -141,7 +146,9 @@ def repeated_runs(docs: DataFrame, kind: Kind) -> DataFrame:
 
     cut_out = docs.join(fetch, ["r1", "r2"]).mapInArrow(_cut_out(kind), f"anchor long, salt long, copies long, {_SPAN}, symbols binary")
     # pieces of hot anchors are dealt one by one, all others anchor by anchor
-    cut_out = cut_out.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt")
+    # a number of its own, since these rows take more time than their size tells
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut_out = cut_out.repartition(tasks, "anchor", "salt").sortWithinPartitions("anchor", "salt")
     compared = cut_out.mapInArrow(_compare(kind), _SPAN)
     many = cut_out.mapInArrow(_window_rows(kind), f"k1 long, k2 long, copies long, {_SPAN}")
     twice = many.groupBy("k1", "k2").agg(F.sum("copies").alias("all")).where("all > 1").select("k1", "k2")
@@ -246,13 +253,12 @@ def covered(runs: np.ndarray, n: int, length: int) -> np.ndarray:
 
 def marked(df: DataFrame, kind: Kind, key: str, text_col: str, own: list[str], made: str, one: Callable) -> DataFrame:
     """``own`` and the columns of the schema ``made``, by ``one(text, spans) -> values`` for each row."""
-    docs = identified(df, key, text_col, own)
+    rest = [c for c in own if c != text_col]
+    place = {c: "text" if c == text_col else f"c{rest.index(c)}" for c in own}
+    docs = identified(df, key, text_col, rest)
     joined = docs.join(repeated_runs(docs, kind), ["r1", "r2"], "left")
     fields = [df.schema[c] for c in own]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), made])
-    from pyspark.sql.pandas.types import to_arrow_type
-    from pyspark.sql.types import StructType
-
     new = [(f.name, to_arrow_type(f.dataType)) for f in StructType.fromDDL(made)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,11 +267,11 @@ def marked(df: DataFrame, kind: Kind, key: str, text_col: str, own: list[str], m
                 batch = whole.slice(low, TEXTS)
                 flat, ends = lists(batch.column("runs"))
                 spans = flat.to_numpy(zero_copy_only=False)
-                rows = [one(t, spans[ends[k] : ends[k + 1]]) for k, t in enumerate(batch.column("text").to_pylist())]
+                rows = [one(t or "", spans[ends[k] : ends[k + 1]]) for k, t in enumerate(batch.column("text").to_pylist())]
                 cols = [pa.array(list(x), t) for x, (_, t) in zip(zip(*rows, strict=True), new, strict=True)]
-                yield pa.RecordBatch.from_arrays([*(batch.column(f"c{k}") for k in range(len(own))), *cols], [*own, *(n for n, _ in new)])
+                yield pa.RecordBatch.from_arrays([*(batch.column(place[c]) for c in own), *cols], [*own, *(n for n, _ in new)])
 
-    return joined.select("text", "runs", *(f"c{k}" for k in range(len(own)))).mapInArrow(run, schema)
+    return joined.select("text", "runs", *(f"c{k}" for k in range(len(rest)))).mapInArrow(run, schema)
 
 
 def removed_spans(gone: np.ndarray) -> list[dict]:

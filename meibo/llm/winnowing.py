@@ -14,7 +14,7 @@ from meibo.llm.common import cut, let, table, text_of, words_of
 
 #: Words of a gram, and grams of a window.
 K, W = 5, 16
-#: doc_ids in a group of neighbours, for finding the next document.
+#: Rows in a group of neighbours, about, for finding the next document.
 NEIGHBOURS = 256
 
 
@@ -71,11 +71,18 @@ def with_neighbours(df: DataFrame, key: str, order_by: str) -> DataFrame:
     """``df`` with ``_g`` and ``_extra``: groups of neighbouring keys, each with a copy of the row that opens the next.
 
     The last group gets the very first row, so within a group every row that is not extra is followed
-    by its next row. No group holds more than ``NEIGHBOURS`` keys, nor any window all groups.
+    by its next row. A group is a stretch of keys that holds about ``NEIGHBOURS`` rows if keys are spread evenly,
+    dense or sparse; null keys, which come first, are dealt by the hash of ``order_by``, the order among them.
+    No window holds all groups.
     """
-    place = F.coalesce(F.col(key), F.lit(-(1 << 62)))
-    rows = df.withColumns({"_g": F.floor(place / NEIGHBOURS), "_extra": F.lit(0)})
-    opening = F.min_by(F.struct(*df.columns), F.struct(place, F.col(order_by))).alias("row")
+    found = df.agg(F.min(key).alias("low"), F.max(key).alias("high"), F.count(key).alias("n"), F.count("*").alias("rows")).first()
+    step = max(1, -(-((found["high"] or 0) - (found["low"] or 0) + 1) // max(1, found["n"] // NEIGHBOURS)))
+    parts = max(1, (found["rows"] - found["n"]) // NEIGHBOURS)
+    place = F.col(key).cast("decimal(20, 0)") - F.lit(found["low"] or 0).cast("decimal(20, 0)")
+    spread = F.floor((F.col("_h") / F.lit(2.0**64) + 0.5) * parts) - F.lit(parts + 1)
+    group = F.when(F.col(key).isNull(), spread).otherwise(F.floor(place / F.lit(step).cast("decimal(20, 0)"))).cast("long")
+    rows = df.withColumn("_h", F.xxhash64(order_by)).withColumns({"_g": group, "_extra": F.lit(0)})
+    opening = F.min_by(F.struct(*df.columns, "_h"), F.struct(F.coalesce(key, F.lit(-(1 << 63))), "_h", order_by)).alias("row")
     heads = cut(rows.groupBy("_g").agg(opening))
     ids = heads.select("_g", F.floor(F.col("_g") / 4096).alias("_t"))
     lowest = ids.agg(F.min("_g")).first()[0]
@@ -93,12 +100,14 @@ def compared_with_next(df: DataFrame, key: str = "doc_id", text_col: str = "text
 
     Returns key, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next. The
     next row is the one of the next higher key; the last row's is the first. A null text is empty, a
-    null key comes before all, and rows of equal keys follow each other by text. A single row is its
-    own next. Empty fingerprints are alike.
+    null key comes before all, and rows of equal keys follow each other by the hash of their text. A single row is its
+    own next. Empty fingerprints are alike. Repeated rows count each for itself, texts of any length are
+    taken whole, an empty table gives an empty one, and other columns are left out.
     """
     docs = df.select(F.col(key).alias("id"), text_of(text_col).alias("text"))
-    marked = with_neighbours(docs, "id", "text").withColumn("marks", fingerprint(F.col("text")))
-    order = Window.partitionBy("_g").orderBy("_extra", F.col("id").asc_nulls_first(), "text")
+    # dealt before they are marked, so that texts alone are shuffled
+    marked = with_neighbours(docs, "id", "text").repartition("_g").withColumn("marks", fingerprint(F.col("text")))
+    order = Window.partitionBy("_g").orderBy("_extra", F.col("id").asc_nulls_first(), "_h", "text")
     following = F.struct("text", F.col("marks")["hash"].alias("hash"))
     paired = marked.withColumn("next", F.lead(following).over(order)).where("_extra = 0")
     n = F.char_length("text")

@@ -189,18 +189,54 @@ def test_components_of_a_long_chain(spark):
     assert got == {k: 0 for k in range(61)} | {200: 200, 201: 200}
 
 
-def test_winnowing(docs):
-    rows = sorted(((d, t or "") for d, t, *_ in corpus() if d is not None), key=lambda r: r)
-    out = winnowing.compared_with_next(docs.where("doc_id IS NOT NULL"))
-    got = Counter((r["doc_id"], r["edited_sha256"]) for r in out.collect())
-    expected = Counter()
-    for k, (d, t) in enumerate(rows):
-        follow, half = rows[(k + 1) % len(rows)][1], len(t) // 2
-        expected[(d, hashlib.sha256((t[: len(t) - half] + follow[:half]).encode()).hexdigest())] += 1
-    assert got == expected
-    same = {r["doc_id"]: r["fingerprint"] for r in out.collect()}
-    assert same[3] == same[30] == same[31] != same[4]
-    assert all(0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 for r in out.collect())
+def brute_marks(spark, texts):
+    """{text: ((position, hash), ...)}: windows looked at one by one; the hashes of grams come from Spark."""
+    words = {t: WORD.findall(t) for t in texts}
+    grams = {t: [tuple(w[i : i + winnowing.K]) for i in range(max(1, len(w) - winnowing.K + 1))] if w else [] for t, w in words.items()}
+    every = sorted({g for gs in grams.values() for g in gs})
+    df = spark.createDataFrame([(k, list(g)) for k, g in enumerate(every)], "k int, g array<string>")
+    hashes = {every[r["k"]]: r["h"] for r in df.select("k", F.xxhash64(F.transform("g", lambda w: F.xxhash64(w))).alias("h")).collect()}
+    out = {}
+    for t, gs in grams.items():
+        h, kept = [hashes[g] for g in gs], []
+        for i in range(max(1, len(h) - winnowing.W + 1) if h else 0):
+            part = h[i : i + winnowing.W]
+            at = i + max(j for j, x in enumerate(part) if x == min(part))
+            if at not in [p for p, _ in kept]:
+                kept.append((at, h[at]))
+        out[t] = tuple(kept)
+    return out
+
+
+def pairs_of_neighbours(rows, key):
+    """(row, next row) in the operator's order: by key, nulls first, then by the hash of the text."""
+    rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, key[r[1]]))
+    return list(zip(rows, rows[1:] + rows[:1], strict=True))
+
+
+@pytest.mark.parametrize("ids", ["dense", "sparse", "null and repeated"])
+def test_winnowing(spark, docs, monkeypatch, ids):
+    monkeypatch.setattr(winnowing, "NEIGHBOURS", 4)
+    rows = [(d, t or "") for d, t, *_ in corpus()]
+    if ids == "dense":
+        rows = [r for r in rows if r[0] is not None]
+    elif ids == "sparse":
+        rows = [((zlib.crc32(str(k).encode()) - (1 << 31)) << 31, t) for k, (_, t) in enumerate(rows)]
+    else:
+        rows = [(None if k % 3 else 7, t) for k, (_, t) in enumerate(rows)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    key = {r["text"]: r["h"] for r in df.select("text", F.xxhash64("text").alias("h")).collect()}
+    edited = [(a, b, a[1][: len(a[1]) - len(a[1]) // 2] + b[1][: len(a[1]) // 2]) for a, b in pairs_of_neighbours(rows, key)]
+    marks = brute_marks(spark, {x for a, b, e in edited for x in (a[1], b[1], e)})
+    show = lambda t: ",".join(f"{p}:{h & (2**64 - 1):X}" for p, h in marks[t])
+
+    def like(a, b):
+        x, y = ({h for _, h in marks[t]} for t in (a, b))
+        return round(len(x & y) / len(x | y), 9) if x | y else 1.0
+
+    wanted = Counter((a[0], len(a[1]), hashlib.sha256(e.encode()).hexdigest(), show(a[1]), show(e), like(a[1], e), like(a[1], b[1])) for a, b, e in edited)
+    got = winnowing.compared_with_next(df).withColumns({c: F.round(c, 9) for c in ("near_edited", "near_next")})
+    assert by_row(got, "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next") == wanted
 
 
 def test_winnowing_guarantee(spark):
@@ -247,6 +283,13 @@ def test_bpe_round_trip(docs, spark, monkeypatch, chunk_bytes):
     assert by_row(bpe.round_trip(every), "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == wanted
 
 
+def test_quality_rules_let_other_scripts_and_single_repeats_pass(spark):
+    line = " ".join(f"the{k} of a{k} house{k}" for k in range(20))
+    rows = [(1, "日本語 の 文章 です " * 1 + " ".join(f"語{k}" for k in range(60))), (2, f"{line}\n{line}x\n{line}x"), (3, "\n".join([line, "a b"] + ["c d"] * 4)), (4, " ".join(f"qx{k}" for k in range(80)))]
+    kept = {r["doc_id"]: (r["kept"], r["base_failed"]) for r in quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept[1] == (True, False) and kept[3] == (False, False) and kept[4] == (False, False)
+
+
 def test_bpe_numbers_of_any_size_are_kept():
     rng = np.random.default_rng(2)
     numbers = np.concatenate([rng.integers(0, 1 << k, 50) for k in range(1, 27)])
@@ -273,21 +316,54 @@ def test_language(spark):
     assert {r["lang_pred"] for r in language.classify(df, {}).collect()} == {"und"}
 
 
-def test_mixing_meets_its_targets(docs):
-    mix = mixing.Mix(docs)
+def brute_targets(sizes):
+    """Targets by the contract's words: share by weight, cap at twice the source, share the excess again."""
+    weight = [(5, 2, 1)[k % 3] for k in range(len(sizes))]
+    goal, capped = [0.0] * len(sizes), set()
+    while True:
+        left = 1.5 * sum(sizes) - sum(2 * sizes[k] for k in capped)
+        free = [k for k in range(len(sizes)) if k not in capped]
+        for k in free:
+            goal[k] = left * weight[k] / sum(weight[j] for j in free)
+        over = {k for k in free if goal[k] > 2 * sizes[k]}
+        if not over:
+            return goal
+        for k in over:
+            goal[k] = 2.0 * sizes[k]
+        capped |= over
+
+
+@pytest.mark.parametrize("ids", ["own", "null", "hashed"])
+def test_mixing_meets_its_targets(spark, docs, monkeypatch, ids):
+    monkeypatch.setattr(mixing, "BLOCK_DOCS", 3)
+    monkeypatch.setattr(mixing, "SHARD_WORDS", 2000)
+    df = docs.withColumn("doc_id", {"own": F.col("doc_id"), "null": F.lit(None).cast("long"), "hashed": F.xxhash64("doc_id", "text")}[ids])
+    mix = mixing.Mix(df)
     rows = mix.taken().collect()
     sizes = Counter()
     for r in rows:
         sizes[r["src"]] += r["size"]
-        assert 0 <= r["taken"] <= 2 * r["size"]
+        assert 0 <= r["taken"] <= 2 * r["size"] and r["source_size"] is not None
     order = sorted(sizes, key=lambda s: (s == "", s))
-    goal = dict(zip(order, mixing.targets([sizes[s] for s in order]), strict=True))
+    goal = dict(zip(order, brute_targets([sizes[s] for s in order]), strict=True))
+    for r in rows:
+        assert r["target"] == pytest.approx(goal[r["src"]]) and r["source_size"] == sizes[r["src"]]
     for s in sizes:
         assert abs(sum(r["taken"] for r in rows if r["src"] == s) - goal[s]) <= 1
     assert len(rows) == len(corpus()) and abs(sum(goal.values()) - 1.5 * sum(sizes.values())) < 1e-6
-    again = sorted((str(r["id"]), r["taken"]) for r in mixing.Mix(docs).taken().collect())
-    assert again == sorted((str(r["id"]), r["taken"]) for r in rows)
-    assert mix.rows().columns == docs.columns
+    again = sorted((str(r["id"]), r["h"], r["taken"]) for r in mixing.Mix(df).taken().collect())
+    assert again == sorted((str(r["id"]), r["h"], r["taken"]) for r in rows)
+    # a block's draws are those of the tree: whole ones, and a partial one at most
+    drawn = mix.draws.groupBy("src").agg(F.sum("drawn").alias("n")).collect()
+    assert all(abs(r["n"] - goal[r["src"]]) <= 1 for r in drawn)
+    # the mix writes each row as often as half of it or more is taken
+    text = {(r["h"], r["h2"]): r["text"] for r in df.select("text", *mix.identity).collect()}
+    wanted = Counter()
+    for r in rows:
+        if r["size"]:
+            wanted[text[r["h"], r["h2"]]] += int(r["taken"] / r["size"] + 0.5)
+    mixed = mix.rows()
+    assert mixed.columns == df.columns and Counter(r["text"] for r in mixed.collect()) == +wanted
 
 
 def test_mixing_tree_deals_every_draw_once():
@@ -334,6 +410,8 @@ def test_chat_repair(spark):
     out = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")).collect()
     whole = {c: "".join(r["rendered"] for r in sorted((r for r in out if r["conv_id"] == c), key=lambda r: r["part"])) for c in costs}
     assert {c: sum(r["cost"] for r in out if r["conv_id"] == c) for c in costs} == costs
+    assert {c: {r["total_cost"] for r in out if r["conv_id"] == c} for c in costs} == {c: {n} for c, n in costs.items()}
+    assert all(r["n_parts"] == sum(x["conv_id"] == r["conv_id"] for x in out) for r in out)
     turn = lambda role: rf"<\|{role}\|>\n[^<]*<\|end\|>\n"
     legal = re.compile(rf"({turn('system')})?({turn('user')}{turn('assistant')})*({turn('user')})?")
     assert all(legal.fullmatch(t) for t in whole.values())
