@@ -8,15 +8,13 @@ from pyspark.sql import DataFrame
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the checkpoint folder and read back.
 
-    The folder is the one that ``spark.checkpoint.dir`` names; only where none is set, as in tests, a
-    temporary one is made.
+    The folder is the one that ``spark.checkpoint.dir`` names. Where all runs in one process, as in tests, a
+    folder in the warehouse stands for it; elsewhere a missing setting is an error.
     """
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
-        if named is None:
-            import tempfile
-
-            named = tempfile.mkdtemp(prefix="spark-checkpoint-")
-        spark.sparkContext.setCheckpointDir(named)
+        if named is None and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(named or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoint")
     return df.checkpoint()
