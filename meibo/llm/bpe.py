@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meibo.llm.common import table
+from meibo.llm.common import table, tidy
 
 _SPACE = r"\p{IsWhite_Space}"
 #: How a byte-level tokenizer splits a text into words (published with its vocabulary).
@@ -37,7 +37,7 @@ _UNKNOWN = r"[ࡰ-\x{10FFFF}&&\p{Cn}]"
 #: Bytes of text in a chunk, about; a longer text is a chunk of its own.
 CHUNK_BYTES = 32 << 20
 #: Texts whose words are looked at together.
-TEXTS = 1024
+TEXTS = 512
 #: Numbers below these are written in one and two bytes, others in four; none reaches 2^27.
 ONE, TWO = 224, 224 + 24 * 256
 #: Words whose ids are sent back to their chunks at once.
@@ -122,6 +122,7 @@ def _unpacked(data: bytes) -> np.ndarray:
 
 def _coded(numbers: np.ndarray, ends: np.ndarray) -> list[bytes]:
     """Texts (their word numbers end to end, and where each ends) as bytes: the first byte of all numbers, then the other ones."""
+    numbers = numbers.astype(np.int32)
     size = 1 + (numbers >= ONE).astype(np.int8) + (numbers >= TWO)
     rest = np.where(size == 3, numbers - TWO, numbers - ONE)
     first = np.where(size == 1, numbers, np.where(size == 2, ONE + (rest >> 8), ONE + (TWO - ONE) // 256 + (rest >> 24))).astype(np.uint8)
@@ -178,52 +179,56 @@ def numbered(df: DataFrame, path: str, text_col: str, carried: list[str]) -> Dat
     source = df.select(words.alias("words"), rest.alias("rest"), *(F.col(c).alias(n) for c, n in zip(carried, names, strict=True)))
     types = [source.schema[n].dataType.simpleString() for n in names]
 
-    def chunk(batches: list[pa.RecordBatch], parts: list[pa.Array], sizes: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        coded = pa.chunked_array(parts, pa.string()).combine_chunks().dictionary_encode()
-        index = coded.indices.to_numpy()
-        order = np.argsort(-np.bincount(index, minlength=len(coded.dictionary)), kind="stable")
-        rank = np.empty(len(order), dtype=np.int64)
-        rank[order] = np.arange(len(order))
+    kinds: list[pa.DataType] = []
+
+    def chunk(held: list[tuple[pa.RecordBatch, pa.DictionaryArray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        every = pa.concat_arrays([coded.dictionary for _, coded, _ in held]).dictionary_encode()
+        own = np.split(every.indices.to_numpy(), np.cumsum([len(coded.dictionary) for _, coded, _ in held])[:-1])
+        counts = np.zeros(len(every.dictionary), dtype=np.int64)
+        for (_, coded, _), word in zip(held, own, strict=True):
+            counts[word] += np.bincount(coded.indices.to_numpy(), minlength=len(word))
+        order = np.argsort(-counts, kind="stable")
+        rank = np.empty(len(order), dtype=np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
         # by the bytes that a number takes, then by the alphabet
-        order = pc.sort_indices(coded.dictionary).to_numpy()
+        order = pc.sort_indices(every.dictionary).to_numpy()
         order = order[np.argsort((rank[order] >= ONE).astype(np.int8) + (rank[order] >= TWO), kind="stable")]
-        rank[order] = np.arange(len(order))
-        docs = _coded(rank[index], np.cumsum(np.concatenate(sizes)))
-        text = _table(coded.dictionary.take(pa.array(order)))
-        name = xxhash.xxh3_64(text)
-        for d in docs:
-            name.update(d)
-        name = name.intdigest() >> 1
-        none = lambda n, kind: pa.nulls(n, kind)
-        kinds = [batches[0].column(n).type for n in names]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([name]), pa.array([text], pa.binary()), none(1, pa.binary()), *(none(1, t) for t in kinds)], ["chunk", "words", "numbers", *names]
-        )
-        low = 0
-        for b in batches:
-            n = b.num_rows
-            own = [pa.array([name] * n), none(n, pa.binary()), pa.array(docs[low : low + n], pa.binary()), *(b.column(c) for c in names)]
-            yield pa.RecordBatch.from_arrays(own, ["chunk", "words", "numbers", *names])
-            low += n
+        rank[order] = np.arange(len(order), dtype=np.int32)
+        docs = [_coded(rank[word][coded.indices.to_numpy()], np.cumsum(sizes)) for (_, coded, sizes), word in zip(held, own, strict=True)]
+        text = _table(every.dictionary.take(pa.array(order)))
+        digest = xxhash.xxh3_64(text)
+        for part in docs:
+            for d in part:
+                digest.update(d)
+        name, columns = digest.intdigest() >> 1, ["chunk", "words", "numbers", *names]
+        none = lambda n: pa.nulls(n, pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([text], pa.binary()), none(1), *(pa.nulls(1, t) for t in kinds)], columns)
+        for (rest, _, _), part in zip(held, docs, strict=True):
+            n = rest.num_rows
+            yield pa.RecordBatch.from_arrays([pa.array([name] * n), none(n), pa.array(part, pa.binary()), *rest.columns[1:]], columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, parts, sizes, size = [], [], [], 0
+        held, size = [], 0
         for whole in batches:
+            kinds[:] = [whole.column(n).type for n in names]
             for low in range(0, whole.num_rows, TEXTS):
                 batch = whole.slice(low, TEXTS)
-                found, n = _split_batch(batch, path)
-                held.append(batch)
-                parts += found
-                sizes.append(n)
-                size += sum(p.nbytes for p in found)
+                found, sizes = _split_batch(batch, path)
+                words = pa.concat_arrays(found)
+                size += words.nbytes
+                # the words themselves are let go, and a copy of the columns carried along does not hold the batch
+                rest = pa.table([sizes, *(batch.column(n) for n in names)], ["n", *names]).take(pa.array(np.arange(batch.num_rows)))
+                held.append((rest.combine_chunks().to_batches()[0], words.dictionary_encode(), sizes))
+                batch = found = words = rest = None
                 if size > CHUNK_BYTES:
-                    yield from chunk(held, parts, sizes)
-                    held, parts, sizes, size = [], [], [], 0
+                    yield from chunk(held)
+                    held, size = [], 0
+            whole = None  # before the next batch is read
         if held:
-            yield from chunk(held, parts, sizes)
+            yield from chunk(held)
 
     schema = ", ".join(["chunk long, words binary, numbers binary", *(f"{n} {t}" for n, t in zip(names, types, strict=True))])
-    return source.mapInArrow(run, schema).repartition("chunk")
+    return source.mapInArrow(tidy(run), schema).repartition("chunk")
 
 
 def encoded_words(chunks: DataFrame, path: str) -> DataFrame:
@@ -279,9 +284,9 @@ def encoded_words(chunks: DataFrame, path: str) -> DataFrame:
         if held:
             yield sent()
 
-    words = chunks.mapInArrow(unpack, "word string, chunk long, number int")
+    words = chunks.mapInArrow(tidy(unpack), "word string, chunk long, number int")
     words = words.repartition("word").sortWithinPartitions("word")
-    return words.mapInArrow(encode, "chunk long, word_numbers binary, sizes binary, ids binary")
+    return words.mapInArrow(tidy(encode), "chunk long, word_numbers binary, sizes binary, ids binary")
 
 
 def _joined(df: DataFrame, path: str, text_col: str, carried: list[str], new: dict[str, tuple[str, pa.DataType]], make: Callable) -> DataFrame:
@@ -375,7 +380,7 @@ def decode_column(df: DataFrame, path: str | None = None, ids_col: str = "ids")
             texts = [None if x is None else decode_ids(x, piece) for x in batch.column(ids_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
 
-    return df.select(*[f.name for f in kept]).mapInArrow(decode, schema)
+    return df.select(*[f.name for f in kept]).mapInArrow(tidy(decode), schema)
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meibo.llm.common import table
+from meibo.llm.common import table, tidy
 
 #: Pages that the model is fitted on (on average), layouts made of each, and passes over them.
 SAMPLE_PAGES, LAYOUTS, PASSES = 200, 3, 6
@@ -409,7 +409,7 @@ def extract(df: DataFrame, model: Model, html_col: str = "html") -> DataFrame:
             names = [f.name for f in kept]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *cols], [*names, "text", "n_chars"])
 
-    return df.select(*[f.name for f in kept], html_col).mapInArrow(run, schema)
+    return df.select(*[f.name for f in kept], html_col).mapInArrow(tidy(run), schema)
 
 
 def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meibo.llm.common import table
+from meibo.llm.common import table, tidy
 
 #: Bytes of sample text in each language's dictionary.
 DICT_BYTES = 1 << 17
@@ -108,7 +108,7 @@ def classify(df: DataFrame, model: dict[str, bytes], text_col: str = "text", mar
             cols = [pa.array([x[k] for x in out], t) for k, t in enumerate((pa.string(), pa.float64(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *cols], [*batch.schema.names, *names])
 
-    return df.select(*[f.name for f in kept]).mapInArrow(run, f"{schema}, lang_pred string, score double, rejected boolean")
+    return df.select(*[f.name for f in kept]).mapInArrow(tidy(run), f"{schema}, lang_pred string, score double, rejected boolean")
 
 
 def held_out(key: str = "doc_id"):

@@ -25,7 +25,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from meibo.llm.anchored import batched, gram_hashes, mix
-from meibo.llm.common import cut
+from meibo.llm.common import cut, tidy
 
 #: Pieces of an anchor from which on its windows are looked up by key, dealt evenly, not in one task.
 HOT = 1024
@@ -111,7 +111,7 @@ def all_pieces(docs: DataFrame, kind: Kind) -> DataFrame:
     # no column is ever null, so all joins of the pieces read one shuffle: none has a filter of its own
     types = {"r2": IntegerType()}
     schema = StructType([StructField(c, types.get(c, LongType()), False) for c in ("anchor", "content", "r1", "r2", "span")])
-    return docs.select("r1", "r2", "text").mapInArrow(run, schema)
+    return docs.select("r1", "r2", "text").mapInArrow(tidy(run), schema)
 
 
 def window_keys(piece: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -144,13 +144,13 @@ def repeated_runs(docs: DataFrame, kind: Kind) -> DataFrame:
     piece = F.struct("at.span", F.bitwise_not("na").alias("anchor"), salt.alias("salt"), "copies")
     fetch = one.groupBy("at.r1", "at.r2").agg(F.collect_list(piece).alias("wanted"))
 
-    cut_out = docs.join(fetch, ["r1", "r2"]).mapInArrow(_cut_out(kind), f"anchor long, salt long, copies long, {_SPAN}, symbols binary")
+    cut_out = docs.join(fetch, ["r1", "r2"]).mapInArrow(tidy(_cut_out(kind)), f"anchor long, salt long, copies long, {_SPAN}, symbols binary")
     # pieces of hot anchors are dealt one by one, all others anchor by anchor
     # a number of its own, since these rows take more time than their size tells
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cut_out = cut_out.repartition(tasks, "anchor", "salt").sortWithinPartitions("anchor", "salt")
-    compared = cut_out.mapInArrow(_compare(kind), _SPAN)
-    many = cut_out.mapInArrow(_window_rows(kind), f"k1 long, k2 long, copies long, {_SPAN}")
+    compared = cut_out.mapInArrow(tidy(_compare(kind)), _SPAN)
+    many = cut_out.mapInArrow(tidy(_window_rows(kind)), f"k1 long, k2 long, copies long, {_SPAN}")
     twice = many.groupBy("k1", "k2").agg(F.sum("copies").alias("all")).where("all > 1").select("k1", "k2")
     keyed = many.where("copies = 1").join(twice, ["k1", "k2"]).select("r1", "r2", "span")
 
@@ -271,7 +271,7 @@ def marked(df: DataFrame, kind: Kind, key: str, text_col: str, own: list[str], m
                 cols = [pa.array(list(x), t) for x, (_, t) in zip(zip(*rows, strict=True), new, strict=True)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(place[c]) for c in own), *cols], [*own, *(n for n, _ in new)])
 
-    return joined.select("text", "runs", *(f"c{k}" for k in range(len(rest)))).mapInArrow(run, schema)
+    return joined.select("text", "runs", *(f"c{k}" for k in range(len(rest)))).mapInArrow(tidy(run), schema)
 
 
 def removed_spans(gone: np.ndarray) -> list[dict]:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meibo.llm.common import cut, table
+from meibo.llm.common import cut, table, tidy
 from meibo.llm.components import components
 
 SHINGLE, SEED, BITS = 4, 42, 4
@@ -64,7 +64,7 @@ def with_fingerprint(df: DataFrame, text_col: str = "text") -> DataFrame:
             fps = pa.array([fingerprint(t) for t in batch.column(text_col).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], fps], [*batch.schema.names[:-1], "fp"])
 
-    return df.select(*[f.name for f in kept], text_col).mapInArrow(run, schema)
+    return df.select(*[f.name for f in kept], text_col).mapInArrow(tidy(run), schema)
 
 
 def views(n: int) -> list[list[int]]:
@@ -119,7 +119,7 @@ def _copies(fps: DataFrame, kinds: list[list[int]]) -> DataFrame:
                     ["view", "anchor", "fp", "home"],
                 )
 
-    return fps.select("fp").mapInArrow(run, "view int, anchor long, fp long, home boolean")
+    return fps.select("fp").mapInArrow(tidy(run), "view int, anchor long, fp long, home boolean")
 
 
 def _near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
