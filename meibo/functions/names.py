@@ -94,10 +94,14 @@ def inspect_name(value: str | None, rules: Rules = Rules()) -> tuple[str, str |
             return "none", None, "人名"
         return "update", name, "前後の語を除去"
     tokens = name.split()
-    for a, b in zip(tokens, tokens[1:], strict=False):
+    for a, b in reversed(list(zip(tokens, tokens[1:], strict=False))):  # a name stands last, after posts and places
         if looks_like_name(f"{a} {b}", rules):
             return "update", f"{a} {b}", "人名を抽出"
-    return "delete", None, "人名ではない"
+    if len(tokens) > 1 and len(tokens[-1]) > 1 and looks_like_name(tokens[-1], rules):
+        return "update", tokens[-1], "人名を抽出"
+    if any(t.startswith(rules.organizations) or t.endswith(rules.organizations) or PLACE_END.search(t) for t in tokens):
+        return "delete", None, "人名ではない"
+    return "none", None, "判定できない"
 
 
 def inspect_names(df: DataFrame, column: str = "representative_name", key: str = "id", rules: Rules = Rules()) -> DataFrame:

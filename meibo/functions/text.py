@@ -6,12 +6,14 @@ none either.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from meibo.functions.derive import found, text
+from meibo.schema import PREFECTURES
 
 WHITE = r"[\s 　﻿]"
 LEGAL = "株式会社|有限会社|合同会社|合資会社|合名会社"
@@ -26,12 +28,47 @@ WEAK_PHONE = (
     "カスタマー|サポート|ヘルプ|コールセンター|フリーダイヤル|ナビダイヤル|携帯|スマートフォン|直通|担当直通|緊急|夜間|休日|個人|店舗|ショップ|店頭|"
     "資料請求|セミナー|イベント"
 )
+REPRESENTATIVE_LABELS = "本社電話番号|代表電話|代表番号|電話番号|電話|TEL"
+EMPLOYEE_CONTEXT = (
+    "従業員|社員|職員|スタッフ|人員|メンバー|就業人数|就業者数|連結|単体|単独|個別|グループ社員|正社員|正職員|パート|アルバイト|契約社員|契約職員|"
+    "派遣社員|派遣スタッフ|嘱託|常勤|非常勤"
+)
+EMPLOYEE_NOISE = (
+    "採用人数|募集人数|募集人員|採用予定人数|新卒採用|中途採用|採用実績|定員|参加人数|来場者数|利用者数|入居者数|患者数|園児数|"
+    "生徒数|学生数|会員数|登録者数|フォロワー数|閲覧数|PV|座席数|病床数|車両数|保有台数|台数|戸数|件数|"
+    "施工件数|実績数|店舗数|拠点数|事業所数|営業所数|学校数|顧客数|取引先数|掲載社数|導入社数|売上|売上高|年商|"
+    "資本金|設立|創業|沿革|年|月|日"
+)
+ADDRESS_LABELS = (
+    "所在地|住所|本社所在地|本店所在地|支店所在地|営業所所在地|工場所在地|事業所所在地|本社住所|本店住所|本社|本店|支店|営業所|工場|事業所|"
+    r"(?:[^\s　]+(?:工場|支店|営業所|事業所))"
+)
+ADDRESS_TAILS = "営業部|総務部|生産部|管理部|品質管理部|技術部|開発部|工務部|経理部|人事部|企画部|購買部|物流部|業務部|連絡先|本社|本店|支店|営業所|工場|事業所"
+ADDRESS_ENDS = (
+    "連絡先|アクセス方法|アクセス|TEL|電話|FAX|営業時間|定休日|MAP|Google|メール|E-mail|E-mai|Mail|お問合せ|お問い合わせ|Copyright|著作権|"
+    "All Rights Reserved|業種|創業|設立|資本金|従業員数|取引先|Top Message|代表ご挨拶|Our Philosophy|Our Policy|History|沿革|Access|Contact|会社情報|"
+    "事業紹介|設備紹介|お知らせ|営業部|総務部|生産部|管理部|品質管理部|技術部|開発部|工務部|経理部|人事部|企画部|購買部|物流部|業務部|代表者|代表取締役|"
+    "事業内容|本社電話番号|電話番号"
+)
+ADDRESS_NOISE = (
+    "採用|求人|募集|応募|エントリー|リクルート|求人広告|事業に採択|アンバサダー|マーケティング|市場|対抗|サービス|ニュース|お知らせ|ブログ|コラム|実績|事例|"
+    "プレスリリース|パートナー|株式会社|有限会社|合同会社|Copyright|All Rights Reserved"
+)
+ADDRESS_CONTACTS = "TEL|電話|FAX|メール|E-mail|Mail"
+ADDRESS_DETAIL = r"[0-9０-９]|丁目|番地?|号|[-－ー―]|大字|字|条|線|通|ビル|ビルディング|センター|階"
+_K = "[一-龠々ぁ-んァ-ヶー]+"
+MUNICIPALITY = f"(?:{_K}市[一-龠々ぁ-んァ-ヶー]*区?|{_K}郡{_K}町|{_K}郡{_K}村|{_K}区|{_K}町|{_K}村)"
 BUSINESS_LABELS = "事業内容|業務内容|営業内容|サービス内容|事業概要|業容|取扱業務|取扱内容|取扱商品|主な事業|業務案内|サービス"
 BUSINESS_ENDS = "所在地|連絡先|TEL|FAX|営業時間|定休日|お問い合わせ|お問合せ|会社概要"
 BUSINESS_NOT = "お問い合わせ|お問合せ|スタッフ紹介|仕事紹介|サービス紹介|NEWS|BLOG|COLUMN|会社概要|所在地|連絡先"
 BUSINESS_HINTS = "事業|業務|販売|企画|請負|開発|分譲|売買|施工|設計|運営|介護|福祉|サービス|広告|製造|卸|小売|コンサル|代理店|保険|デイサービス"
 
 
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, however often ``body`` names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def col(c: str | Column) -> Column:
     return text(c)
 
@@ -99,7 +136,7 @@ def landline(c: str | Column) -> Column:
 
 def fax_only(c: str | Column) -> Column:
     t = plain(c)
-    return t.rlike(f"(?i){FAX_LABELS}") & ~t.rlike(f"(?i){PHONE_LABELS.replace('|連絡先', '')}|代表番号")
+    return t.rlike(f"(?i){FAX_LABELS}") & ~t.rlike(f"(?i){REPRESENTATIVE_LABELS}")
 
 
 def representative_phone(c: str | Column) -> Column:
@@ -114,6 +151,63 @@ def weak_phone_context(c: str | Column) -> Column:
     return (t == "") | t.rlike(f"(?i){WEAK_PHONE}")
 
 
+def phone_label_context(c: str | Column) -> Column:
+    """A line that is a label of a main phone number, and neither weak nor about fax alone."""
+    t = plain(c)
+    return t.rlike(f"(?i)^(?:{REPRESENTATIVE_LABELS})$") & ~fax_only(c) & ~weak_phone_context(c)
+
+
+def employee_context(c: str | Column) -> Column:
+    """A line that speaks of a head count."""
+    return plain(c).rlike(f"(?i){EMPLOYEE_CONTEXT}")
+
+
+def employee_noise(c: str | Column) -> Column:
+    """A line about other numbers and not about a head count; an empty line is noise too."""
+    t = plain(c)
+    return (t == "") | (~employee_context(c) & t.rlike(f"(?i){EMPLOYEE_NOISE}"))
+
+
+_LOCATION = rf"(?:(?:{'|'.join(PREFECTURES)}){WHITE}*)?{MUNICIPALITY}"
+
+
+def likely_address(c: str | Column) -> Column:
+    """8 to 120 characters with a municipality and a detail after it, and no words of other matter."""
+
+    def test(t: Column) -> Column:
+        odd = t.rlike(f"(?i){ADDRESS_NOISE}|{ADDRESS_CONTACTS}|@|[。！？!?]")
+        detail = F.regexp_extract(t, f"(?s){_LOCATION}(.*)$", 1)
+        return F.char_length(t).between(8, 120) & ~odd & t.rlike(_LOCATION) & detail.rlike(f"(?i){ADDRESS_DETAIL}")
+
+    return once(plain(c), test)
+
+
+def _without_tail(c: Column) -> Column:
+    return trim_all(F.regexp_replace(F.regexp_replace(c, rf"(?i){WHITE}*(?:{ADDRESS_TAILS}){WHITE}*$", ""), rf"{WHITE}{{2,}}", " "))
+
+
+def address_core(c: str | Column) -> Column:
+    """From prefecture or municipality up to the first word of other matter; null if that is no address."""
+    t = F.regexp_replace(plain(c), rf"(?i)^(?:{ADDRESS_LABELS}){WHITE}*[:：]?{WHITE}*", "")
+    t = trim_all(F.regexp_replace(F.regexp_replace(t, rf"(?:〒{WHITE}*)?\d{{3}}-?\d{{4}}{WHITE}*", ""), rf"{WHITE}{{2,}}", " "))
+    place = found(t, f"(?s)({_LOCATION}.*)$")
+    out = _without_tail(F.regexp_replace(place, rf"(?i){WHITE}*(?:{ADDRESS_ENDS}).*$", ""))
+    return once(out, lambda x: F.when(likely_address(x), x))
+
+
+def address(c: str | Column) -> Column:
+    """The core of an address without a label or contact data at its end."""
+    core = address_core(c)
+    out = _without_tail(F.regexp_replace(core, rf"(?i){WHITE}*(?:連絡先|アクセス方法|アクセス|(?:{ADDRESS_CONTACTS}|営業時間|定休日|MAP|Google|E-mai|お問合せ|お問い合わせ).*)$", ""))
+    return once(out, lambda x: F.when(likely_address(x), x))
+
+
+def iso_datetime(c: str | Column) -> Column:
+    """A date or time as ISO text in UTC with milliseconds; null if it is none."""
+    t = F.regexp_replace(nullable(c), "/", "-")
+    return F.date_format(F.to_utc_timestamp(F.try_to_timestamp(t), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+
 def fax(c: str | Column) -> Column:
     """The labelled fax number, else a text of nothing but a number."""
     t = _unbracketed(c)

@@ -28,15 +28,15 @@ def keep_first(df: DataFrame, column: str, order: list[str], unicode_trim: bool
     return kept.select(*df.columns)
 
 
-def duplicates(df: DataFrame, column: str, order: list[str], request: Request | None = None) -> DataFrame:
-    """The rows that ``keep_first`` would drop, of those that a request selects."""
-    rows = df if request is None else df.where(predicate(request))
+def duplicates(df: DataFrame, column: str, order: list[str], request: Request | None = None, scope: Request | None = None) -> DataFrame:
+    """The rows that ``keep_first`` would drop, of those that a request and the user's scope select."""
+    rows = df if request is None and scope is None else df.where(predicate(request or Request(), scope))
     return rows.join(keep_first(rows, column, order).select(*order), order, "left_anti")
 
 
-def dedupe_companies(df: DataFrame, column: str, request: Request | None = None) -> DataFrame:
-    """Companies without later copies of a value; rows out of the request's scope stay."""
-    return df.join(duplicates(df, column, ["id"], request).select("id"), "id", "left_anti")
+def dedupe_companies(df: DataFrame, column: str, request: Request | None = None, scope: Request | None = None) -> DataFrame:
+    """Companies without later copies of a value; rows that the request or the scope leaves out stay."""
+    return df.join(duplicates(df, column, ["id"], request, scope).select("id"), "id", "left_anti")
 
 
 def number_rows(df: DataFrame, order: list[Column] | None = None, name: str = "n", start: int | Column = 0) -> DataFrame:
@@ -72,7 +72,7 @@ def delete_rows(df: DataFrame, request: Request, scope: Request | None = None) -
     return df.where(~predicate(request, scope))
 
 
-def null_fields(df: DataFrame, columns: list[str], request: Request) -> DataFrame:
-    """The selected rows' ``columns`` set to null."""
-    hit = predicate(request)
+def null_fields(df: DataFrame, columns: list[str], request: Request, scope: Request | None = None) -> DataFrame:
+    """The ``columns`` of the selected rows in the user's scope set to null."""
+    hit = predicate(request, scope)
     return df.withColumns({c: F.when(~hit, F.col(c)) for c in columns})

@@ -32,9 +32,9 @@ def total_count(df: DataFrame, request: Request, scope: Request | None = None) -
     return df.where(predicate(request, scope)).agg(F.count("*").alias("total"))
 
 
-def facet_values(df: DataFrame, column: str, request: Request, search: str = "") -> DataFrame:
-    """Rows per text of a column, with all filters but the column's own; ``search`` narrows the texts."""
-    out = df.where(predicate(request, skip=column)).groupBy(text(column).alias("value")).agg(F.count("*").alias("n"))
+def facet_values(df: DataFrame, column: str, request: Request, search: str = "", scope: Request | None = None) -> DataFrame:
+    """Rows in the user's scope per text of a column, with all filters but the column's own; ``search`` narrows the texts."""
+    out = df.where(predicate(request, scope, skip=column)).groupBy(text(column).alias("value")).agg(F.count("*").alias("n"))
     return out.where(F.ilike("value", F.lit(f"%{search.strip()}%"))) if search.strip() else out
 
 
@@ -43,12 +43,15 @@ def facet_page(facet: DataFrame, offset: int = 0, size: int = 200) -> DataFrame:
     return facet.orderBy("value").offset(max(0, offset)).limit(min(max(size, 1), 1000))
 
 
-def facet_summary(df: DataFrame, column: str, request: Request, search: str = "", checked: list[str] | None = None, offset: int = 0, size: int = 200) -> DataFrame:
+def facet_summary(
+    df: DataFrame, column: str, request: Request, search: str = "", checked: list[str] | None = None, offset: int = 0, size: int = 200,
+    scope: Request | None = None,
+) -> DataFrame:
     """Of one facet: distinct values and rows that match the search, rows with a value, checked rows, whether more follow.
 
     All are sums over the facet's own rows, so the table is grouped once.
     """
-    every = facet_values(df, column, request)
+    every = facet_values(df, column, request, scope=scope)
     hit = F.ilike("value", F.lit(f"%{search.strip()}%")) if search.strip() else F.lit(True)
     filled = F.trim("value") != ""
     ticked = filled if checked is None else filled & F.col("value").isin([v for v in checked if v.strip()])
@@ -57,9 +60,9 @@ def facet_summary(df: DataFrame, column: str, request: Request, search: str = ""
     return out.withColumn("has_more", F.col("n_values") > offset + size)
 
 
-def facet_prefecture_city(df: DataFrame, request: Request = Request()) -> DataFrame:
+def facet_prefecture_city(df: DataFrame, request: Request = Request(), scope: Request | None = None) -> DataFrame:
     """Rows per prefecture and city, a row with null city for the prefecture's total, in the order of prefectures."""
-    src = df.where(predicate(request)).select(derive.prefecture().alias("prefecture"), derive.city().alias("city"))
+    src = df.where(predicate(request, scope)).select(derive.prefecture().alias("prefecture"), derive.city().alias("city"))
     cities = src.where("prefecture IS NOT NULL").groupBy("prefecture", "city").agg(F.count("*").alias("n"))
     totals = cities.groupBy("prefecture").agg(F.sum("n").alias("n")).select("prefecture", F.lit(None).cast("string").alias("city"), "n")
     out = totals.unionByName(cities.where("city IS NOT NULL"))
@@ -67,18 +70,18 @@ def facet_prefecture_city(df: DataFrame, request: Request = Request()) -> DataFr
     return out.select(derive.region(F.col("prefecture")).alias("region"), place.alias("place"), "prefecture", "city", "n")
 
 
-def facet_industry(df: DataFrame, request: Request = Request()) -> DataFrame:
+def facet_industry(df: DataFrame, request: Request = Request(), scope: Request | None = None) -> DataFrame:
     """Rows per trimmed big and small industry with the parent's name; a null small industry is the total."""
     trim = lambda c: F.regexp_replace(text(c), r"^[\s 　﻿]+|[\s 　﻿]+$", "")
-    src = df.where(predicate(request)).select(trim("big_industry").alias("big"), trim("small_industry").alias("small"))
+    src = df.where(predicate(request, scope)).select(trim("big_industry").alias("big"), trim("small_industry").alias("small"))
     groups = src.where("big <> ''").groupBy("big", "small").agg(F.count("*").alias("n"))
     totals = groups.groupBy("big").agg(F.sum("n").alias("n")).select("big", F.lit(None).cast("string").alias("small"), "n")
     return totals.unionByName(groups.where("small <> ''")).withColumn("parent", derive.industry_parent("big"))
 
 
-def facet_established(df: DataFrame, request: Request = Request()) -> DataFrame:
+def facet_established(df: DataFrame, request: Request = Request(), scope: Request | None = None) -> DataFrame:
     """Years with the months in which companies were founded, each once and in order."""
-    ym = df.where(predicate(request)).select(derive.established_ym().alias("ym")).where("ym IS NOT NULL").distinct()
+    ym = df.where(predicate(request, scope)).select(derive.established_ym().alias("ym")).where("ym IS NOT NULL").distinct()
     months = F.array_sort(F.collect_set(F.substring("ym", 5, 2)))
     return ym.groupBy(F.substring("ym", 1, 4).alias("year")).agg(F.array_join(months, ",").alias("months"))
 
@@ -88,8 +91,8 @@ def explode_tags(df: DataFrame) -> DataFrame:
     return df.select("id", F.explode(derive.tags()).alias("tag"))
 
 
-def facet_tags(df: DataFrame, request: Request = Request()) -> DataFrame:
+def facet_tags(df: DataFrame, request: Request = Request(), scope: Request | None = None) -> DataFrame:
     """Rows per tag with its parent, and the parent's total beside it."""
-    tags = explode_tags(df.where(predicate(request))).groupBy("tag").agg(F.count("*").alias("n"))
+    tags = explode_tags(df.where(predicate(request, scope))).groupBy("tag").agg(F.count("*").alias("n"))
     tags = tags.withColumn("parent", derive.tag_parent(F.col("tag")))
     return tags.withColumn("parent_n", F.sum("n").over(Window.partitionBy("parent")))

@@ -190,3 +190,10 @@ def apply_inspection_changes(companies: DataFrame, changes: DataFrame, column: s
     out = companies.join(ch, "id", "left")
     value = F.when(F.col("action") == "delete", None).when(F.col("action") == "update", F.coalesce("_new", column)).otherwise(F.col(column))
     return out.withColumn(column, value).select(*companies.columns)
+
+
+def changes_with_companies(changes: DataFrame, companies: DataFrame, column: str = "representative_name") -> DataFrame:
+    """Each change beside its company's present value; a change whose company is gone has none and is not ``found``."""
+    now = companies.select(F.col("id").alias("row_id"), F.col(column).alias("present_value"), F.lit(True).alias("found"))
+    out = changes.join(now, "row_id", "left")
+    return out.withColumns({"found": F.coalesce("found", F.lit(False)), "stale": ~F.col("present_value").eqNullSafe(F.col("before_value"))})

@@ -235,3 +235,48 @@ query(
     "null_fields",
     "SELECT id, CASE WHEN NOT (coalesce(company, '') ILIKE '%大和%') THEN memo END AS memo, CASE WHEN NOT (coalesce(company, '') ILIKE '%大和%') THEN email END AS email FROM companies",
 )(lambda c: dedupe.null_fields(c, ["memo", "email"], Request({"company": FieldFilter("contains", "大和")})).select("id", "memo", "email"))
+
+# the same within a user's stored scope
+_IN = f"(SELECT * FROM {_D} WHERE prefecture IN ({_KANTO}))"
+query("facet_values_scoped", f"SELECT coalesce(closing_month, '') AS value, count(*) AS n FROM {_IN} WHERE coalesce(company, '') ILIKE '%株式会社%' GROUP BY 1")(
+    lambda c: listing.facet_values(c, "closing_month", _CONTAINS, scope=_SCOPE)
+)
+query(
+    "facet_summary_scoped",
+    f"""WITH f AS (SELECT coalesce(small_industry, '') AS value, count(*) AS n FROM {_IN} GROUP BY 1)
+    SELECT count(*) AS n_values, sum(n)::BIGINT AS n_matched, coalesce(sum(n) FILTER (trim(value, ' ') <> ''), 0)::BIGINT AS n_filled,
+      coalesce(sum(n) FILTER (trim(value, ' ') <> ''), 0)::BIGINT AS n_checked, count(*) > 200 AS has_more FROM f""",
+)(lambda c: listing.facet_summary(c, "small_industry", Request(), scope=_SCOPE))
+query(
+    "facet_prefecture_city_scoped",
+    f"""WITH s AS (SELECT prefecture, city, count(*) AS n FROM {_IN} GROUP BY 1, 2),
+    u AS (SELECT prefecture, NULL AS city, sum(n)::BIGINT AS n FROM s GROUP BY 1 UNION ALL SELECT prefecture, city, n FROM s WHERE city IS NOT NULL)
+    SELECT {o.REGION} AS region, {_PLACE} AS place, prefecture, city, n FROM u""",
+)(lambda c: listing.facet_prefecture_city(c, scope=_SCOPE))
+query(
+    "facet_industry_scoped",
+    f"""WITH s AS (SELECT trim(coalesce(big_industry, ''), ' ') AS big, trim(coalesce(small_industry, ''), ' ') AS small, count(*) AS n FROM {_IN} GROUP BY 1, 2),
+    u AS (SELECT big, NULL AS small, sum(n)::BIGINT AS n FROM s WHERE big <> '' GROUP BY 1 UNION ALL SELECT big, small, n FROM s WHERE big <> '' AND small <> '')
+    SELECT big, small, n, {o.rules('big', derive.INDUSTRY_RULES, derive.OTHER)} AS parent FROM u""",
+)(lambda c: listing.facet_industry(c, scope=_SCOPE))
+query(
+    "facet_established_scoped",
+    f"SELECT substr(ym, 1, 4) AS year, array_to_string(list_sort(list(DISTINCT substr(ym, 5, 2))), ',') AS months FROM {_IN} WHERE ym IS NOT NULL GROUP BY 1",
+)(lambda c: listing.facet_established(c, scope=_SCOPE))
+query(
+    "facet_tags_scoped",
+    f"""WITH s AS (SELECT tag, count(*) AS n, {o.TAG_PARENT} AS parent FROM (SELECT unnest(tags) AS tag FROM {_IN}) GROUP BY tag)
+    SELECT tag, n, parent, (sum(n) OVER (PARTITION BY parent))::BIGINT AS parent_n FROM s""",
+)(lambda c: listing.facet_tags(c, scope=_SCOPE))
+query(
+    "dedupe_user_scope",
+    f"""WITH d AS (SELECT id FROM {_IN} QUALIFY trim(coalesce(company, ''), ' ') <> '' AND {_RN.format('id')} > 1)
+    SELECT id FROM companies WHERE id NOT IN (SELECT id FROM d)""",
+)(lambda c: dedupe.dedupe_companies(c, "company", scope=_SCOPE).select("id"))
+query(
+    "null_fields_scoped",
+    f"SELECT id, CASE WHEN NOT (coalesce(company, '') ILIKE '%大和%' AND coalesce(prefecture IN ({_KANTO}), false)) THEN email END AS email FROM {_D}",
+)(lambda c: dedupe.null_fields(c, ["email"], Request({"company": FieldFilter("contains", "大和")}), _SCOPE).select("id", "email"))
+query("list_order_all", f"SELECT id, company, row_number() OVER (ORDER BY {_ORDER.format('established_date', 'DESC')}) AS place FROM companies")(
+    lambda c: dedupe.number_rows(c, listing.list_order("established_date", True), "place", 1).select("id", "company", "place")
+)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
 
 from meibo.functions import names
+from meibo.operators import merge
 from meibo.schema import companies, with_companies
 
 QUERIES: dict = {}
@@ -34,3 +36,19 @@ query(
     "inspection_summary",
     f"SELECT count(*) AS total, count(*) FILTER (action = 'update') AS updates, count(*) FILTER (action = 'delete') AS deletes, 0::BIGINT AS reviews, count(*) FILTER (action = 'none') AS skipped FROM {_INSPECTED}",
 )(lambda i: names.summary(i, names.changes(i)))
+
+
+def _changes_joined(spark, sf_dir):
+    """Changes of names met with companies of which some are gone and some have a new name since."""
+    now = companies(spark, sf_dir)
+    changed = names.changes(names.inspect_names(now))
+    later = now.where("id % 7 <> 0").withColumn("representative_name", F.when(F.col("id") % 5 == 0, F.lit("新 太郎")).otherwise(F.col("representative_name")))
+    out = merge.changes_with_companies(changed, later)
+    return out.select("row_id", "action", "before_value", "present_value", "found", "stale")
+
+
+QUERIES["changes_join_companies"] = _changes_joined
+ORACLES["changes_join_companies"] = with_companies(
+    f"""SELECT row_id, action, before_value, CASE WHEN row_id % 7 = 0 THEN NULL WHEN row_id % 5 = 0 THEN '新 太郎' ELSE before_value END AS present_value,
+    row_id % 7 <> 0 AS found, row_id % 7 = 0 OR row_id % 5 = 0 AS stale FROM {_INSPECTED} WHERE action <> 'none'"""
+)

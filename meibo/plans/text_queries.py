@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from meibo.functions import text as x
 from meibo.plans import oracle as o
-from meibo.schema import companies, with_companies
+from meibo.schema import PREFECTURES, companies, with_companies
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -42,7 +42,47 @@ _D1 = "regexp_matches(permit_number, '派\\s*[0-9]{2}\\s*[-－ー―]\\s*[0-9]{6
 _D2 = "regexp_matches(permit_number, '[0-9]{2}\\s*[-－ー―]\\s*ユ\\s*[-－ー―]\\s*[0-9]{6}')"
 URL = "CASE WHEN trim(coalesce(website_url, '')) = '' THEN NULL WHEN regexp_matches(website_url, '(?i)^https?://') THEN website_url ELSE 'https://' || website_url END"
 
+# a line of a page: label, code, address and what follows it, some without
+_LINE = lambda: F.concat(
+    F.when(F.col("id") % 3 == 0, F.lit("本社所在地：〒123-4567 ")).when(F.col("id") % 3 == 1, F.lit("住所　")).otherwise(F.lit("")), x.col("address"),
+    F.when(F.col("id") % 5 == 0, F.lit(" TEL 03-1234-5678")).when(F.col("id") % 5 == 1, F.lit("  ビル2階 営業部")).when(F.col("id") % 5 == 2, F.lit(" 採用 情報")).otherwise(F.lit("")),
+)
+_LINE_SQL = """CASE id % 3 WHEN 0 THEN '本社所在地：〒123-4567 ' WHEN 1 THEN '住所　' ELSE '' END || coalesce(address, '')
+ || CASE id % 5 WHEN 0 THEN ' TEL 03-1234-5678' WHEN 1 THEN '  ビル2階 営業部' WHEN 2 THEN ' 採用 情報' ELSE '' END"""
+_W = "[\\s　]"
+_LOCATION = f"(?:(?:{'|'.join(PREFECTURES)}){_W}*)?{x.MUNICIPALITY}"
+
+
+def likely_sql(t: str) -> str:
+    return f"""coalesce(length({t}) BETWEEN 8 AND 120 AND NOT regexp_matches({t}, '(?i){x.ADDRESS_NOISE}|{x.ADDRESS_CONTACTS}|@|[。！？!?]')
+ AND regexp_matches({t}, '{_LOCATION}') AND regexp_matches(regexp_extract({t}, '{_LOCATION}(.*)$', 1), '(?i){x.ADDRESS_DETAIL}'), false)"""
+
+
+def _tail_sql(t: str) -> str:
+    return f"trim(regexp_replace(regexp_replace({t}, '(?i){_W}*(?:{x.ADDRESS_TAILS}){_W}*$', ''), '{_W}{{2,}}', ' ', 'g'), ' 　')"
+
+
+_LABELS = x.ADDRESS_LABELS.replace("\\", "\\")
+#: Steps of the address's normal form, each a subquery, over (id, t).
+_STEPS = (
+    f"SELECT id, trim(regexp_replace(regexp_replace(regexp_replace(t, '(?i)^(?:{_LABELS}){_W}*[:：]?{_W}*', ''), '(?:〒{_W}*)?[0-9]{{3}}-?[0-9]{{4}}{_W}*', '', 'g'), '{_W}{{2,}}', ' ', 'g'), ' 　') AS t",
+    f"SELECT id, nullif(regexp_extract(t, '({_LOCATION}.*)$', 1), '') AS t",
+    f"SELECT id, {_tail_sql(f"regexp_replace(t, '(?i){_W}*(?:{x.ADDRESS_ENDS}).*$', '')")} AS t",
+)
+_CORE = f"SELECT id, {_PLAIN(f'({_LINE_SQL})')} AS t FROM companies"
+for _step in _STEPS:
+    _CORE = f"{_step} FROM ({_CORE})"
+_MEMO = "CASE id % 6 WHEN 0 THEN '社員数 ' WHEN 1 THEN '募集人数 ' WHEN 2 THEN '電話' WHEN 3 THEN '代表電話' WHEN 4 THEN 'FAX' ELSE '' END || coalesce(memo, '')"
+_MEMO_COLUMN = lambda: F.concat(F.element_at(F.array(*map(F.lit, ("社員数 ", "募集人数 ", "電話", "代表電話", "FAX", ""))), (F.col("id") % 6 + 1).cast("int")), x.col("memo"))
+_TIME = "CASE id % 4 WHEN 0 THEN '2024/03/0' || (id % 9 + 1) WHEN 1 THEN ' 2023-12-31 23:59:0' || (id % 10) WHEN 2 THEN 'まだ' ELSE '' END"
+_TIME_COLUMN = lambda: F.when(F.col("id") % 4 == 0, F.concat(F.lit("2024/03/0"), (F.col("id") % 9 + 1).cast("string"))).when(F.col("id") % 4 == 1, F.concat(F.lit(" 2023-12-31 23:59:0"), (F.col("id") % 10).cast("string"))).when(F.col("id") % 4 == 2, F.lit("まだ")).otherwise(F.lit(""))
+
 _QUERIES = {
+    "is_likely_address": (lambda: x.likely_address(_LINE()), likely_sql(_PLAIN(f"({_LINE_SQL})"))),
+    "employee_context": (lambda: x.employee_context(_MEMO_COLUMN()), f"id % 6 = 0 OR regexp_matches({_MEMO}, '{x.EMPLOYEE_CONTEXT}')"),
+    "employee_noise": (lambda: x.employee_noise(_MEMO_COLUMN()), f"trim({_MEMO}) = '' OR (id % 6 <> 0 AND regexp_matches({_MEMO}, '(?i){x.EMPLOYEE_NOISE}'))"),
+    "phone_label_context": (lambda: x.phone_label_context(_MEMO_COLUMN()), "id % 6 IN (2, 3) AND coalesce(memo, '') = ''"),
+    "normalize_iso_datetime": (lambda: x.iso_datetime(_TIME_COLUMN()), f"CASE id % 4 WHEN 0 THEN replace({_TIME}, '/', '-') || 'T00:00:00.000Z' WHEN 1 THEN replace(trim({_TIME}), ' ', 'T') || '.000Z' END"),
     "normalize_digits": (lambda: x.digits(x.col("zipcode")), _DIGITS("coalesce(zipcode, '')")),
     "normalize_space": (lambda: x.space("representative_name"), "trim(regexp_replace(coalesce(representative_name, ''), '[\\s　]{2,}', ' ', 'g'))"),
     "normalize_nullable_text": (lambda: x.nullable("company"), "nullif(trim(coalesce(company, ''), ' 　'), '')"),
@@ -76,6 +116,10 @@ for _name, (_column, _sql) in _QUERIES.items():
     QUERIES[_name] = lambda spark, sf_dir, c=_column: companies(spark, sf_dir).select("id", c().alias("value"))
     ORACLES[_name] = with_companies(f"SELECT id, {_sql} AS value FROM companies")
 
+for _name, _column in (("pick_address_core", x.address_core), ("normalize_address", x.address)):
+    QUERIES[_name] = lambda spark, sf_dir, f=_column: companies(spark, sf_dir).select("id", f(_LINE()).alias("value"))
+    ORACLES[_name] = with_companies(f"SELECT id, CASE WHEN {likely_sql('t')} THEN t END AS value FROM ({_CORE})")
+
 QUERIES["standardize_companies"] = lambda spark, sf_dir: x.standardize(companies(spark, sf_dir), ("phone", "zipcode", "email")).select(
     "id", "phone", "zipcode", "email", F.array_join("changed", ",").alias("changed")
 )

@@ -112,7 +112,11 @@ def jobboard_table(df: DataFrame) -> DataFrame:
 
 
 def write_jobboard_csv(df: DataFrame, path: str) -> None:
-    jobboard_table(df).write.csv(path, header=True, quoteAll=False, emptyValue="", encoding="UTF-8")
+    """Files that, one after the other, make one CSV with byte-order mark and header."""
+    head = "\ufeff" + ",".join(f'"{c}"' for c in COLUMNS)
+    df.sparkSession.createDataFrame([(head,)], "value string").coalesce(1).write.text(f"{path}/part=0", lineSep="\r\n")
+    lines = jobboard_table(df).select(csv_line([F.col(c) for c in COLUMNS]).alias("value"))
+    lines.write.text(f"{path}/part=1", lineSep="\r\n")
 
 
 def read_table_jdbc(spark: SparkSession, url: str, name: str, low: int, high: int, parts: int = 64, **options) -> DataFrame:

@@ -162,3 +162,76 @@ def test_candidates_of_each_source(spark):
     }
     assert not {v for v in values if v[0] in ("weak", "job") and v[1] == "phone"}
     assert [v for v in values if v[:2] == ("form", "form_url")] == [("form", "form_url", "https://a.jp/ask", 120)]
+
+
+def test_addresses(spark):
+    from meibo.functions import text as x
+
+    cases = {
+        "本社所在地：〒123-4567 東京都港区芝公園1-2-3 TEL 03-1234-5678": "東京都港区芝公園1-2-3",
+        "住所　四日市市中町１２番地 営業部": "四日市市中町12番地",
+        "大阪府大阪市北区梅田2丁目 アクセス方法 駅から5分": "大阪府大阪市北区梅田2丁目",
+        "東京都港区の採用サービス1": None, "東京都港区ああああ": None, "東京都港区1-2-3@x": None, "港区1": None, "": None, None: None,
+    }
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(cases)], "k int, t string")
+    got = {r["k"]: r["v"] for r in df.select("k", x.address("t").alias("v")).collect()}
+    assert got == dict(enumerate(cases.values()))
+
+
+def test_lines_about_heads_and_phones(spark):
+    from meibo.functions import text as x
+
+    lines = ["従業員数 20名", "募集人数 3名", "売上高 3億円", "", None, "代表電話", "電話 採用担当", "FAX", "ほか"]
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(lines)], "k int, t string")
+    out = df.orderBy("k").select(x.employee_context("t"), x.employee_noise("t"), x.phone_label_context("t")).collect()
+    assert [tuple(r) for r in out] == [
+        (True, False, False), (False, True, False), (False, True, False), (False, True, False), (False, True, False),
+        (False, False, True), (False, False, False), (False, False, False), (False, False, False),
+    ]
+
+
+def test_iso_datetimes(spark):
+    from meibo.functions import text as x
+
+    cases = {"2024/03/05": "2024-03-05T00:00:00.000Z", " 2023-12-31 23:59:01 ": "2023-12-31T23:59:01.000Z", "2024-01-01T09:00:00+09:00": "2024-01-01T00:00:00.000Z", "まだ": None, " ": None, None: None}
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(cases)], "k int, t string")
+    assert {r["k"]: r["v"] for r in df.select("k", x.iso_datetime("t").alias("v")).collect()} == dict(enumerate(cases.values()))
+
+
+def test_names_not_understood_are_left_alone():
+    from meibo.functions.names import inspect_name
+
+    assert inspect_name("営業部 東京 山田 太郎")[:2] == ("update", "山田 太郎")
+    assert inspect_name("株式会社山田")[0] == inspect_name("名古屋市")[0] == inspect_name("ご挨拶")[0] == "delete"
+    assert inspect_name("あいうえおかきくけこさしすせそたちつてと")[0] == inspect_name("#### ----")[0] != "update"
+    assert inspect_name("ABCDEFGHIJKLMNOPQRSTUVWXYZ")[:2] == ("none", None)
+
+
+def test_csv_for_the_job_board_is_read_back(spark, tmp_path):
+    import csv
+    import io
+
+    from meibo.sources import files
+
+    first, second = files.COLUMNS[:2]
+    df = spark.createDataFrame([('b, "c"', None), ("改行\nあり", "x")], f"`{first}` string, `{second}` string, other string".replace(", other string", ""))
+    files.write_jobboard_csv(df, str(tmp_path / "board"))
+    data = b"".join(p.read_bytes() for k in (0, 1) for p in sorted((tmp_path / "board" / f"part={k}").glob("part-*")))
+    assert data.startswith(b"\xef\xbb\xbf")
+    rows = list(csv.reader(io.StringIO(data.decode("utf-8-sig"), newline="")))
+    assert rows[0] == list(files.COLUMNS)
+    assert sorted((r[0], r[1]) for r in rows[1:]) == [('b, "c"', ""), ("改行\nあり", "x")]
+
+
+def test_export_of_job_rows(spark):
+    from meibo.schema import NAMES
+    from meibo.sources import files
+
+    targets = spark.createDataFrame([(0, 10, "done"), (1, 11, "pending")], "target_index int, row_id long, status string")
+    changes = spark.createDataFrame([(10, "phone", "old", ["a", "b"])], "row_id long, field string, before string, candidates array<string>")
+    names = ", ".join(f"{n} string" for n in NAMES)
+    stored = spark.createDataFrame([(10, *["v"] * len(NAMES)), (11, *["w"] * len(NAMES))], f"id long, {names}")
+    every = {r["row_id"]: r for r in files.export_job_rows(targets, changes, stored).collect()}
+    assert every[10]["phone_before"] == "old" and every[10]["phone_candidates"] == "a\nb" and every[11]["phone_before"] is None and every[11]["company"] == "w"
+    assert [r["row_id"] for r in files.export_job_rows(targets, changes, stored, "done").collect()] == [10]
+    assert "company" not in files.export_job_rows(targets, changes, stored, "candidates_only").columns
