@@ -93,7 +93,8 @@ query(
 )(lambda f: jobs.preview_counts(f["targets"], f["preview"]))
 query(
     "preview_page",
-    "SELECT row_id, office_index FROM (SELECT DISTINCT row_id, office_index FROM preview WHERE job_id = 'j4') ORDER BY row_id, office_index LIMIT 20 OFFSET 20",
+    """SELECT row_id, office_index FROM (SELECT *, row_number() OVER (ORDER BY row_id, office_index) - 1 AS k, count(*) OVER () AS total
+      FROM (SELECT DISTINCT row_id, office_index FROM preview WHERE job_id = 'j4')) WHERE k // 20 = least(2, greatest(1, (total + 19) // 20)) - 1""",
 )(lambda f: jobs.preview_page(f["preview"].select("job_id", "row_id", "office_index").distinct(), "j4", 2).select("row_id", "office_index"))
 query("preview_join_source", "SELECT p.preview_row_id, c.company, c.phone FROM preview p JOIN companies c ON c.id = p.row_id")(
     lambda f: f["preview"].join(f["companies"].withColumnRenamed("id", "row_id"), "row_id").select("preview_row_id", "company", "phone")
