@@ -67,7 +67,7 @@ def extract_offices(df: DataFrame, key: str = "company_id", seq: str = "page_seq
             for k, page, name, text in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
                 for n, o in enumerate(office_blocks((text or "").split("\n"))):
                     full = o["office_name"] if not name else name if o["office_name"] in name else f"{name} {o['office_name']}"
-                    rows.append((k, page * 1000 + n, o["office_name"], full, *(o[a] for a in arrays)))
+                    rows.append((k, (page << 32) + n, o["office_name"], full, *(o[a] for a in arrays)))
             cols = list(zip(*rows, strict=True)) or [[]] * 9
             types = [batch.schema.field(0).type, pa.int64(), pa.string(), pa.string(), *[pa.list_(pa.string())] * 5]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types, strict=True)], [key, "seq", "office_name", "company", *arrays])

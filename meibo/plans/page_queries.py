@@ -39,16 +39,41 @@ page_query(
 page_query(
     "page_flags",
     "SELECT page_id, regexp_matches(html, '(?is)<form\\b.*?</form>') AS has_form, html LIKE '%<footer%' AS has_footer, nullif(regexp_extract(html, '(?is)<meta[^>]+name=\"description\"[^>]+content=\"(.*?)\"', 1), '') AS description FROM pages",
-)(lambda d: d.select("page_id", p.has_form("html").alias("has_form"), (p.footer_html("html") != "").alias("has_footer"), p.meta_description("html").alias("description")))
+)(lambda d: p.with_footer(d).select("page_id", p.has_form("html").alias("has_form"), (F.col("footer") != "").alias("has_footer"), p.meta_description("html").alias("description")))
 page_query(
     "extract_links",
     """WITH l AS (SELECT page_id, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS site, unnest(regexp_extract_all(html, '<a href="([^"]+)"', 1)) AS href,
       unnest(regexp_extract_all(html, '<a href="[^"]+">([^<]*)</a>', 1)) AS label, generate_subscripts(regexp_extract_all(html, '<a href="([^"]+)"', 1), 1) AS k FROM pages)
     SELECT page_id, split_part(site || href, '#', 1) AS link, first(label ORDER BY k) AS label FROM l GROUP BY 1, 2""",
 )(lambda d: p.extract_links(d, "page_id").select("page_id", "link", F.col("label")))
-page_query("rank_candidate_pages")(lambda d: p.rank_pages(p.extract_links(d, "page_id"), "page_id"))
-page_query("rank_nested_pages")(lambda d: p.rank_pages(p.extract_links(d, "page_id"), "page_id", nested=True))
 _SCORED = lambda words: " + ".join(f"CASE WHEN regexp_matches(t, '(?i){w}') THEN {n} ELSE 0 END" for w, n in words)
+_LINKS = """SELECT page_id, split_part(site || href, '#', 1) AS link, first(label ORDER BY k) AS label, min(k) AS k FROM (
+      SELECT page_id, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS site, unnest(regexp_extract_all(html, '<a href="([^"]+)"', 1)) AS href,
+      unnest(regexp_extract_all(html, '<a href="[^"]+">([^<]*)</a>', 1)) AS label, generate_subscripts(regexp_extract_all(html, '<a href="([^"]+)"', 1), 1) AS k FROM pages) GROUP BY 1, 2"""
+
+
+def _ranked(nested: bool) -> str:
+    """The SQL of ``rank_pages`` over the pages' links, all of which are of their own sites."""
+
+    def score(focus: str) -> str:
+        low, first, later = p.LINK_LIMITS[focus]
+        pdf = "regexp_matches(link, '(?i)\\.pdf(?:$|\\?)')"
+        if focus == "employee_count":
+            staff, jobs = (f"regexp_matches(t, '(?i){w}')" for w in (p.HEADCOUNT, p.RECRUIT))
+            more = f"CASE WHEN {jobs} AND NOT {staff} THEN -250 ELSE 0 END + CASE WHEN {pdf} THEN CASE WHEN {staff} THEN 280 ELSE -240 END ELSE 0 END"
+        else:
+            more = f"CASE WHEN {pdf} THEN {20 if focus == 'representative' else -40} ELSE 0 END"
+        return f"SELECT page_id, k, link, '{focus}' AS focus, {_SCORED(p.LINK_RULES[focus])} + {more} AS score, {low} AS low, {later if nested else first} AS most FROM l"
+
+    every = " UNION ALL ".join(score(f) for f in p.LINK_LIMITS)
+    return f"""WITH l AS (SELECT *, label || ' ' || url_decode(link) AS t FROM ({_LINKS}) WHERE NOT regexp_matches(link, '(?i){p.DENIED}'))
+    SELECT page_id, focus, link, score, row_number() OVER (PARTITION BY page_id, focus ORDER BY score DESC, k) AS place FROM ({every}) WHERE score > low QUALIFY place <= most"""
+
+
+page_query("rank_candidate_pages", _ranked(False))(lambda d: p.rank_pages(p.extract_links(d, "page_id"), "page_id"))
+page_query("rank_nested_pages", _ranked(True))(lambda d: p.rank_pages(p.extract_links(d, "page_id"), "page_id", nested=True))
+_TITLE, _H1 = (_SPACED(f"regexp_extract(html, '(?is)<{t}[^>]*>(.*?)</{t}>', 1)") for t in ("title", "h1"))
+_LINES = f"array_to_string(list_filter(list_transform(string_split({_BARE}, chr(10)), lambda l: {_SPACED('l')}), lambda l: l <> ''), chr(10))"
 for _focus in ("company_core", "contact", "business_content", "permit"):
     page_query(f"link_score_{_focus}", f"SELECT page_id, {_SCORED(p.LINK_RULES[_focus])} AS score FROM (SELECT page_id, regexp_replace(url, '%[0-9A-F]{{2}}', '', 'g') AS t FROM pages)")(
         lambda d, f=_focus: d.withColumns({"link": F.col("url"), "label": F.lit(""), "same_origin": F.lit(True)}).select("page_id", p.link_score(f).alias("score"))
@@ -76,8 +101,22 @@ def company_pages(spark, sf_dir):
     return spark.sql(COMPANY_PAGES, companies=companies(spark, sf_dir))
 
 
-QUERIES["extract_pairs"] = lambda spark, sf_dir: p.extract_pairs(company_pages(spark, sf_dir), ["company_id", "page_seq"]).where("label = '資本金'").select("company_id", "value")
-ORACLES["extract_pairs"] = with_companies("SELECT id AS company_id, trim(capital, ' ') AS value FROM companies WHERE trim(capital, ' ') <> ''")
+QUERIES["extract_pairs"] = lambda spark, sf_dir: p.extract_pairs(company_pages(spark, sf_dir), ["company_id", "page_seq"]).select("company_id", "page_seq", "label", "value")
+_VALUE = lambda c: f"trim(regexp_replace(coalesce({c}, ''), '[\\s　]+', ' ', 'g'), ' ')"
+ORACLES["extract_pairs"] = with_companies(
+    " UNION ALL ".join(f"SELECT id AS company_id, 0 AS page_seq, '{label}' AS label, {_VALUE(f)} AS value FROM companies WHERE {_VALUE(f)} <> ''" for label, f in _ROWS)
+)
+_ROW_LINES = " UNION ALL ".join(f"SELECT id, {k} AS k, CASE id % 3 WHEN 2 THEN '{label}：' ELSE '' END || coalesce({f}, '') AS line FROM companies" for k, (label, f) in enumerate(_ROWS))
+_CALLED = "regexp_replace(regexp_replace(translate(raw, '０１２３４５６７８９', '0123456789'), '[－ー―]', '-', 'g'), '[-\\s　]+', '-', 'g')"
+for _kind, _words in p.NUMBER_LINES.items():
+    QUERIES[f"contact_number_candidates_{_kind}"] = lambda spark, sf_dir, k=_kind: p.contact_numbers(company_pages(spark, sf_dir), k)
+    _own = f"regexp_matches(line, '(?i){_words}')" + (f" AND NOT regexp_matches(line, '(?i){p.NUMBER_LINES['fax']}')" if _kind == "phone" else "")
+    ORACLES[f"contact_number_candidates_{_kind}"] = with_companies(
+        f"""SELECT id AS company_id, number, row_number() OVER (PARTITION BY id ORDER BY k, n) AS seq FROM (
+        SELECT id, regexp_replace(number, '[^0-9]', '', 'g') AS digits, first(number ORDER BY k, n) AS number, min(k) AS k, arg_min(n, (k, n)) AS n FROM (
+        SELECT id, k, n, {_CALLED} AS number FROM (SELECT id, k, unnest(regexp_extract_all(line, '{p.NUMBER}')) AS raw, generate_subscripts(regexp_extract_all(line, '{p.NUMBER}'), 1) AS n
+        FROM ({_ROW_LINES}) WHERE {_own})) GROUP BY 1, 2)"""
+    )
 _REP = f"CASE WHEN NOT regexp_matches(replace({PHONE}, '-', ''), '^(070|080|090|050|020|0120|0570|0800)') THEN {PHONE} END"
 QUERIES["extract_company_fields"] = lambda spark, sf_dir: p.extract_fields(company_pages(spark, sf_dir)).select(
     "company_id", "phone", "established_date", "address", "form_url", F.col("email").isNotNull().alias("has_email")
@@ -88,7 +127,7 @@ ORACLES["extract_company_fields"] = with_companies(
 )
 QUERIES["best_value"] = lambda spark, sf_dir: p.best_values(p.candidates(company_pages(spark, sf_dir))).where("field = 'fax'").select("company_id", "value")
 ORACLES["best_value"] = with_companies(f"SELECT id AS company_id, {FAX} AS value FROM companies WHERE {FAX} IS NOT NULL")
-QUERIES["page_field_gate"] = lambda spark, sf_dir: p.candidates(company_pages(spark, sf_dir)).where("seq >= 100000").groupBy("field").agg(F.count("*").alias("n"))
+QUERIES["page_field_gate"] = lambda spark, sf_dir: p.candidates(company_pages(spark, sf_dir)).where(F.col("seq") >= p.PAGE).groupBy("field").agg(F.count("*").alias("n"))
 ORACLES["page_field_gate"] = with_companies("SELECT unnest(['email', 'form_url']) AS field, (SELECT count(*) FROM companies) AS n")
 QUERIES["dedupe_pages_by_final_url"] = lambda spark, sf_dir: p.first_pages(
     company_pages(spark, sf_dir).unionByName(company_pages(spark, sf_dir).withColumn("page_seq", F.col("page_seq") + 5))
@@ -100,3 +139,17 @@ QUERIES["decode_page_bytes"] = lambda spark, sf_dir: p.decode_body(
     companies(spark, sf_dir).select("id", F.encode(F.concat(F.lit("<p>会社の住所 "), F.col("address")), "UTF-8").alias("body"), F.lit("text/html").alias("content_type"))
 ).select("id", "html")
 ORACLES["decode_page_bytes"] = with_companies("SELECT id, '<p>会社の住所 ' || address AS html FROM companies")
+
+
+def _office_pages(spark, sf_dir):
+    every = spark.read.parquet(f"{sf_dir}/pages.parquet").select("url", "html").unionByName(company_pages(spark, sf_dir).select(F.col("final_url").alias("url"), "html"))
+    target = F.concat_ws(" ", F.try_url_decode("url"), p.page_title("html"), p.page_h1("html"))
+    return every.select("url", p.office_page(target, p.strip_html_lines("html")).alias("office_page"))
+
+
+QUERIES["office_page_select"] = _office_pages
+ORACLES["office_page_select"] = with_companies(
+    f"""SELECT url, regexp_matches(url_decode(url) || ' ' || {_TITLE} || ' ' || {_H1}, '(?i){p.CONTACT}|{p.COMPANY}')
+    OR regexp_matches(substr({_LINES}, 1, 4000), '(?i){p.OFFICE_LINES}') AS office_page FROM pages
+    UNION ALL SELECT 'https://c' || id || '.example.jp/' || page, true FROM companies, (VALUES (''), ('contact')) t(page)"""
+)

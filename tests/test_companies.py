@@ -235,3 +235,46 @@ def test_export_of_job_rows(spark):
     assert every[10]["phone_before"] == "old" and every[10]["phone_candidates"] == "a\nb" and every[11]["phone_before"] is None and every[11]["company"] == "w"
     assert [r["row_id"] for r in files.export_job_rows(targets, changes, stored, "done").collect()] == [10]
     assert "company" not in files.export_job_rows(targets, changes, stored, "candidates_only").columns
+
+
+def test_elements_of_a_page():
+    from meibo.operators import markup
+
+    assert markup.pairs(None) == markup.pairs("") == [] and markup.footer(None) == ""
+    # open cells and items end with the next; repeated pairs come once; scripts and comments hold none
+    assert markup.pairs("<table><tr><th>A<td>1<tr><th>B<td>2 &amp; 3</table><!-- <p>C: 4</p> --><script>'<p>D: 5</p>'</script>") == [("A", "1"), ("B", "2 & 3")]
+    assert markup.pairs("<p>A: 1<p>A: 1<p>: 2<p>" + "x" * 61 + ": 3") == [("A", "1")]
+    assert markup.pairs("<dl><dt>A</dt><dd></dd><dt>B</dt><dd>a<br>b</dd></dl></div></p>") == [("B", "a b")]
+    assert markup.pairs("<div>" * 5000 + "A: 1")[:1] == [("A", "1")]
+    page = '<div class="site-info"><div id="contact">a</div>b</div><footer>c</footer><p>d</p><section id=x>e</section>'
+    assert markup.footer(page) == "a b c"
+
+
+def test_meta_of_a_page(spark):
+    from meibo.operators import pages
+
+    ld = '{"@context":"x","@graph":[{"@type":"WebSite","name":"no"},{"@type":["Organization"],"name":" 株式会社A ","address":{"@type":"PostalAddress"}}]}'
+    rows = [
+        ("order", '<meta content="a > b" name="Description"><META property=\'og:site_name\' content=\'c\'>'),
+        ("blank", '<meta name="description" content=""><meta name="description" content="second">'),
+        ("graph", f'<script type="application/ld+json">{{"broken</script><script type="application/ld+json">{ld}</script>'),
+        ("owner", '<script type="application/ld+json">{"@type":"WebPage","name":"no","publisher":{"@type":"Organization","name":"B"}}</script>'),
+        ("null", None),
+    ]
+    df = spark.createDataFrame(rows, "k string, html string")
+    got = {r["k"]: tuple(r)[1:] for r in df.select("k", pages.meta_description("html"), pages.og_site_name("html"), pages.jsonld_name("html")).collect()}
+    assert got == {
+        "order": ("a > b", "c", None), "blank": ("second", None, None), "graph": (None, None, "株式会社A"), "owner": (None, None, "B"), "null": (None, None, None),
+    }
+
+
+def test_contact_numbers_in_order(spark):
+    from meibo.operators import pages
+
+    rows = [
+        ("a", 1, "<p>TEL 03-1111-2222</p>"), ("a", 0, "<p>電話 03-3333-4444 / ０３ー１１１１ー２２２２</p><p>TEL/FAX 03-5555-6666</p><p>03-7777-8888</p>"),
+        ("b", 0, None), ("c", 0, "<p>電話</p>"),
+    ]
+    df = spark.createDataFrame(rows, "company_id string, page_seq int, html string")
+    assert sorted(map(tuple, pages.contact_numbers(df, "phone").collect())) == [("a", "03-1111-2222", 2), ("a", "03-3333-4444", 1)]
+    assert [tuple(r) for r in pages.contact_numbers(df, "fax").collect()] == [("a", "03-5555-6666", 1)]
