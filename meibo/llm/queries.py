@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("bpe", "chat", "html", "language", "mixing", "quality", "simhash", "substring", "suffixes", "winnowing")
+_MODULES = ("alignment", "bpe", "chat", "divergence", "html", "language", "mixing", "quality", "simhash", "substring", "suffixes", "urls", "winnowing")
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
