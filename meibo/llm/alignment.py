@@ -29,7 +29,9 @@ from meibo.llm.bpe import _packed, _unpacked, default_tokenizer, pieces
 from meibo.llm.common import cut, table, text_of, tidy
 
 #: Bytes of text in a block, about; a longer text is a block of its own.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 6 << 20
+#: Stretches that are encoded together, whose tokens are Python lists for that long.
+SOME = 1 << 14
 #: White space outside ASCII, and the stand-in for a space, as UTF-8 bytes read as one number: no stretch begins after these.
 _NO_CUT = np.array([int.from_bytes(chr(c).encode(), "big") for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0x2581)])
 MEASURES = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
@@ -69,12 +71,19 @@ def piece_bytes(path: str) -> list[bytes]:
     return [bytes([int(n[3:5], 16)]) if model.is_byte(i) else n.replace("▁", " ").encode() for i, n in enumerate(names)]
 
 
-def encode_pair(stretches: list[str], path_a: str, path_b: str) -> tuple[list[list[int]], list[list[int]]]:
-    """The ids of each stretch (which begins with a space) by both tokenizers, as if it stood inside a longer text."""
-    a = [e.ids for e in _byte_tokenizer(path_a).encode_batch_fast(stretches, add_special_tokens=False)]
-    model = _piece_tokenizer(path_b)
+def encode_stretches(stretches: pa.Array, path_a: str, path_b: str) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(ids end to end, how many each stretch has) by both tokenizers, as if each stretch (which begins with a space) stood inside a longer text."""
+    model, parts = _piece_tokenizer(path_b), ([], [])
     before = len(model.encode("x"))  # a word before it, or a stretch of spaces alone would have no tokens
-    return a, [ids[before:] for ids in model.encode([f"x{s}" for s in stretches], num_threads=1)]
+    for low in range(0, len(stretches), SOME):
+        some = stretches.slice(low, SOME).to_pylist()
+        a = [e.ids for e in _byte_tokenizer(path_a).encode_batch_fast(some, add_special_tokens=False)]
+        b = [ids[before:] for ids in model.encode([f"x{s}" for s in some], num_threads=1)]
+        for part, lists in zip(parts, (a, b), strict=True):
+            count = np.fromiter(map(len, lists), np.int64, len(lists))
+            part.append((np.fromiter(chain.from_iterable(lists), np.int64, int(count.sum())), count))
+    none = (np.zeros(0, dtype=np.int64),) * 2
+    return [tuple(map(np.concatenate, zip(*part, strict=True))) if part else none for part in parts]
 
 
 def cuts(data: np.ndarray) -> np.ndarray:
@@ -115,9 +124,8 @@ def align_stretches(stretches: pa.LargeStringArray, path_a: str, path_b: str) ->
     n = len(stretches)
     length = np.diff(np.frombuffer(stretches.buffers()[1], np.int64)[stretches.offset : stretches.offset + n + 1])
     ids, own = [], []
-    for lists in encode_pair(stretches.to_pylist(), path_a, path_b):
-        count = np.fromiter(map(len, lists), np.int64, n)
-        ids.append(np.fromiter(chain.from_iterable(lists), np.int64, int(count.sum())))
+    for flat, count in encode_stretches(stretches, path_a, path_b):
+        ids.append(flat)
         own.append(np.repeat(np.arange(n), count))
     ok = np.ones(n, dtype=bool)
     for k in range(2):

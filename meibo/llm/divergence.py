@@ -86,8 +86,12 @@ def _terms(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, pa.Array]:
 
 
 def term_counts(texts: DataFrame) -> DataFrame:
-    """(lang, source, term, n, docs): how often a source's documents have a term and how many have it, of ``collapsed`` texts."""
-    names = ("lang", "source", "term", "n", "docs")
+    """(lang, term, docs, total, held): how many of a language's documents have a term and how often, and ``held`` (source, n), of ``collapsed`` texts.
+
+    A slice of texts sends a term once, with the counts in all sources that have it there, so no term is
+    sent more often than there are slices; one shuffle by language and term serves both sums.
+    """
+    names = ("source", "n", "docs")
 
     def counted(rows: list[tuple[str, bytes, list[dict]]]) -> pa.RecordBatch:
         text, code, terms = _terms([r[1] for r in rows])
@@ -100,13 +104,15 @@ def term_counts(texts: DataFrame) -> DataFrame:
         copies = np.array([s["n"] for r in rows for s in r[2]], dtype=np.int64)
         size = width[own]
         at = np.repeat((np.cumsum(width) - width)[own] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-        which = np.repeat(lang[own].astype(np.int64), size) * len(sources) + source[at]
-        n, docs, term = np.repeat(often, size) * copies[at], copies[at], np.repeat(term, size)
-        order, new = _runs(which, term)
-        sums = [np.add.reduceat(v[order], new) if len(new) else v for v in (n, docs)]
-        which, term = which[order[new]], term[order[new]]
-        columns = [langs.take(pa.array(which // len(sources))), sources.take(pa.array(which % len(sources))), terms.take(pa.array(term)).cast(pa.large_string()).cast(pa.string())]
-        return pa.RecordBatch.from_arrays([*columns, *(pa.array(s, pa.int64()) for s in sums)], list(names))
+        lang, source, term = np.repeat(lang[own], size), source[at], np.repeat(term, size)
+        order, new = _runs(lang, term, source)
+        sums = [np.add.reduceat(v[order], new) if len(new) else v for v in (np.repeat(often, size) * copies[at], copies[at])]
+        lang, source, term = (v[order[new]] for v in (lang, source, term))  # in order of language and term
+        _, starts = _runs(lang, term)
+        held = pa.StructArray.from_arrays([sources.take(pa.array(source)), *(pa.array(s, pa.int64()) for s in sums)], list(names))
+        lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(term)), pa.int32()), held)
+        words = terms.take(pa.array(term[starts])).cast(pa.large_string()).cast(pa.string())
+        return pa.RecordBatch.from_arrays([langs.take(pa.array(lang[starts])), words, lists], ["lang", "term", "held"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, size = [], 0
@@ -121,8 +127,9 @@ def term_counts(texts: DataFrame) -> DataFrame:
         if rows:
             yield counted(rows)
 
-    each = texts.select("lang", "text", "sources").mapInArrow(tidy(run), "lang string, source string, term string, n long, docs long")
-    return each.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    each = texts.select("lang", "text", "sources").mapInArrow(tidy(run), "lang string, term string, held array<struct<source:string,n:long,docs:long>>")
+    each = each.repartition("lang", "term").select("lang", "term", F.inline("held")).groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    return each.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("total"), F.collect_list(F.struct("source", "n")).alias("held"))
 
 
 def share(n: Column, total: Column, terms: Column) -> Column:
@@ -148,9 +155,7 @@ def divergence(df: DataFrame, least_docs: int = LEAST_DOCS, terms: int = TERMS,
     """
     named = {"lang": lang_col, "source": source_col, "text": text_col}
     docs = df.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for n, c in named.items()])
-    by_term = term_counts(collapsed(docs)).groupBy("lang", "term")
-    by_term = by_term.agg(F.sum("docs").alias("docs"), F.sum("n").alias("total"), F.collect_list(F.struct("source", "n")).alias("held"))
-    by_term = cut(by_term.where(F.col("docs") >= least_docs))
+    by_term = cut(term_counts(collapsed(docs)).where(F.col("docs") >= least_docs))
     langs = by_term.groupBy("lang").agg(F.count("*").alias("v"), F.sum("total").alias("lang_total"))
     each = by_term.select("lang", "term", F.col("total").alias("lang_n"), F.inline("held"))
     own = each.groupBy("lang", "source").agg(F.sum("n").alias("words"), F.count("*").alias("kept"))
