@@ -17,7 +17,8 @@ from meibo.schema import PREFECTURES
 
 WHITE = r"[\s 　﻿]"
 LEGAL = "株式会社|有限会社|合同会社|合資会社|合名会社"
-# References of page text, titles that name no company, and domains that are no company's own.
+# Fixed values, here and below: references of page text, titles that name no company, labels and words of phone numbers, faxes, head counts,
+# addresses and businesses, and the words that end them.
 REFERENCES = ((r"(?i)&nbsp;|&#160;", " "), ("(?i)&amp;", "&"), ("(?i)&quot;", '"'), ("(?i)&#39;", "'"), ("(?i)&lt;", "<"), ("(?i)&gt;", ">"))
 PAGE_TITLES = "top|home|ホーム|トップページ|latest news|最新情報|news|recruit|contact"
 PAGE_TITLES_MORE = PAGE_TITLES + "|会社情報|会社概要|企業情報|企業概要|アクセス|about|company|information"
@@ -39,6 +40,22 @@ EMPLOYEE_NOISE = (
     "施工件数|実績数|店舗数|拠点数|事業所数|営業所数|学校数|顧客数|取引先数|掲載社数|導入社数|売上|売上高|年商|"
     "資本金|設立|創業|沿革|年|月|日"
 )
+#: The label of a head count, words that stand near one, and labels that begin a line of one.
+EMPLOYEE_MAIN = "従業員数"
+EMPLOYEE_NEAR = "従業員数|従業員|社員数|職員数|スタッフ数|人員数|総人員|就業人数|就業者数"
+EMPLOYEE_LABELS = (
+    "従業員数|従業員|総従業員数|全従業員数|連結従業員数|単体従業員数|単独従業員数|個別従業員数|グループ従業員数|グループ社員数|グループ社員合計|社員数|社員合計|"
+    "職員数|職員合計|スタッフ数|スタッフ人数|在籍スタッフ数|人員構成|人員数|総人員|メンバー数|就業人数|就業者数|従業員合計|常勤職員数|非常勤職員数|常勤社員数|"
+    "非常勤社員数|従業員規模"
+)
+CONSOLIDATED, STANDALONE = ("連結", "consolidated"), ("単体", "単独", "個別", "individual", "non-consolidated", "nonconsolidated")
+EMPLOYMENT = (
+    "正社員|正職員|社員|職員|パート|アルバイト|契約社員|契約職員|派遣社員|派遣スタッフ|嘱託|嘱託社員|臨時社員|臨時職員|常勤|非常勤|フルタイム|短時間|再雇用|"
+    "有期雇用|無期雇用|役員"
+)
+_PERSONS = rf"([0-9][0-9,]*){WHITE}*(?:名|人)"
+#: What may stand between a label and its value on a line.
+BARS = "|｜¦┃‖／/：:"
 ADDRESS_LABELS = (
     "所在地|住所|本社所在地|本店所在地|支店所在地|営業所所在地|工場所在地|事業所所在地|本社住所|本店住所|本社|本店|支店|営業所|工場|事業所|"
     r"(?:[^\s　]+(?:工場|支店|営業所|事業所))"
@@ -100,18 +117,21 @@ def plain(c: str | Column) -> Column:
 
 def format_phone(c: str | Column) -> Column:
     """Ten or eleven digits that begin with 0, hyphens put by the kind of number."""
-    d = F.regexp_replace(col(c), r"[^0-9]", "")
-    n = F.length(d)
-    cut = lambda a, b: F.concat_ws("-", F.substring(d, 1, a), F.substring(d, a + 1, b), F.substring(d, a + b + 1, 11))
-    return (
-        F.when(~d.rlike(r"^0\d{9,10}$"), None)
-        .when(d.rlike(r"^(070|080|090|050|020)\d{8}$"), cut(3, 4))
-        .when(d.rlike(r"^0120\d{6}$"), cut(4, 3))
-        .when(d.rlike(r"^0570\d{6}$"), cut(4, 2))
-        .when(d.rlike(r"^(03|06)\d{8}$"), cut(2, 4))
-        .when(n == 10, cut(4, 2))
-        .otherwise(cut(3, 4))
-    )
+
+    def shaped(d: Column) -> Column:
+        n = F.length(d)
+        cut = lambda a, b: F.concat_ws("-", F.substring(d, 1, a), F.substring(d, a + 1, b), F.substring(d, a + b + 1, 11))
+        return (
+            F.when(~d.rlike(r"^0\d{9,10}$"), None)
+            .when(d.rlike(r"^(070|080|090|050|020)\d{8}$"), cut(3, 4))
+            .when(d.rlike(r"^0120\d{6}$"), cut(4, 3))
+            .when(d.rlike(r"^0570\d{6}$"), cut(4, 2))
+            .when(d.rlike(r"^(03|06)\d{8}$"), cut(2, 4))
+            .when(n == 10, cut(4, 2))
+            .otherwise(cut(3, 4))
+        )
+
+    return once(F.regexp_replace(col(c), r"[^0-9]", ""), shaped)
 
 
 def _unbracketed(c: str | Column) -> Column:
@@ -120,12 +140,14 @@ def _unbracketed(c: str | Column) -> Column:
 
 def phone(c: str | Column) -> Column:
     """The labelled number, else the first one that stands by itself and has ten or eleven digits."""
-    t = _unbracketed(c)
-    labelled = found(t, rf"(?i)(?:{PHONE_LABELS}){WHITE}*[:：.]?{WHITE}*(0[\d\s-]{{8,13}}\d)")
-    shapes = F.regexp_extract_all(t, F.lit(r"(?<!\d)(0\d{1,4}[-\s]?\d{1,4}[-\s]?\d{3,4})(?=$|\D)"), F.lit(1))
     length = lambda x: F.length(F.regexp_replace(x, r"\D", ""))
-    first = F.get(F.filter(shapes, lambda x: length(x).between(10, 11)), F.lit(0))
-    return F.when(labelled.isNotNull(), format_phone(labelled)).when(first.isNotNull(), format_phone(first))
+
+    def number(t: Column) -> Column:
+        labelled = F.regexp_extract_all(t, F.lit(rf"(?i)(?:{PHONE_LABELS}){WHITE}*[:：.]?{WHITE}*(0[\d\s-]{{8,13}}\d)"), F.lit(1))
+        shapes = F.regexp_extract_all(t, F.lit(r"(?<!\d)(0\d{1,4}[-\s]?\d{1,4}[-\s]?\d{3,4})(?=$|\D)"), F.lit(1))
+        return F.coalesce(F.get(labelled, F.lit(0)), F.get(F.filter(shapes, lambda x: length(x).between(10, 11)), F.lit(0)))
+
+    return format_phone(once(_unbracketed(c), number))
 
 
 def landline(c: str | Column) -> Column:
@@ -135,14 +157,12 @@ def landline(c: str | Column) -> Column:
 
 
 def fax_only(c: str | Column) -> Column:
-    t = plain(c)
-    return t.rlike(f"(?i){FAX_LABELS}") & ~t.rlike(f"(?i){REPRESENTATIVE_LABELS}")
+    return once(plain(c), lambda t: t.rlike(f"(?i){FAX_LABELS}") & ~t.rlike(f"(?i){REPRESENTATIVE_LABELS}"))
 
 
 def representative_phone(c: str | Column) -> Column:
     """A phone number that is a landline and does not stand in a line about fax alone."""
-    p = phone(c)
-    return F.when(~fax_only(c) & landline(p), p)
+    return F.when(~fax_only(c), once(phone(c), lambda p: F.when(landline(p), p)))
 
 
 def weak_phone_context(c: str | Column) -> Column:
@@ -238,12 +258,43 @@ def capital(c: str | Column) -> Column:
     return F.coalesce(found(t, r"[0-9,\.]+(?:億円|億|千万円|百万円|万円|円)", 0), F.nullif(t, F.lit("")))
 
 
-def employee_count(c: str | Column) -> Column:
-    """The head count as ``1,234名``; see ``derive.employee_numeric`` for which one counts."""
-    from meibo.functions.derive import employee_numeric
+def _count(c: Column) -> Column:
+    """Digits with commas as a number; null if there are none."""
+    return F.regexp_replace(c, ",", "").try_cast("decimal(38,0)")
 
-    n = employee_numeric(plain(c)).cast("long")
-    return F.when(n.isNotNull(), F.concat(F.format_number(n, 0), F.lit("名")))
+
+def _counted(n: Column) -> Column:
+    return F.when(n > 0, F.concat(F.format_number(n, 0), F.lit("名")))
+
+
+def employee_count(c: str | Column) -> Column:
+    """The head count that a text gives, as ``1,234名``: the first of these rules that finds a number decides.
+
+    A number of persons right after the main label; the consolidated count; the sum over kinds of
+    employment, if two or more are counted; the count of the company alone; a bare number after a label
+    that begins the text; in a text that speaks of employees, a number near one of their words. A
+    consolidated or single count of 0 gives null.
+    """
+
+    def rules(t: Column) -> Column:
+        beside = lambda w: F.coalesce(_count(found(t, rf"(?i){w}[^0-9]{{0,12}}{_PERSONS}")), _count(found(t, rf"(?i){_PERSONS}[^0-9]{{0,12}}{w}")))
+        main = _count(found(t, rf"{EMPLOYEE_MAIN}{WHITE}*[{BARS}]?{WHITE}*{_PERSONS}"))
+        group = F.coalesce(*[beside(w) for w in CONSOLIDATED])
+        kinds = F.regexp_extract_all(t, F.lit(rf"(?:{EMPLOYMENT})[^0-9]{{0,12}}{_PERSONS}"), F.lit(1))
+        total = F.aggregate(kinds, F.lit(0).cast("decimal(38,0)"), lambda n, k: (n + _count(k)).cast("decimal(38,0)"))
+        alone = F.coalesce(*[beside(w) for w in STANDALONE])
+        bare = _count(found(t, rf"^(?:{EMPLOYEE_LABELS}){WHITE}*[:：]?{WHITE}*([0-9][0-9,]*)$"))
+        near = F.when(employee_context(t), _count(found(t, rf"(?:{EMPLOYEE_NEAR})[^0-9]{{0,20}}{_PERSONS}")))
+        return (
+            F.when(main > 0, _counted(main))
+            .when(group.isNotNull(), _counted(group))
+            .when((F.size(kinds) >= 2) & (total > 0), _counted(total))
+            .when(alone.isNotNull(), _counted(alone))
+            .when(bare.isNotNull(), _counted(bare))
+            .otherwise(_counted(near))
+        )
+
+    return F.when(col(c).rlike("[0-9０-９]"), once(F.regexp_replace(plain(c), "，", ","), rules))
 
 
 def business_content(c: str | Column) -> Column:

@@ -9,6 +9,7 @@ from html import unescape
 
 _TOKEN = re.compile(r"<!--.*?-->|<(script|style)\b.*?</\1\s*>|<(?P<end>/?)(?P<tag>[a-z][a-z0-9]*)(?P<rest>[^>]*)>", re.IGNORECASE | re.DOTALL)
 _NAMES = re.compile(r"""\b(?:class|id)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
+_HREF = re.compile(r"""\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 _VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"))
 #: Open elements that a start tag ends, as HTML leaves their end tags out.
 _ENDS = {
@@ -24,18 +25,21 @@ _VALUES = frozenset(("span", "em", "strong", "b", "div", "dd", "td", "p", "li"))
 _LABEL_NAMES = ("label", "title", "name", "head", "term", "key")
 _VALUE_NAMES = ("value", "data", "body", "desc", "detail")
 _FOOTER_NAMES = ("footer", "foot", "site-info", "company-info", "corp-info", "contact")
+#: Elements that end a line.
+_BLOCKS = frozenset(("p", "div", "section", "article", "li", "ul", "ol", "tr", "td", "th", "dd", "dt", "h1", "h2", "h3", "h4", "h5", "h6"))
 LABEL_LENGTH, REST_LENGTH = 60, 240
 
 
 @dataclass(slots=True)
 class Element:
-    """An element: its class and id, its places among the page's texts (``end`` is one past), its texts and elements in order."""
+    """An element: its class and id, its places among the page's texts (``end`` is one past), its texts and elements in order, a link's address."""
 
     tag: str
     names: str
     start: int
     end: int = 0
     parts: list[Element | int] = field(default_factory=list)
+    href: str | None = None
 
 
 class Page:
@@ -44,6 +48,7 @@ class Page:
     def __init__(self, html: str | None):
         self.texts: list[str] = []
         self.elements: list[Element] = []
+        self.breaks: set[int] = set()  # texts before which a line is broken
         open_: list[Element] = [Element("", "", 0)]
         page, at = html or "", 0
 
@@ -61,6 +66,8 @@ class Page:
             at = m.end()
             tag = (m["tag"] or "").lower()
             if not tag or tag in _VOID:
+                if tag == "br":
+                    self.breaks.add(len(self.texts))
                 continue
             if m["end"]:
                 if any(e.tag == tag for e in reversed(open_)):
@@ -72,9 +79,11 @@ class Page:
                 close()
             names = " ".join(a or b or c for a, b, c in _NAMES.findall(m["rest"])).lower() if "=" in m["rest"] else ""
             element = Element(tag, names, len(self.texts))
+            if tag == "a" and (href := _HREF.search(m["rest"])):
+                element.href = unescape(href[1] or href[2] or href[3] or "")
             open_[-1].parts.append(element)
             self.elements.append(element)
-            if m["rest"].endswith("/"):
+            if m["rest"].endswith("/") and tag != "a":
                 element.end = element.start
             else:
                 open_.append(element)
@@ -138,9 +147,8 @@ def _of_neighbours(page: Page, a: Element, b: Element) -> Iterator[tuple[int, st
         yield 4, page.short(a.start, a.end, LABEL_LENGTH), page.text(b.start, b.end)
 
 
-def pairs(html: str | None) -> list[tuple[str, str]]:
+def pairs_of(page: Page) -> list[tuple[str, str]]:
     """The labels of a page with their values, each pair once: those of rows first, then of lists, lines, spans, names and boxes."""
-    page = Page(html)
     found: list[tuple[int, str, str]] = []
     for e in (page.root, *page.elements):
         found += _of_element(page, e)
@@ -151,11 +159,46 @@ def pairs(html: str | None) -> list[tuple[str, str]]:
     return list(dict.fromkeys((label, value) for _, label, value in found if label and value))
 
 
-def footer(html: str | None) -> str:
-    """The text of footer elements and of blocks whose class or id names one, the outermost of each."""
-    page, out, end = Page(html), [], 0
+def pairs(html: str | None) -> list[tuple[str, str]]:
+    return pairs_of(Page(html))
+
+
+def links_of(page: Page) -> list[tuple[str, str]]:
+    """(address as written, label) of a page's links in order."""
+    return [(" ".join(e.href.split()), page.text(e.start, e.end)) for e in page.elements if e.href is not None]
+
+
+def _footers(page: Page) -> Iterator[Element]:
+    """Footer elements and blocks whose class or id names one, the outermost of each."""
+    end = 0
     for e in page.elements:
         if e.start >= end and (e.tag == "footer" or (e.tag in ("div", "section") and _named(e, _FOOTER_NAMES))):
-            out.append(page.text(e.start, e.end))
+            yield e
             end = e.end
-    return " ".join(s for s in out if s)
+
+
+def footer(html: str | None) -> str:
+    """The text of a page's footers."""
+    page = Page(html)
+    return " ".join(s for e in _footers(page) if (s := page.text(e.start, e.end)))
+
+
+def footer_lines(page: Page) -> list[str]:
+    """The texts of a page's footers, a line for each block and each part that a break ends."""
+    lines: list[list[str]] = [[]]
+
+    def walk(e: Element) -> None:
+        for part in e.parts:
+            if isinstance(part, int):
+                if part in page.breaks:
+                    lines.append([])
+                lines[-1].append(page.texts[part])
+            else:
+                walk(part)
+        if e.tag in _BLOCKS:
+            lines.append([])
+
+    for e in _footers(page):
+        walk(e)
+        lines.append([])
+    return [" ".join(line) for line in lines if line]

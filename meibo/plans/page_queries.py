@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from meibo.operators import pages as p
-from meibo.plans.text_queries import ESTABLISHED, FAX, PHONE
+from meibo.plans.text_queries import CAPITAL, EMPLOYEE_COUNT, ESTABLISHED, FAX, PHONE, ZIP, core_sql, likely_sql
 from meibo.schema import companies, with_companies
 
 QUERIES: dict = {}
@@ -98,7 +98,8 @@ UNION ALL SELECT id, 1, 'contact', 'https://c' || cast(id AS string) || '.exampl
 
 
 def company_pages(spark, sf_dir):
-    return spark.sql(COMPANY_PAGES, companies=companies(spark, sf_dir))
+    # the driver's table is one small file: its rows are dealt out before pages are made of them
+    return spark.sql(COMPANY_PAGES, companies=companies(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism, "id"))
 
 
 QUERIES["extract_pairs"] = lambda spark, sf_dir: p.extract_pairs(company_pages(spark, sf_dir), ["company_id", "page_seq"]).select("company_id", "page_seq", "label", "value")
@@ -118,12 +119,16 @@ for _kind, _words in p.NUMBER_LINES.items():
         FROM ({_ROW_LINES}) WHERE {_own})) GROUP BY 1, 2)"""
     )
 _REP = f"CASE WHEN NOT regexp_matches(replace({PHONE}, '-', ''), '^(070|080|090|050|020|0120|0570|0800)') THEN {PHONE} END"
-QUERIES["extract_company_fields"] = lambda spark, sf_dir: p.extract_fields(company_pages(spark, sf_dir)).select(
-    "company_id", "phone", "established_date", "address", "form_url", F.col("email").isNotNull().alias("has_email")
-)
+# the page's first number of a postal code's shape, where the labelled one has none
+_ALL = f"translate(concat_ws(' ', {', '.join(f for _, f in _ROWS)}), '０１２３４５６７８９', '0123456789')"
+_ANY_ZIP = f"nullif(regexp_extract({_ALL}, '([0-9]{{3}})-?([0-9]{{4}})', 1), '') || '-' || regexp_extract({_ALL}, '([0-9]{{3}})-?([0-9]{{4}})', 2)"
+QUERIES["extract_company_fields"] = lambda spark, sf_dir: p.extract_fields(company_pages(spark, sf_dir))
 ORACLES["extract_company_fields"] = with_companies(
-    f"""SELECT id AS company_id, {_REP} AS phone, {ESTABLISHED} AS established_date, nullif(trim(address, ' '), '') AS address,
-    'https://c' || id || '.example.jp/contact' AS form_url, true AS has_email FROM companies"""
+    f"""WITH core AS (SELECT id, CASE WHEN {likely_sql('t')} THEN t END AS core FROM ({core_sql("SELECT id, address FROM companies", "address")}))
+    SELECT id AS company_id, nullif(trim(coalesce(company, ''), ' 　'), '') AS company, 'https://c' || id || '.example.jp/' AS website_url, 'https://c' || id || '.example.jp/contact' AS form_url,
+    {_REP} AS phone, {FAX} AS fax, 'c' || id || '@example.jp' AS email, coalesce({ZIP}, {_ANY_ZIP}) AS zipcode, core AS address, {ESTABLISHED} AS established_date, {CAPITAL} AS capital,
+    {EMPLOYEE_COUNT(f"'従業員数 ' || {_VALUE('employee_count')}")} AS employee_count, NULL::VARCHAR AS representative_name, NULL::VARCHAR AS business_content, NULL::VARCHAR AS permit_number
+    FROM companies JOIN core USING (id)"""
 )
 QUERIES["best_value"] = lambda spark, sf_dir: p.best_values(p.candidates(company_pages(spark, sf_dir))).where("field = 'fax'").select("company_id", "value")
 ORACLES["best_value"] = with_companies(f"SELECT id AS company_id, {FAX} AS value FROM companies WHERE {FAX} IS NOT NULL")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("list_queries", "text_queries", "job_queries", "io_queries", "page_queries", "name_queries", "board_queries", "office_queries")
+_MODULES = ("list_queries", "text_queries", "job_queries", "io_queries", "page_queries", "name_queries", "board_queries", "office_queries", "candidate_queries")
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}

@@ -37,6 +37,28 @@ EMAIL = o.first("coalesce(email, '')", "(?i)[A-Z0-9._%+-]+@[A-Z0-9.-]+\\.[A-Z]{2
 _EST = "trim(coalesce(established_date, ''))"
 _EST_P = "([12][0-9]{3})[^0-9]{0,3}([0-9]{1,2})?"
 ESTABLISHED = f"{o.first(_EST, _EST_P)} || '年' || coalesce(cast(try_cast({o.first(_EST, _EST_P, 2)} AS int) AS varchar) || '月', '')"
+# a head count among the words that may stand around it, and its rule, step by step
+_COUNTED = """CASE id % 6 WHEN 0 THEN employee_count WHEN 1 THEN '従業員数：' || employee_count WHEN 2 THEN '職員数 ' || employee_count || '（2020年）' WHEN 3 THEN '総従業員数' || employee_count || ' 連結 2,500名'
+ WHEN 4 THEN 'スタッフ数 ' || employee_count || ' 単体' WHEN 5 THEN '採用人数 ' || employee_count || '、非常勤 7人、役員 3 名' END"""
+
+
+def EMPLOYEE_COUNT(c: str) -> str:  # noqa: N802
+    t, num, unit = "t", "([0-9][0-9,]*)", r"[\s　]*(?:名|人)"
+    n = lambda e: f"try_cast(replace({e}, ',', '') AS hugeint)"
+    shown = lambda e: f"CASE WHEN {e} > 0 THEN format('{{:,}}', cast({e} AS bigint)) || '名' END"
+    one = lambda pattern: n(o.first(t, f"(?i){pattern}"))
+    beside = lambda words: "coalesce(" + ", ".join(f"{one(f'{w}[^0-9]{{0,12}}{num}{unit}')}, {one(f'{num}{unit}[^0-9]{{0,12}}{w}')}" for w in words) + ")"
+    kinds = f"regexp_extract_all(t, '(?:正社員|正職員|社員|職員|パート|アルバイト|契約社員|契約職員|派遣社員|派遣スタッフ|嘱託|嘱託社員|臨時社員|臨時職員|常勤|非常勤|フルタイム|短時間|再雇用|有期雇用|無期雇用|役員)[^0-9]{{0,12}}{num}{unit}', 1)"
+    total = f"list_sum(list_transform({kinds}, lambda k: {n('k')}))"
+    main, group, alone = one(rf"従業員数[\s　]*[|｜¦┃‖／/：:]?[\s　]*{num}{unit}"), beside(("連結", "consolidated")), beside(("単体", "単独", "個別", "individual", "non-consolidated", "nonconsolidated"))
+    bare = one(rf"^(?:{x.EMPLOYEE_LABELS})[\s　]*[:：]?[\s　]*{num}$")
+    near = one(f"(?:従業員数|従業員|社員数|職員数|スタッフ数|人員数|総人員|就業人数|就業者数)[^0-9]{{0,20}}{num}{unit}")
+    return f"""(SELECT CASE WHEN main > 0 THEN {shown('main')} WHEN grp IS NOT NULL THEN {shown('grp')} WHEN kinds >= 2 AND total > 0 THEN {shown('total')}
+      WHEN alone IS NOT NULL THEN {shown('alone')} WHEN bare IS NOT NULL THEN {shown('bare')} WHEN regexp_matches(t, '(?i){x.EMPLOYEE_CONTEXT}') THEN {shown('near')} END
+      FROM (SELECT t, {main} AS main, {group} AS grp, len({kinds}) AS kinds, {total} AS total, {alone} AS alone, {bare} AS bare, {near} AS near
+      FROM (SELECT replace({_PLAIN(f'({c})')}, '，', ',') AS t)))"""
+
+
 CAPITAL = f"coalesce({o.first('capital', '[0-9,\\.]+(?:億円|億|千万円|百万円|万円|円)', 0)}, nullif(trim(coalesce(capital, '')), ''))"
 _D1 = "regexp_matches(permit_number, '派\\s*[0-9]{2}\\s*[-－ー―]\\s*[0-9]{6}')"
 _D2 = "regexp_matches(permit_number, '[0-9]{2}\\s*[-－ー―]\\s*ユ\\s*[-－ー―]\\s*[0-9]{6}')"
@@ -69,9 +91,17 @@ _STEPS = (
     f"SELECT id, nullif(regexp_extract(t, '({_LOCATION}.*)$', 1), '') AS t",
     f"SELECT id, {_tail_sql(f"regexp_replace(t, '(?i){_W}*(?:{x.ADDRESS_ENDS}).*$', '')")} AS t",
 )
-_CORE = f"SELECT id, {_PLAIN(f'({_LINE_SQL})')} AS t FROM companies"
-for _step in _STEPS:
-    _CORE = f"{_step} FROM ({_CORE})"
+
+
+def core_sql(rows: str, column: str) -> str:
+    """(id, t): the core of the address in ``column`` of ``rows``, a SELECT that also has ``id``."""
+    core = f"SELECT id, {_PLAIN(f'({column})')} AS t FROM ({rows})"
+    for step in _STEPS:
+        core = f"{step} FROM ({core})"
+    return core
+
+
+_CORE = core_sql("SELECT * FROM companies", _LINE_SQL)
 _MEMO = "CASE id % 6 WHEN 0 THEN '社員数 ' WHEN 1 THEN '募集人数 ' WHEN 2 THEN '電話' WHEN 3 THEN '代表電話' WHEN 4 THEN 'FAX' ELSE '' END || coalesce(memo, '')"
 _MEMO_COLUMN = lambda: F.concat(F.element_at(F.array(*map(F.lit, ("社員数 ", "募集人数 ", "電話", "代表電話", "FAX", ""))), (F.col("id") % 6 + 1).cast("int")), x.col("memo"))
 _TIME = "CASE id % 4 WHEN 0 THEN '2024/03/0' || (id % 9 + 1) WHEN 1 THEN ' 2023-12-31 23:59:0' || (id % 10) WHEN 2 THEN 'まだ' ELSE '' END"
@@ -96,7 +126,7 @@ _QUERIES = {
     "normalize_email": (lambda: x.email("email"), EMAIL),
     "normalize_established": (lambda: x.established("established_date"), ESTABLISHED),
     "normalize_capital": (lambda: x.capital("capital"), CAPITAL),
-    "normalize_employee_count": (lambda: x.employee_count("employee_count"), f"CASE WHEN {o.EMPLOYEES} IS NOT NULL THEN regexp_replace(format('{{:,}}', cast({o.EMPLOYEES} AS bigint)), ' ', '') || '名' END"),
+    "normalize_employee_count": (lambda: x.employee_count(F.expr(_COUNTED)), EMPLOYEE_COUNT(_COUNTED)),
     "normalize_business_content": (lambda: x.business_content("business_content"), "CASE WHEN length(business_content) >= 8 AND regexp_matches(business_content, '販売|施工|運営|製造|介護') THEN business_content END"),
     "permit_category": (lambda: x.permit_category("permit_number"), f"CASE WHEN {_D1} AND {_D2} THEN '労働者派遣・有料職業紹介' WHEN {_D1} THEN '労働者派遣' WHEN {_D2} THEN '有料職業紹介' END"),
     "clean_company_name": (lambda: x.company_name(F.concat(F.lit("ホーム | "), x.col("company"), F.lit("｜会社概要"))), "nullif(trim(coalesce(company, ''), ' 　'), '')"),
