@@ -38,6 +38,12 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def row_values(columns: list[str]) -> list[Column]:
+    """What to hash so that rows that differ have different hashes: the columns, and which of them are null, since hashes skip nulls."""
+    named = [F.col(f"`{c}`") for c in columns]
+    return [*named, F.concat_ws("", F.lit("nulls"), *[F.when(c.isNull(), "1").otherwise("0") for c in named])]
+
+
 def shared_dir(spark: SparkSession) -> None:
     """Makes sure that ``checkpoint()`` has a folder that all executors share: the one in ``spark.checkpoint.dir``."""
     if spark.sparkContext.getCheckpointDir() is None:

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from meibo.llm.common import cut, table, text_of
+from meibo.llm.common import cut, row_values, table, text_of
 
 #: Weights by a source's place, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -74,18 +74,20 @@ def tree_shares(quotas: list[int], shards: int, shard: int, seed: int = SEED) ->
 
 
 class Mix:
-    """The mix of ``df``: ``documents`` has a row for each input row, ``rows`` one for each copy taken.
+    """The mix of ``df``: ``taken`` has a row for each input row, ``rows`` one for each copy taken.
 
     ``key`` and ``source_col`` name the columns of identity and source; a null source is a source of
     its own, the last. A null or empty text has size 0 and is taken in no word. Repeated rows count
-    each for itself. An empty table gives an empty mix.
+    each for itself, and rows that differ in what is null are different ones. An empty table gives an empty
+    mix; of texts of any length only sizes and hashes are carried, until ``rows`` writes them.
     """
 
     def __init__(self, df: DataFrame, key: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = SEED):
         self.spark, self.df, self.key, self.source_col, self.text_col, self.seed = df.sparkSession, df, key, source_col, text_col, seed
         source = F.when(F.col(source_col).isNull(), F.lit("")).otherwise(F.concat(F.lit("s"), F.col(source_col).cast("string")))
         size = F.regexp_count(text_of(text_col), F.lit(WORD)).cast("long")
-        self.identity = (F.xxhash64(F.lit(seed), *df.columns).alias("h"), F.hash(F.lit(seed), *df.columns).alias("h2"))
+        own = row_values(df.columns)
+        self.identity = (F.xxhash64(F.lit(seed), *own).alias("h"), F.hash(F.lit(seed), *own).alias("h2"))
         self.sized = cut(df.select(F.col(key).alias("id"), source.alias("src"), size.alias("size"), *self.identity))
         self._plan()
 

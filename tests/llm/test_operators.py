@@ -508,3 +508,23 @@ def test_empty_pages_and_conversations(spark):
     assert chat.format_chats(turns).count() == 0
     odd = spark.createDataFrame([(None, None, None, None, "x"), (1, 5, "user", "a", "x"), (1, 5, "user", "a", "x")], "conv_id long, turn int, role string, text string, c string")
     assert sorted(str(r["conv_id"]) for r in chat.format_chats(odd).collect()) == ["1", "None"]
+
+
+def test_mixing_tells_rows_apart_by_their_nulls(spark):
+    import itertools
+
+    rows = []
+    for layout in itertools.product([True, False], repeat=3):
+        doc, lang, source = (v if keep else None for v, keep in zip((7, "en", "en"), layout, strict=True))
+        rows += [(doc, "one two three four", lang, source, None)] * (1 + layout[0])
+    mix = mixing.Mix(spark.createDataFrame(rows, DOCS))
+    key = ("doc_id", "lang", "source")
+    assert len({r.h for r in mix.sized.collect()}) == 8
+    taken = Counter()
+    sized = mix.df.select("*", *mix.identity)
+    names = {r.h: tuple(r[k] for k in key) for r in sized.collect()}
+    for r in mix.taken().collect():
+        taken[names[r.h]] += r.taken // r["size"]  # whole documents here, the words of the parts aside
+    written = by_row(mix.rows(), *key)
+    assert set(written) <= set(names.values()) and sum(written.values()) >= sum(taken.values())
+    assert all(abs(written[k] - taken[k]) <= 1 for k in names.values())
