@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meibo.llm import bpe, language, mixing, simhash, substring
+from meibo.llm.common import row_values
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 _TYPES = {"doc_id": "long", "text": "string", "lang": "string", "source": "string", "n_chars": "long"}
@@ -35,7 +36,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     doc_id goes by its text's hash.
     """
     row = F.struct(
-        F.coalesce("doc_id", F.xxhash64("text")).alias("id"), F.xxhash64("text").alias("text"), F.xxhash64(F.lit("row"), *COLUMNS).alias("row")
+        F.coalesce("doc_id", F.xxhash64("text")).alias("id"), F.xxhash64("text").alias("text"), F.xxhash64(F.lit("row"), *row_values(list(COLUMNS))).alias("row")
     )
     named = docs.select(*COLUMNS).withColumn("k", row)
     found = simhash.near_duplicates(named, key="k")
