@@ -198,12 +198,12 @@ def test_iso_datetimes(spark):
     assert {r["k"]: r["v"] for r in df.select("k", x.iso_datetime("t").alias("v")).collect()} == dict(enumerate(cases.values()))
 
 
-def test_names_not_understood_are_left_alone():
+def test_long_runs_of_letters_are_read_by_their_ends():
     from meibo.functions.names import inspect_name
 
     assert inspect_name("株式会社山田")[0] == inspect_name("名古屋")[0] == inspect_name("ご挨拶")[0] == "delete"
-    assert inspect_name("あいうえおかきくけこさしすせそたちつてと")[:2] == ("none", None)
-    assert inspect_name("ABCDEFGHIJKLMNOPQRSTUVWXYZ")[:2] == ("none", None)
+    assert inspect_name("あいうえおかきくけこさしすせそたちつてと")[:2] == ("update", "すせそたちつてと")
+    assert inspect_name("ABCDEFGHIJKLMNOPQRSTUVWXYZ")[:2] == ("update", "ABCDEFGHIJKLMNOPQRST")
 
 
 def test_csv_for_the_job_board_is_read_back(spark, tmp_path):
