@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from meibo.operators import pages as p
+from meibo.operators import paths as paths_of
 from meibo.plans.text_queries import CAPITAL, EMPLOYEE_COUNT, ESTABLISHED, FAX, PHONE, ZIP, core_sql, likely_sql
 from meibo.schema import companies, with_companies
 
@@ -72,6 +73,32 @@ def _ranked(nested: bool) -> str:
 
 page_query("rank_candidate_pages", _ranked(False))(lambda d: p.rank_pages(p.extract_links(d, "page_id"), "page_id"))
 page_query("rank_nested_pages", _ranked(True))(lambda d: p.rank_pages(p.extract_links(d, "page_id"), "page_id", nested=True))
+
+
+def _with_guessed() -> str:
+    """The SQL of ``candidate_pages``: every path scored on its own, links and paths in either order."""
+
+    def score(focus: str, rows: str) -> str:
+        low, first, _ = p.LINK_LIMITS[focus]
+        more = ""
+        if focus == "employee_count":
+            staff, jobs = (f"regexp_matches(t, '(?i){w}')" for w in (p.HEADCOUNT, p.RECRUIT))
+            more = f" + CASE WHEN {jobs} AND NOT {staff} THEN -250 ELSE 0 END"
+        return f"SELECT page_id, '{focus}' AS focus, link, k, guessed, {_SCORED(p.LINK_RULES[focus])}{more} AS score, {low} AS low, {first} AS most FROM ({rows})"
+
+    paths = {f: ", ".join(f"({n}, '{path}')" for n, path in enumerate((*paths_of.COMMON_PATHS, *paths_of.FOCUS_PATHS[f]))) for f in p.LINK_LIMITS}
+    real = " UNION ALL ".join(score(f, "SELECT *, label || ' ' || url_decode(link) AS t, false AS guessed FROM l") for f in p.LINK_LIMITS)
+    made = " UNION ALL ".join(
+        score(f, f"SELECT page_id, site || path AS link, k, path || ' ' || site || path AS t, true AS guessed FROM (SELECT page_id, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS site FROM pages), (VALUES {v}) g(k, path)")
+        for f, v in paths.items()
+    )
+    return f"""WITH l AS (SELECT * FROM ({_LINKS}) WHERE NOT regexp_matches(link, '(?i){p.DENIED}')), e AS (SELECT * FROM ({real}) WHERE score > low UNION ALL {made}),
+    o AS (SELECT *, row_number() OVER (PARTITION BY page_id, focus ORDER BY guessed = (focus <> 'company_core'), score DESC, k) AS n FROM e),
+    once AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY page_id, focus, link ORDER BY n) = 1)
+    SELECT page_id, focus, link, score, row_number() OVER (PARTITION BY page_id, focus ORDER BY n) AS place, guessed FROM once QUALIFY place <= most"""
+
+
+page_query("candidate_pages_guessed", _with_guessed())(lambda d: paths_of.candidate_pages(d, p.extract_links(d, "page_id"), "page_id"))
 _TITLE, _H1 = (_SPACED(f"regexp_extract(html, '(?is)<{t}[^>]*>(.*?)</{t}>', 1)") for t in ("title", "h1"))
 _LINES = f"array_to_string(list_filter(list_transform(string_split({_BARE}, chr(10)), lambda l: {_SPACED('l')}), lambda l: l <> ''), chr(10))"
 for _focus in ("company_core", "contact", "business_content", "permit"):
