@@ -60,10 +60,10 @@ def number_rows(df: DataFrame, order: list[Column] | None = None, name: str = "n
     return out.drop("_p", "_m", "_low", "_before")
 
 
-def assign_missing_ids(df: DataFrame, id_col: str = "id") -> DataFrame:
-    """Rows without an id get the numbers after the greatest one."""
+def assign_missing_ids(df: DataFrame, id_col: str = "id", order: list[Column] | None = None) -> DataFrame:
+    """Rows without an id get the numbers after the greatest one, in the given order or in that of their partitions."""
     top = df.agg(F.max(id_col)).first()[0] or 0
-    new = number_rows(df.where(F.col(id_col).isNull()).drop(id_col), name=id_col, start=top + 1)
+    new = number_rows(df.where(F.col(id_col).isNull()).drop(id_col), order, name=id_col, start=top + 1)
     return df.where(F.col(id_col).isNotNull()).unionByName(new.select(*df.columns))
 
 

@@ -25,15 +25,17 @@ def _folder(spark: SparkSession) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/{uuid4().hex}"
 
 
-def _written(spark: SparkSession, sf_dir: str) -> str:
-    """The companies as CSV files, each with the header, cells with quotes and line ends among them."""
+#: Files of a list: each has rows of a range of ids and the header.
+N_FILES = 4
+
+
+def _written(spark: SparkSession, sf_dir: str, where: str = "true") -> str:
+    """The companies as CSV files, each with the header, cells with quotes and line ends among them, and a blank row at the end."""
     path = f"{_folder(spark)}/csv"
-    rows = companies(spark, sf_dir).withColumn("memo", F.when(F.col("id") % 10 == 0, F.concat(F.lit(' "引用",\n'), "id", F.lit("行 "))).otherwise(F.col("memo")))
-    head = spark.createDataFrame([(CSV_HEADERS,)], "h array<string>").select(F.lit(-1).cast("long").alias("id"), *[F.col("h")[k].alias(f) for k, f in enumerate(NAMES)])
-    blank = head.select(F.lit(1 << 60).alias("id"), *[F.lit(" ").alias(f) for f in NAMES])
-    every = head.unionByName(rows).unionByName(blank)
-    lines = every.coalesce(1).sortWithinPartitions("id").select(files.csv_line([F.col(f) for f in NAMES]).alias("value"))
-    lines.write.text(path, lineSep="\r\n")
+    rows = companies(spark, sf_dir).where(where).withColumn("memo", F.when(F.col("id") % 10 == 0, F.concat(F.lit(' "引用",\n'), "id", F.lit("行 "))).otherwise(F.col("memo")))
+    blank = spark.range(1).select(F.lit(1 << 60).alias("id"), *[F.lit(" ").alias(f) for f in NAMES])
+    every = rows.unionByName(blank).repartitionByRange(N_FILES, "id").sortWithinPartitions("id")
+    every.select(*[F.col(f).alias(h) for f, h in zip(NAMES, CSV_HEADERS, strict=True)]).write.csv(path, header=True, quoteAll=True, escape='"', emptyValue="", nullValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     return path
 
 
@@ -48,9 +50,9 @@ def read_company_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["read_company_csv"] = read_company_csv
 ORACLES["read_company_csv"] = with_companies(f"SELECT {', '.join(NAMES)} FROM {_CLEAN}")
-QUERIES["import_companies"] = lambda spark, sf_dir: files.import_companies(spark, _written(spark, sf_dir), unique_by="company")[0].select("company", "address", "memo")
+QUERIES["import_companies"] = lambda spark, sf_dir: files.import_companies(spark, _written(spark, sf_dir), unique_by="company")[0]
 ORACLES["import_companies"] = with_companies(
-    f"SELECT company, address, memo FROM (SELECT *, row_number() OVER (PARTITION BY company ORDER BY id) AS n FROM {_CLEAN}) WHERE company IS NULL OR n = 1"
+    f"SELECT row_number() OVER (ORDER BY id) AS id, {', '.join(NAMES)} FROM (SELECT *, row_number() OVER (PARTITION BY company ORDER BY id) AS n FROM {_CLEAN}) WHERE company IS NULL OR n = 1"
 )
 QUERIES["csv_import_counts"] = lambda spark, sf_dir: files.import_companies(spark, _written(spark, sf_dir), unique_by="company")[1]
 ORACLES["csv_import_counts"] = with_companies(
@@ -64,7 +66,7 @@ def check_csv_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["check_csv_headers"] = check_csv_headers
-ORACLES["check_csv_headers"] = with_companies("SELECT count(*) + 2 AS n_rows, 0 AS n_bad FROM companies")
+ORACLES["check_csv_headers"] = with_companies(f"SELECT count(*) + 1 + {N_FILES} AS n_rows, 0 AS n_bad FROM companies")
 _LINE = " || ',' || ".join(f"'\"' || replace(coalesce({f}, ''), '\"', '\"\"') || '\"'" for f in NAMES)
 QUERIES["export_company_csv"] = lambda spark, sf_dir: files.export_lines(
     companies(spark, sf_dir), Request({"closing_month": FieldFilter("equals", "3月")}), unique_by="small_industry"
@@ -116,14 +118,45 @@ QUERIES["ingest_results"] = lambda spark, sf_dir: ingest.ingest_results(spark.sq
 ORACLES["ingest_results"] = _INGESTED
 
 
+def append_companies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two lists appended, the first of them twice."""
+    path, first, second = f"{_folder(spark)}/table", _written(spark, sf_dir, "id % 3 <> 0"), _written(spark, sf_dir, "id % 3 = 0")
+    for batch, source in (("a/1", first), ("a/1", first), ("b", second), ("a/1", second)):
+        out = files.append_companies(spark, path, source, batch, unique_by="company")
+    return out.select("id", "batch", *NAMES)
+
+
+QUERIES["append_companies"] = append_companies
+_ONCE = "(SELECT *, CASE WHEN id % 3 = 0 THEN 'b' ELSE 'a/1' END AS batch, row_number() OVER (PARTITION BY company, id % 3 = 0 ORDER BY id) AS n FROM {clean})"
+ORACLES["append_companies"] = with_companies(
+    f"SELECT row_number() OVER (ORDER BY batch, id) AS id, batch, {', '.join(NAMES)} FROM {_ONCE.format(clean=_CLEAN)} WHERE company IS NULL OR n = 1"
+)
+
+
 def stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both batches of results, each taken by a run of the stream of its own; the state of the first is there for the second."""
     path = _folder(spark)
     rows = spark.sql(_RESULTS, orders=spark.read.parquet(f"{sf_dir}/orders.parquet"))
-    for batch in (0, 1):  # a file for each batch; a trigger takes one file, the older first
-        rows.where(F.col("batch") == batch).coalesce(1).write.mode("append").parquet(f"{path}/in")
-    source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
-    return ingest.run_once(ingest.ingest_results_stream(source), path)
+    for batch in (0, 1):
+        rows.where(F.col("batch") == batch).write.mode("append").parquet(f"{path}/in")
+        out = ingest.run_once(ingest.ingest_results_stream(spark.readStream.schema(rows.schema).parquet(f"{path}/in")), path)
+    return out
 
 
+def logins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logins as a stream of files by time, each file sent twice."""
+    path = _folder(spark)
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("logged_at"), F.concat(F.lit("198.51.100."), F.col("event_id") % 256).alias("ip_address"))
+    ends = events.select(F.percentile_approx("logged_at", F.array(*[F.lit(q) for q in (0.25, 0.5, 0.75)])).alias("e")).first()["e"]
+    for low, high in zip([None, *ends], [*ends, None], strict=True):
+        some = events.where((F.lit(low).isNull() | (F.col("logged_at") > F.lit(low))) & (F.lit(high).isNull() | (F.col("logged_at") <= F.lit(high))))
+        for _ in range(2):
+            some.write.mode("append").parquet(f"{path}/in")
+            out = ingest.run_once(ingest.login_history(spark.readStream.schema(events.schema).parquet(f"{path}/in"), delay="366 days"), path)
+    return out.withColumn("logged_at", F.col("logged_at").cast("timestamp_ntz"))
+
+
+QUERIES["login_history_stream"] = logins
+ORACLES["login_history_stream"] = "SELECT event_id, user_id, ts AS logged_at, '198.51.100.' || event_id % 256 AS ip_address FROM events"
 QUERIES["ingest_results_stream"] = stream
 ORACLES["ingest_results_stream"] = _INGESTED

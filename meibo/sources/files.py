@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import quote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,12 +17,13 @@ from meibo.sources.shared import cut
 
 _RAW = T.StructType([T.StructField(f"_c{k}", T.StringType()) for k in range(len(CSV_HEADERS))])
 
+
 def read_company_csv(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Every row of the files, headers included, as 28 texts with ``_file`` and ``_row``, which order them.
 
     Quotes are doubled inside quotes, and a quoted cell may hold line ends (CRLF there reads as LF). A
     byte-order mark is dropped. A file is read by one task, since a quoted line end cannot be told
-    from a row's end by a reader that starts in the middle.
+    from a row's end by a reader that starts in the middle. ``_row`` orders the rows of one file only.
     """
     raw = spark.read.csv(paths, schema=_RAW, multiLine=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     return raw.select("*", F.col("_metadata.file_path").alias("_file")).withColumn("_row", F.monotonically_increasing_id())
@@ -56,9 +59,35 @@ def import_companies(spark: SparkSession, paths: str | list[str], existing: Data
         raise ValueError(f"not the company list's headers: {', '.join(bad)}")
     rows = cut(clean_csv_cells(raw))  # the files are parsed once
     kept = rows if unique_by is None else keep_first(rows, unique_by, ["_file", "_row"], unicode_trim=True)
-    new = kept.select(F.lit(None).cast("long").alias("id"), *NAMES)
-    every = new if existing is None else existing.select("id", *NAMES).unionByName(new)
-    return assign_missing_ids(every), import_counts(rows, kept)
+    new = kept.select(F.lit(None).cast("long").alias("id"), *NAMES, "_file", "_row")
+    none = [F.lit(None).cast("string").alias("_file"), F.lit(None).cast("long").alias("_row")]
+    every = new if existing is None else existing.select("id", *NAMES, *none).unionByName(new)
+    return assign_missing_ids(every, order=[F.col("_file"), F.col("_row")]).drop("_file", "_row"), import_counts(rows, kept)
+
+
+def append_companies(spark: SparkSession, path: str, files: str | list[str], batch: str, unique_by: str | None = None) -> DataFrame:
+    """The table of companies under ``path`` with the files' rows appended as a batch; a batch that is there is not added again.
+
+    Batches are folders of the table. A batch is written as a whole or not at all, numbered from the
+    greatest stored id on, and stored rows are read for that number alone, so that appending costs
+    what the new rows cost. One writer at a time is assumed, as a number is no lock.
+    """
+    held = stored_companies(spark, path)
+    if held is not None and not held.where(F.col("batch") == batch).isEmpty():
+        return held
+    top = 0 if held is None else held.agg(F.max("id")).first()[0] or 0
+    rows, _ = import_companies(spark, files, None, unique_by)
+    rows.withColumn("id", F.col("id") + top).write.mode("append" if held is None else "overwrite").option("partitionOverwriteMode", "dynamic").parquet(f"{path}/batch={quote(batch, safe='')}")
+    return stored_companies(spark, path)
+
+
+def stored_companies(spark: SparkSession, path: str) -> DataFrame | None:
+    """(id, fields, batch) of a table that ``append_companies`` wrote; null if there is none yet."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not system.exists(folder):
+        return None
+    return spark.read.schema(T.StructType([T.StructField("id", T.LongType()), *[T.StructField(f, T.StringType()) for f in NAMES], T.StructField("batch", T.StringType())])).parquet(path)
 
 
 def import_counts(rows: DataFrame, kept: DataFrame) -> DataFrame:

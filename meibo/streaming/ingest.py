@@ -8,11 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from meibo.sources.shared import cut
+
 GAP = "途中の結果が届きませんでした"
 SCHEMA = "job_id string, target_index long, status string, reason string"
 
@@ -21,11 +24,18 @@ def ingest_results(results: DataFrame, order: str = "batch") -> DataFrame:
     """(job_id, target_index, status, reason) of all results at once; ``order`` says which came first.
 
     Within one ``order`` results go by place, and the first of equal places counts. The next place is
-    the greatest so far plus one: a running maximum of the job's results.
+    the greatest so far plus one: a running maximum in two levels. Rows are sorted by range, so that a
+    job of any size is many parts; each part has a running maximum of its own, and the greatest place
+    of a job's parts before it, one row for each part and job, is added.
     """
     rows = results.select("job_id", F.col("target_index").cast("long").alias("target_index"), "status", "reason", order)
-    seen = Window.partitionBy("job_id").orderBy(order, "target_index", "status", "reason").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("next", F.coalesce(F.max("target_index").over(seen) + 1, F.lit(0)))
+    rows = cut(rows.orderBy("job_id", order, "target_index", "status", "reason").withColumn("_part", F.spark_partition_id()))
+    parts = rows.groupBy("job_id", "_part").agg(F.max("target_index").alias("_top"))
+    before = F.max("_top").over(Window.partitionBy("job_id").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    parts = parts.select("job_id", "_part", before.alias("_before"))
+    seen = Window.partitionBy("job_id", "_part").orderBy(order, "target_index", "status", "reason").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_own", F.max("target_index").over(seen)).join(parts, ["job_id", "_part"])
+    rows = rows.withColumn("next", F.coalesce(F.greatest("_own", "_before") + 1, F.lit(0)))
     good = rows.where("target_index >= next")
     gaps = good.where("target_index > next").select("job_id", F.explode(F.sequence("next", F.col("target_index") - 1)).alias("target_index"))
     gaps = gaps.select("job_id", "target_index", F.lit("failed").alias("status"), F.lit(GAP).alias("reason"))
@@ -34,16 +44,16 @@ def ingest_results(results: DataFrame, order: str = "batch") -> DataFrame:
 
 def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     at = state.get[0] if state.exists else 0
-    rows = pd.concat(list(batches)).sort_values(["target_index", "status", "reason"])
-    out = []
-    for index, status, reason in zip(rows["target_index"], rows["status"], rows["reason"], strict=True):
-        if index < at:
-            continue
-        out += [(key[0], k, "failed", GAP) for k in range(at, index)]
-        out.append((key[0], index, status, reason))
-        at = index + 1
-    state.update((int(at),))
-    yield pd.DataFrame(out, columns=["job_id", "target_index", "status", "reason"])
+    good = []
+    for batch in batches:  # the first result of each place that is not passed, batch by batch
+        batch = batch[batch["target_index"] >= at].sort_values(["target_index", "status", "reason"])
+        good.append(batch.drop_duplicates("target_index"))
+    rows = pd.concat(good).sort_values(["target_index", "status", "reason"]).drop_duplicates("target_index")
+    end = int(rows["target_index"].max()) + 1 if len(rows) else at
+    missing = np.setdiff1d(np.arange(at, end), rows["target_index"].to_numpy(), assume_unique=True)
+    gaps = pd.DataFrame({"job_id": key[0], "target_index": missing, "status": "failed", "reason": GAP})
+    state.update((end,))
+    yield pd.concat([rows, gaps])[["job_id", "target_index", "status", "reason"]]
 
 
 def ingest_results_stream(results: DataFrame) -> DataFrame:
@@ -59,6 +69,16 @@ def run_once(out: DataFrame, path: str) -> DataFrame:
     return out.sparkSession.read.schema(out.schema).parquet(f"{path}/data")
 
 
-def login_history_stream(events: DataFrame, path: str):
-    """Appends login events to a table; the caller stops the returned query."""
-    return events.writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{path}/_state").outputMode("append").start()
+def login_history(events: DataFrame, delay: str = "1 day") -> DataFrame:
+    """Login events of a stream (user_id, event_id, logged_at and others), each once.
+
+    An event that comes again within ``delay`` of its time is a replay and dropped; what is known of an
+    event is forgotten after that, so state does not grow with the table. Events later than that are dropped.
+    """
+    return events.withWatermark("logged_at", delay).dropDuplicatesWithinWatermark(["user_id", "event_id"])
+
+
+def login_history_stream(events: DataFrame, path: str, delay: str = "1 day"):
+    """Appends login events to a table, replays left out; the caller stops the returned query."""
+    out = login_history(events, delay).writeStream.format("parquet").option("path", f"{path}/data").option("checkpointLocation", f"{path}/state")
+    return out.outputMode("append").start()
