@@ -23,6 +23,23 @@ def page_of_rows(df: DataFrame, page: int = 1, size: int = 200, sort: str | None
     return df.select("id", *NAMES).orderBy(*list_order(sort, descending)).offset((page - 1) * size).limit(size)
 
 
+def page_after(df: DataFrame, last: dict | None, size: int = 200, sort: str | None = None, descending: bool = False) -> DataFrame:
+    """The ``size`` rows after a row in list order, from the first if ``last`` is null.
+
+    ``last`` has the id, name, address and sort field of the last row shown. Rows up to it are left out by a
+    filter, so that a page far down costs what the first one does.
+    """
+    keys = [*([(text(sort), descending, last and (last[sort] or ""))] if sort else []), *[(text(c), False, last and (last[c] or "")) for c in ("company", "address")], (F.col("id"), False, last and last["id"])]
+    rows = df.select("id", *NAMES)
+    if last is not None:
+        beyond, same = F.lit(False), F.lit(True)
+        for key, down, value in keys:
+            beyond = beyond | (same & ((key < F.lit(value)) if down else (key > F.lit(value))))
+            same = same & (key == F.lit(value))
+        rows = rows.where(beyond)
+    return rows.orderBy(*list_order(sort, descending)).limit(max(1, size))
+
+
 def page_count(total: int, size: int = 200) -> int:
     """Pages of a list, one at least."""
     return max(1, -(-total // max(1, size)))

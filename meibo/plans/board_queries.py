@@ -82,3 +82,10 @@ query(
     f AS (SELECT company_id, focus, field, min(page_seq) AS p FROM v WHERE focus = 'contact' GROUP BY ALL), a AS (SELECT company_id, focus, max(p) AS last FROM f GROUP BY ALL HAVING count(*) = 2)
     SELECT DISTINCT v.company_id, v.focus, v.page_seq FROM v LEFT JOIN a USING (company_id, focus) WHERE a.last IS NULL OR v.page_seq <= a.last""",
 )(lambda d: j.focus_cutoff(d, {"contact": ("phone", "fax")}))
+# where the known table is there, other tables with contact labels are not read
+EXACT = """SELECT id, 0 AS page, '<table><tr><th>問合せ先</th><td>別</td></tr></table>' || CASE WHEN id % 2 = 0 THEN '<table id="t" class="dataTable last dataTable02 ver02"><tr><th>問合せ先</th><td>人事' || cast(id AS string) || '</td></tr><tr><th>交通機関</th><td>駅</td></tr></table>' ELSE '' END AS html FROM {companies}"""
+query(
+    "contact_table_exact",
+    EXACT,
+    "SELECT id, '問合せ先' AS label, CASE WHEN id % 2 = 0 THEN '人事' || id ELSE '別' END AS value FROM companies UNION ALL SELECT id, '交通機関', '駅' FROM companies WHERE id % 2 = 0",
+)(lambda d: j.contact_rows(d, ["id"]))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
@@ -85,9 +86,19 @@ def export_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["export_company_file"] = export_file
 ORACLES["export_company_file"] = with_companies("SELECT count(*) + 1 AS n_lines, 1 AS parts FROM companies")
-QUERIES["write_jobboard_csv"] = lambda spark, sf_dir: files.jobboard_table(
-    companies(spark, sf_dir).select(F.col("company").alias("会社名"), F.col("address").alias("本社所在地"), F.col("email").alias("E-MAIL"))
-)
+
+
+def jobboard_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The job-board file written, and its cells read back."""
+    path = _folder(spark)
+    files.write_jobboard_csv(companies(spark, sf_dir).select(F.col("company").alias("会社名"), F.col("address").alias("本社所在地"), F.col("email").alias("E-MAIL")), path)
+    schema = ", ".join(f"`{c}` string" for c in files.COLUMNS)
+    rows = spark.read.csv([f"{path}/part=0", f"{path}/part=1"], schema=schema, multiLine=True, quote='"', escape='"', emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    head = [F.col(f"`{c}`").eqNullSafe(("\ufeff" if k == 0 else "") + c) | F.col(f"`{c}`").eqNullSafe(c) for k, c in enumerate(files.COLUMNS)]
+    return rows.where(~reduce(lambda a, b: a & b, head)).select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in files.COLUMNS])
+
+
+QUERIES["write_jobboard_csv"] = jobboard_file
 ORACLES["write_jobboard_csv"] = with_companies(
     "SELECT "
     + ", ".join({"会社名": "coalesce(company, '')", "本社所在地": "coalesce(address, '')", "E-MAIL": "coalesce(email, '')"}.get(c, "''") + f' AS "{c}"' for c in files.COLUMNS)
@@ -160,3 +171,22 @@ QUERIES["login_history_stream"] = logins
 ORACLES["login_history_stream"] = "SELECT event_id, user_id, ts AS logged_at, '198.51.100.' || event_id % 256 AS ip_address FROM events"
 QUERIES["ingest_results_stream"] = stream
 ORACLES["ingest_results_stream"] = _INGESTED
+
+
+# a job's targets with what was found for two fields, the company's own columns beside them
+CHANGES = """SELECT id AS row_id, 'phone' AS field, phone AS before, array('0' || cast(id AS string), '1') AS candidates FROM {companies} WHERE id % 2 = 0
+UNION ALL SELECT id, 'memo', NULL, array('m') FROM {companies} WHERE id % 3 = 0"""
+
+
+def job_rows(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    own, orders = companies(spark, sf_dir), spark.read.parquet(f"{sf_dir}/orders.parquet")
+    targets = spark.sql(TARGETS, orders=orders).where("job_id = 'j3'")
+    out = files.export_job_rows(targets, spark.sql(CHANGES, companies=own), own, kind)
+    return out.select("target_index", "row_id", "status", "phone_before", "phone_candidates", "memo_candidates", *([] if kind == "candidates_only" else ["company"]))
+
+
+_JOB = f"""SELECT target_index, t.row_id, status, CASE WHEN t.row_id % 2 = 0 THEN phone END AS phone_before, CASE WHEN t.row_id % 2 = 0 THEN '0' || t.row_id || chr(10) || '1' END AS phone_candidates,
+ CASE WHEN t.row_id % 3 = 0 THEN 'm' END AS memo_candidates, company FROM ({TARGETS.format(orders='orders')}) t JOIN companies ON id = t.row_id WHERE job_id = 'j3'"""
+for _kind, _where in (("all", "true"), ("done", "status IN ('done', 'skipped', 'failed')"), ("candidates", "row_id % 2 = 0 OR row_id % 3 = 0"), ("candidates_only", "row_id % 2 = 0 OR row_id % 3 = 0")):
+    QUERIES[f"export_job_rows_{_kind}"] = lambda spark, sf_dir, k=_kind: job_rows(spark, sf_dir, k)
+    ORACLES[f"export_job_rows_{_kind}"] = with_companies(f"SELECT {'* EXCLUDE (company)' if _kind == 'candidates_only' else '*'} FROM ({_JOB}) WHERE {_where}")

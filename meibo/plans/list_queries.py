@@ -280,3 +280,16 @@ query(
 query("list_order_all", f"SELECT id, company, row_number() OVER (ORDER BY {_ORDER.format('established_date', 'DESC')}) AS place FROM companies")(
     lambda c: dedupe.number_rows(c, listing.list_order("established_date", True), "place", 1).select("id", "company", "place")
 )
+
+
+def _third_page(spark, sf_dir):
+    """The third page of 50 rows by what comes after the last row of the second."""
+    df = companies(spark, sf_dir)
+    last = None
+    for _ in range(2):
+        last = listing.page_after(df, last, 50, "tag", descending=True).tail(1)[0].asDict()
+    return listing.page_after(df, last, 50, "tag", descending=True).select("id", "tag", "company")
+
+
+QUERIES["page_after"] = _third_page
+ORACLES["page_after"] = with_companies("SELECT id, tag, company FROM companies ORDER BY coalesce(tag, '') DESC, coalesce(company, ''), coalesce(address, ''), id LIMIT 50 OFFSET 100")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from meibo.operators import lines
 from meibo.operators import pages as p
 from meibo.operators import paths as paths_of
 from meibo.plans.text_queries import CAPITAL, EMPLOYEE_COUNT, ESTABLISHED, FAX, PHONE, ZIP, core_sql, likely_sql
@@ -108,8 +109,28 @@ for _focus in ("company_core", "contact", "business_content", "permit"):
 page_query("page_boost", f"SELECT page_id, {_SCORED(((p.COMPANY, 40), (p.BUSINESS, 30), (p.CONTACT, 20), (p.STAFF, 25), (p.NEWS, -50), (p.RECRUIT, -40)))} AS boost FROM (SELECT page_id, url AS t FROM pages)")(
     lambda d: d.select("page_id", p.page_boost("url").alias("boost"))
 )
-page_query("thin_page_flag", f"SELECT page_id, length({_SPACED(_BARE)}) < 80 AS thin FROM pages")(
-    lambda d: d.select("page_id", p.thin_page("html").alias("thin"))
+# pages as they are, cut down to a few words, and refused
+_CUT = "CASE page_id % 4 WHEN 0 THEN '<p>' || url || '</p>' WHEN 1 THEN '<p>Access denied</p><p>' || url || ' ' || url || ' ' || url || '</p>' WHEN 2 THEN html || '<p>please wait</p>' ELSE html END"
+_THIN = f"(length({{0}}) < 80 OR (length({{0}}) < 500 AND regexp_matches({{0}}, '(?i){p.BLOCKED}')))"
+page_query("thin_page_flag", f"SELECT page_id, {_THIN.format(_SPACED(_BARE))} AS thin FROM (SELECT page_id, {_CUT} AS html FROM pages)")(
+    lambda d: d.select("page_id", F.expr(_CUT).alias("html")).select("page_id", p.thin_page("html").alias("thin"))
+)
+page_query(
+    "build_page_record",
+    f"""SELECT page_id, {_TITLE} AS title, {_H1} AS h1, {_SPACED(_BARE)} AS text, {_LINES} AS lines, nullif(regexp_extract(html, '(?is)<meta[^>]+name="description"[^>]+content="(.*?)"', 1), '') AS description,
+    regexp_matches(html, '(?is)<form\\b.*?</form>') AS has_form, {_THIN.format(_SPACED(_BARE))} AS thin,
+    {_SPACED("regexp_replace(regexp_replace(regexp_extract(html, '(?is)<footer.*?</footer>'), '(?is)<script.*?</script>', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g')").replace("replace(replace(replace(", "replace(replace(replace(replace(replace(", 1).replace(", '&amp;', '&')", ", '&copy;', '©'), '&middot;', '·'), '&amp;', '&')", 1)} AS footer FROM pages""",
+)(lambda d: p.build_page_record(d).select("page_id", "title", "h1", "text", "lines", "description", "has_form", "thin", "footer"))
+page_query(
+    "page_boosts",
+    f"""SELECT page_id, {_SCORED(((lines.REP_STRONG_PAGE, 400), (lines.REP_ABOUT_PAGE, 260), (lines.REP_GREETING_PAGE, 240), (lines.REP_WEAK_PAGE, 120)))} AS representative,
+    CASE WHEN NOT regexp_matches(t, '(?i){p.PHONE_NO_PAGE}') OR regexp_matches(t, '(?i){p.PHONE_PAGE}') THEN {_SCORED(((p.COMPANY, 140), (p.CONTACT, 80), (p.PHONE_PAGE, 180), (p.PHONE_NO_PAGE, -260)))} END AS phone,
+    {_SCORED(((p.ADDRESS_PAGE, 340), (p.ADDRESS_NO_PAGE, -360)))} + {_SCORED(((p.ADDRESS_PAGE, 220), (p.LABELS["address"], 180), ("〒[ 　]*[0-9]{3}-?[0-9]{4}", 160))).replace("(t,", "(head,")} AS address
+    FROM (SELECT page_id, url_decode(url) || ' ' || {_TITLE} || ' ' || {_H1} AS t, substr({_LINES}, 1, 4000) AS head FROM pages)""",
+)(
+    lambda d: d.select("page_id", F.concat_ws(" ", F.try_url_decode("url"), p.page_title("html"), p.page_h1("html")).alias("t"), p.strip_html_lines("html").alias("ls")).select(
+        "page_id", lines.representative_boost(F.col("t")).alias("representative"), p.phone_page_boost(F.col("t")).alias("phone"), p.address_page_boost(F.col("t"), F.col("ls")).alias("address")
+    )
 )
 
 # pages of the company view: a table, a list or lines by company, and a contact page
