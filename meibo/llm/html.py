@@ -26,8 +26,8 @@ from meibo.llm.common import table, tidy
 
 #: Pages that the model is fitted on (on average), layouts made of each, and passes over them.
 SAMPLE_PAGES, LAYOUTS, PASSES = 200, 3, 6
-#: Pages with a landmark that a model is fitted on at least; made-up pages stand for those that a table lacks.
-FEWEST_PAGES = 50
+#: Made-up pages that a model is fitted on too, so that it does not depend on how many of a table's pages have landmarks.
+MADE_PAGES = 120
 SEED = 11
 
 #: Elements whose inside is no text of the page: those that run to the page's end if they are not closed, and those that hide
@@ -52,7 +52,7 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 
 #: Names of containers, to dress training pages in.
 _MAIN = (
-    "article", "main", "div.content", "div.post", "div.entry", "div.article", "div.story", "div.main-content", "section.article",
+    "article", "main", "div", "div", "div.content", "div.post", "div.entry", "div.article", "div.story", "div.main-content", "section.article",
     "div.entry-content", "div.post-body", "div.article-body", "div#content", "div#main", "div.text", "div.body",
 )
 _AROUND = (
@@ -361,29 +361,48 @@ def labelled(html: str, rng: random.Random, layouts: int = LAYOUTS) -> list[tupl
 
 
 def made_up(rng: random.Random) -> str:
-    """A page of made-up words in an article with short texts around it, for tables that have no such page."""
-    words = lambda low, high: " ".join("x" * rng.randint(1, 11) for _ in range(rng.randint(low, high)))
+    """A page of made-up words in an article with other texts around it.
+
+    Texts of an article are of all kinds that pages have: paragraphs, short sentences, headings, single
+    words one after another, lists of terms, words with signs on them. What is around an article has short
+    texts of the same kinds, but in boxes and links.
+    """
+    word = lambda: "x" * rng.randint(1, 11)
+    words = lambda low, high: " ".join(word() for _ in range(rng.randint(low, high)))
     sentence = lambda: words(4, 12) + rng.choice(["", ", " + words(3, 9)]) + rng.choice("...!?")
-    texts = [words(2, 9), *(" ".join(sentence() for _ in range(rng.randint(1, 7))) for _ in range(rng.randint(2, 9)))]
+    signs = lambda: " ".join(word() + rng.choice("%$&*#|+=") * rng.randint(0, 3) for _ in range(rng.randint(3, 40)))
+    kinds = (
+        lambda: [" ".join(sentence() for _ in range(rng.randint(1, 7)))],
+        lambda: [words(1, 5) + rng.choice([".", "", ":"])],
+        lambda: [word() + rng.choice(["", ",", "."]) for _ in range(rng.randint(2, 9))],
+        lambda: [signs() + rng.choice(["", "."])],
+        lambda: [", ".join(words(1, 2) for _ in range(rng.randint(2, 8)))],
+    )
+    texts = [words(2, 9)]
+    odd = rng.random()  # some articles are all of one kind, most are paragraphs with a few others
+    for _ in range(rng.randint(2, 9)):
+        kind = rng.choice(kinds) if rng.random() < 0.4 else kinds[0] if odd < 0.7 else kinds[int(odd * 100) % len(kinds)]
+        texts += kind()
     links = "".join(f'<li><a href="#">{words(1, 3)}</a></li>' for _ in range(rng.randint(2, 9)))
-    notes = "".join(f"<div>{words(2, 12)}{rng.choice(['', '.', ' | ' + words(1, 2)])}</div>" for _ in range(rng.randint(1, 6)))
+    note = lambda: rng.choice([words(2, 12), sentence(), words(1, 3), signs()[:80]]) + rng.choice(["", ".", " | " + words(1, 2)])
+    notes = "".join(f"<div>{note()}</div>" for _ in range(rng.randint(1, 6)))
     article = "".join(f"<p>{t}</p>" for t in texts)
-    return f"<nav><ul>{links}</ul></nav><article>{article}</article><div>{notes}</div><footer>© {words(2, 6)}</footer>"
+    return f"<nav><ul>{links}</ul></nav><article>{article}</article><div class=\"{rng.choice(['notice', 'ad', 'sidebar', 'promo', 'comments'])}\">{notes}</div><footer>© {words(2, 6)}</footer>"
 
 
 def fit(pages: DataFrame, key: str = "page_id", html_col: str = "html", sample: int = SAMPLE_PAGES, seed: int = SEED) -> Model:
     """A model from about ``sample`` pages with landmarks, those of the lowest share of their key's hash; more are never read.
 
-    Where fewer than ``FEWEST_PAGES`` have labelled text, made-up pages fill up.
+    ``MADE_PAGES`` made-up pages are always among them, for texts and layouts that the drawn ones lack.
     """
     known = pages.where(F.col(html_col).isNotNull()).select(html_col, F.xxhash64(F.col(key).cast("string"), html_col).alias("h"))
     landmark = F.col(html_col).rlike(_LANDMARK) & F.regexp_replace(html_col, _NOT_READ, " ").rlike(_LANDMARK)
     n = known.where(landmark).count()
     drawn = known.where(F.pmod("h", F.lit(1_000_000)) < 1_000_000 * min(1.0, sample / max(1, n))).where(landmark)
-    rows = sorted(drawn.limit(4 * sample).collect(), key=lambda r: r["h"])
+    rows = drawn.orderBy("h", html_col).limit(4 * sample).collect()
     rng = random.Random(seed)
     found = [made for r in rows if (made := labelled(r[html_col], rng))]
-    found += [labelled(made_up(rng), rng) for _ in range(FEWEST_PAGES - len(found))]
+    found += [labelled(made_up(rng), rng) for _ in range(MADE_PAGES)]
     return train([x for made in found for x in made])
 
 

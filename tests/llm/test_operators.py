@@ -528,3 +528,21 @@ def test_mixing_tells_rows_apart_by_their_nulls(spark):
     written = by_row(mix.rows(), *key)
     assert set(written) <= set(names.values()) and sum(written.values()) >= sum(taken.values())
     assert all(abs(written[k] - taken[k]) <= 1 for k in names.values())
+
+
+@pytest.mark.parametrize("landmarks", [0, 5, 50])
+def test_html_without_landmarks(spark, landmarks):
+    """Pages whose article is a plain box, block by block, however few pages have a landmark to learn from."""
+    import os
+
+    path = "/root/testdata/sf0.01/pages.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no data folder")
+    rows = spark.read.parquet(path).select("page_id", "html").collect()
+    plain = [(r.page_id, r.html if k < landmarks else re.sub(r"(?i)<(/?)(article|main)\b", r"<\1div", r.html or "")) for k, r in enumerate(rows)]
+    pages = spark.createDataFrame(plain, "page_id long, html string")
+    wanted = {r.page_id: [b.text for b in html.blocks(r.html or "") if b.main] for r in rows}
+    got = {r.page_id: r.text for r in html.extract(pages, html.fit(pages)).collect()}
+    equal = sum(got[k] == "\n\n".join(v) for k, v in wanted.items())
+    lost = sum(b not in got[k].split("\n\n") for k, v in wanted.items() for b in v)
+    assert equal >= 240 and lost <= 25
