@@ -31,6 +31,8 @@ FOLLOWS = {0: (1, 2), 1: (2,), 2: (3,), 3: (2,)}
 #: Turn numbers in a part.
 PART = 1024
 OPEN, CLOSE = "<|{}|>\n", "<|end|>\n"
+#: What a text has in place of the marks' beginning, so that no text can end its turn or begin another's.
+ESCAPE = ("<|", "<\\|")
 _FAR = 1 << 40
 
 
@@ -137,7 +139,7 @@ def render(texts: list[str], way: list[tuple[int, tuple[int, ...], bool]], opene
             out.append("\n")
         else:
             begin(role)
-        out.append(text)
+        out.append(text.replace(*ESCAPE))
     if last is not None:
         for r in STOP[last][1]:
             begin(r)
@@ -164,12 +166,12 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 
 def format_chats(df: DataFrame, key: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """(key, part, n_parts, total_cost, n_turns, cost, rendered): a row for each part of a repaired conversation.
+    r"""(key, part, n_parts, total_cost, n_turns, cost, rendered): a row for each part of a repaired conversation.
 
     The texts of a conversation's parts, joined in the order of ``part``, make the whole, and their costs add up to
     ``total_cost``. No row holds a conversation of any length: a part is the turns whose numbers have the same
     multiple of ``PART`` below them, so that a usual conversation is one row. Turns go by number, nulls first, then by role and by a hash of the
-    text. An unknown or null role must be replaced, a null text is empty, repeated rows are turns of
+    text. Marks inside a text are escaped (``<|`` as ``<\|``). An unknown or null role must be replaced, a null text is empty, repeated rows are turns of
     their own, and a null key is a conversation of its own. An empty table gives an empty one.
     """
     name = F.coalesce(F.concat(F.lit("k"), F.col(key).cast("string")), F.lit(""))
