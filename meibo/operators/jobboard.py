@@ -26,6 +26,22 @@ CONTACT = ("問合せ先", "交通機関", *MAIL)
 NOT_COMPANY = ("job.mynavi.jp", "maps.google.", "goo.gl", "instagram.com", "x.com", "twitter.com", "youtube.com", "youtu.be", "facebook.com", "line.me")
 
 
+def clean_text(c: str | Column) -> Column:
+    """A text of the job board: no-break spaces as spaces, no carriage returns, runs of blanks one, at most one empty line, ends trimmed; null is empty."""
+    t = F.regexp_replace(F.translate(text(c), "\u00a0\r", " "), r"[ \t]+", " ")
+    return x.trim_all(F.regexp_replace(t, r"\n{3,}", "\n\n"))
+
+
+def without_controls(c: str | Column) -> Column:
+    """A text without control characters but for tabs and line ends, as spreadsheets take it."""
+    return F.regexp_replace(text(c), r"[\x00-\x08\x0B\x0C\x0E-\x1F]", "")
+
+
+def plain_label(c: str | Column) -> Column:
+    """A label without any white space; unlike ``label_key`` with its colons."""
+    return F.regexp_replace(clean_text(c), r"[\s　]+", "")
+
+
 def label_key(c: Column) -> Column:
     """A label without white space and colons."""
     return F.regexp_replace(c, r"[\s　:：]+", "")

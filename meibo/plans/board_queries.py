@@ -89,3 +89,23 @@ query(
     EXACT,
     "SELECT id, '問合せ先' AS label, CASE WHEN id % 2 = 0 THEN '人事' || id ELSE '別' END AS value FROM companies UNION ALL SELECT id, '交通機関', '駅' FROM companies WHERE id % 2 = 0",
 )(lambda d: j.contact_rows(d, ["id"]))
+# schools and head counts of past hirings: cells with links, breaks and rows of their own
+HIRED = """SELECT id, 'https://board.example.jp/' || cast(id AS string) || '/outline.html' AS url, '<h1>x</h1><table><tr id="school"><th>学校</th><td> <b>大学' || cast(id % 9 AS string) || '</b> もっと見る </td></tr>' ||
+ CASE WHEN id % 4 = 0 THEN '' ELSE '<tr id="ninzuu"><th>人数</th><td>2023年<br>' || cast(id % 30 AS string) || '名<br/> <br>2024年 ' || employee_count || '</td></tr>' END || '</table>' AS html FROM {companies}"""
+query(
+    "recruit_results",
+    HIRED,
+    """SELECT id, '大学' || (id % 9) AS school, CASE WHEN id % 4 = 0 THEN '' ELSE '2023年' || chr(10) || (id % 30) || '名' || chr(10) || trim('2024年 ' || employee_count) END AS hired FROM companies""",
+)(
+    lambda d: j.outline_record(d).select(
+        F.regexp_extract("元URL", "([0-9]+)", 1).cast("long").alias("id"), F.col("`採用実績（学校）`").alias("school"), F.col("`採用実績（人数）`").alias("hired")
+    )
+)
+ODD_TEXT = "SELECT id, '  ' || coalesce(company, '') || chr(9) || ' 　' || chr(160) || 'a' || chr(13) || chr(10) || chr(10) || chr(10) || chr(10) || coalesce(memo, '') || chr(7) || ' : x ' || chr(10) AS t FROM {companies}"
+_ONE = "regexp_replace(regexp_replace(replace(replace(t, chr(160), ' '), chr(13), ''), '[ \\t]+', ' ', 'g'), '\\n{3,}', chr(10) || chr(10), 'g')"
+_ENDS = f"regexp_replace({_ONE}, '^[\\s　]+|[\\s　]+$', '', 'g')"
+query(
+    "clean_text",
+    ODD_TEXT,
+    f"SELECT id, {_ENDS} AS clean, replace(t, chr(7), '') AS legal, regexp_replace({_ENDS}, '[\\s　]+', '', 'g') AS label FROM ({ODD_TEXT.replace('{companies}', 'companies')})",
+)(lambda d: d.select("id", j.clean_text("t").alias("clean"), j.without_controls("t").alias("legal"), j.plain_label("t").alias("label")))

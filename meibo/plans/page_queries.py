@@ -178,8 +178,8 @@ ORACLES["extract_company_fields"] = with_companies(
     {EMPLOYEE_COUNT(f"'従業員数 ' || {_VALUE('employee_count')}")} AS employee_count, NULL::VARCHAR AS representative_name, NULL::VARCHAR AS business_content, NULL::VARCHAR AS permit_number
     FROM companies JOIN core USING (id)"""
 )
-QUERIES["best_value"] = lambda spark, sf_dir: p.best_values(p.candidates(company_pages(spark, sf_dir))).where("field = 'fax'").select("company_id", "value")
-ORACLES["best_value"] = with_companies(f"SELECT id AS company_id, {FAX} AS value FROM companies WHERE {FAX} IS NOT NULL")
+QUERIES["best_value"] = lambda spark, sf_dir: p.best_values(p.candidates(company_pages(spark, sf_dir))).select("company_id", "field", "value")
+ORACLES["best_value"] = f"UNPIVOT ({ORACLES['extract_company_fields']}) ON COLUMNS(* EXCLUDE (company_id)) INTO NAME field VALUE value"
 QUERIES["page_field_gate"] = lambda spark, sf_dir: p.candidates(company_pages(spark, sf_dir)).where(F.col("seq") >= p.PAGE).groupBy("field").agg(F.count("*").alias("n"))
 ORACLES["page_field_gate"] = with_companies("SELECT unnest(['email', 'form_url']) AS field, (SELECT count(*) FROM companies) AS n")
 QUERIES["dedupe_pages_by_final_url"] = lambda spark, sf_dir: p.first_pages(
