@@ -39,6 +39,7 @@ REP_GREETING_PAGE = "代表挨拶|社長挨拶|理事長挨拶|所長挨拶|ご
 REP_WEAK_PAGE = "役員一覧|officer|executive|member|staff"
 # labels of head counts, what ends a value or a section of one, and pages that give one
 STAFF_HIT = "従業員|社員数|社員合計|職員数|職員合計|スタッフ数|スタッフ人数|人員構成|人員数|総人員|メンバー数|就業人数|就業者数"
+REP_WORDS = f"代表|社長|会長|理事長|取締役|{CRAFTS}|所長|センター長|学院長|校長|学長|施設長|室長"
 STAFF_MAIN = "従業員数|総従業員数|全従業員数|連結従業員数|単体従業員数|単独従業員数|個別従業員数"
 STAFF_BOUNDS = (
     "会社名|商号|代表取締役|代表者|所在地|住所|電話番号|TEL|ＦＡＸ|FAX|従業員数|従業員|総従業員数|全従業員数|連結従業員数|単体従業員数|単独従業員数|個別従業員数|グループ従業員数|"
@@ -118,9 +119,10 @@ def rule(field: str, raw: Column, score: Column | int, place: Column, first: str
     return F.struct(F.lit(field).alias("field"), first.cast("string").alias("first"), raw.alias("raw"), score.cast("int").alias("score"), place.cast("long").alias("place"))
 
 
-def finds(rules: list[Column]) -> Column:
-    """Those of a row's rules that find anything."""
-    return F.filter(F.array(*rules), lambda r: (r["raw"] != "") & r["score"].isNotNull())
+def finds(rules: list[Column], seen: Column | None = None) -> Column:
+    """Those of a row's rules that find anything; with ``seen``, of rows that hold any of the rules' words, and none of others."""
+    found = F.filter(F.array(*rules), lambda r: (r["raw"] != "") & r["score"].isNotNull())
+    return found if seen is None else F.when(seen, found).otherwise(F.array().cast("array<struct<field:string,first:string,raw:string,score:int,place:bigint>>"))
 
 
 def line_value(line: Column, below: Column, labels: str, hit: str, inline: str | None = None) -> Column:
@@ -141,7 +143,7 @@ def barred_value(line: Column, labels: str) -> Column:
 def representative_rules(line: Column, after: Column, form: Column, k: Column, boost: Column) -> list[Column]:
     """Rules of a line of the page's lines (form 0), or of its whole text as one line (form 1), which counts less."""
     field, less = "representative_name", F.when(form == 1, 60).otherwise(0)
-    seen = line.rlike(f"代表|社長|会長|理事長|取締役|{CRAFTS}|所長|センター長|学院長|校長|学長|施設長|室長") & form.isin(0, 1)
+    seen = line.rlike(REP_WORDS) & form.isin(0, 1)
     place = lambda n: (form * 4 + 2) * F.lit(1 << 27) + k * 16 + n
     text = lambda raw, n, score: rule(field, F.when(seen, raw), F.lit(score) - less + boost, place(n))
     once = lambda raw, n, score: rule(field, F.when(seen, raw), F.lit(score) - F.when(form == 1, 40).otherwise(0) + boost, (form * 2 + n + 1) * F.lit(1 << 20) + k, form * 2 + n)
