@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meibo.llm.bpe import _packed, _unpacked, default_tokenizer, pieces
-from meibo.llm.common import cut, table, text_of, tidy
+from meibo.llm.common import cut, table, text_of, tidy, unused, without
 
 #: Bytes of text in a block, about; a longer text is a block of its own.
 BLOCK_BYTES = 6 << 20
@@ -268,15 +268,17 @@ def align(df: DataFrame, path_a: str | None = None, path_b: str | None = None, t
     texts of any length are taken whole, and one longer than ``BLOCK_BYTES`` is held alone.
     """
     path_a, path_b = path_a or default_tokenizer(), path_b or default_pieces()
-    key = F.unhex(F.sha2(F.col(text_col), 256))
-    there = F.col(text_col).isNotNull() & (F.col(text_col) != "")
-    distinct = df.where(there).groupBy(F.col(text_col).alias("text")).agg(F.count("*").alias("copies"))
+    text = F.col(f"`{text_col}`")
+    key = F.unhex(F.sha2(text, 256))
+    there = text.isNotNull() & (text != "")
+    distinct = df.where(there).groupBy(text.alias("text")).agg(F.count("*").alias("copies"))
     blocks = cut(aligned_blocks(distinct.select(F.unhex(F.sha2("text", 256)).alias("key"), "text", "copies"), path_a, path_b))
-    measures = text_measures(blocks, pair_counts(blocks)).withColumnRenamed("key", "_key")
-    kept = [c for c in df.columns if c not in (*MEASURES, "groups_sha256", text_col)]
-    rows = df.select(*[F.col(f"`{c}`") for c in kept], F.when(there, key).alias("_key"))
+    kept = without(df.columns, (*MEASURES, "groups_sha256", text_col))
+    name = unused(df.columns, "_key")
+    measures = text_measures(blocks, pair_counts(blocks)).withColumnRenamed("key", name)
+    rows = df.select(*[F.col(f"`{c}`") for c in kept], F.when(there, key).alias(name))
     zero = {m: F.coalesce(m, F.lit(0)) for m in MEASURES} | {"groups_sha256": F.coalesce("groups_sha256", F.lit(""))}
-    return rows.join(measures, "_key", "left").drop("_key").withColumns(zero)
+    return rows.join(measures, name, "left").drop(name).withColumns(zero)
 
 
 def alignment_table(df: DataFrame, path_a: str | None = None, path_b: str | None = None, text_col: str = "text") -> DataFrame:

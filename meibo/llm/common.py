@@ -38,6 +38,20 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def unused(columns: list[str], name: str) -> str:
+    """``name``, or a longer one if a column is called so; names that differ by case only are the same to Spark."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def without(columns: list[str], names: tuple[str, ...]) -> list[str]:
+    """The columns whose names are not among ``names``, whatever their case."""
+    gone = {n.lower() for n in names}
+    return [c for c in columns if c.lower() not in gone]
+
+
 def row_values(columns: list[str]) -> list[Column]:
     """What to hash so that rows that differ have different hashes: the columns, and which of them are null, since hashes skip nulls."""
     named = [F.col(f"`{c}`") for c in columns]

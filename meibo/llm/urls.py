@@ -19,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meibo.llm.common import table
+from meibo.llm.common import table, unused, without
 
 #: (pattern, verdict) of hosts and paths with a verdict of their own; they come before all other patterns.
 CONTRACT_RULES = (("||net/", "block"), ("||example.net/en/", "allow"), ("||example.com/de/", "block"), ("||org/fr/", "allow"))
@@ -88,17 +88,18 @@ def judge(df: DataFrame, rules: DataFrame, url_col: str = "url", otherwise: str
     such, as is an empty one. Repeated rows get equal verdicts, an empty table gives an empty one, very
     long addresses are taken whole, and columns of the names of the new ones are replaced.
     """
-    host, path, query = parts(F.col(url_col))
-    new = {"host": host, "path": path, "_subject": F.concat(F.lit("//"), host, path, query)}
-    rows = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in ("host", "path", "rule", "level", "verdict")]).withColumns(new)
-    subjects = rows.select(F.col("_subject").alias("subject")).distinct()
+    host, path, query = parts(F.col(f"`{url_col}`"))
+    subject, best = unused(df.columns, "_subject"), unused(df.columns, "_best")
+    kept = [F.col(f"`{c}`") for c in without(df.columns, ("host", "path", "rule", "level", "verdict"))]
+    rows = df.select(*kept, host.alias("host"), path.alias("path"), F.concat(F.lit("//"), host, path, query).alias(subject))
+    subjects = rows.select(F.col(subject).alias("subject")).distinct()
     index = indexed(compiled(rules), subjects)
     fetched = subjects.select("subject", F.explode(words_of(F.col("subject"))).alias("word")).join(index, "word")
     fits = fetched.where(F.regexp_like("subject", F.col("regex")))
     order = F.struct("level", -F.length("pattern"), F.when(F.col("verdict") == "block", 0).otherwise(1), "pattern")
-    best = fits.groupBy(F.col("subject").alias("_subject")).agg(F.min_by(F.struct(F.col("pattern").alias("rule"), "level", "verdict"), order).alias("_best"))
-    out = rows.join(best, "_subject", "left").drop("_subject").select("*", "_best.rule", "_best.level", F.coalesce("_best.verdict", F.lit(otherwise)).alias("verdict"))
-    return out.drop("_best")
+    decided = fits.groupBy(F.col("subject").alias(subject)).agg(F.min_by(F.struct(F.col("pattern").alias("rule"), "level", "verdict"), order).alias(best))
+    out = rows.join(decided, subject, "left").drop(subject)
+    return out.select("*", f"{best}.rule", f"{best}.level", F.coalesce(f"{best}.verdict", F.lit(otherwise)).alias("verdict")).drop(best)
 
 
 def op11_urls(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -214,3 +214,14 @@ def test_alignment_table_counts_copies(spark):
     hello = model.encode("hello")[0]
     assert [r["count"] for r in rows if r.b == hello] == [4]
     assert all(r.best for r in rows)
+
+
+def test_columns_that_clash_with_those_of_the_operators(spark):
+    odd = spark.createDataFrame([("http://a.net/", "t", 1, 2, 3, 4)], "url string, text string, _subject int, _best_ int, Verdict int, _Key int")
+    judged = urls.judge(odd, urls.rules_table(spark, urls.CONTRACT_RULES))
+    assert judged.columns == ["url", "text", "_subject", "_best_", "_Key", "host", "path", "rule", "level", "verdict"]
+    assert judged.first().asDict() | {"text": "t", "_subject": 1, "_best_": 2, "_Key": 4, "verdict": "block"} == judged.first().asDict()
+    aligned = alignment.align(odd.withColumnRenamed("Verdict", "N_A").withColumnRenamed("url", "key")).first().asDict()
+    assert aligned["_Key"] == 4 and aligned["key"] == "http://a.net/" and aligned["n_a"] == 1 and "N_A" not in aligned
+    named = spark.createDataFrame([("en", "a b", "s", 1, 2)], "lang string, text string, source string, sources int, n int")
+    assert divergence.divergence(named).count() == 0
