@@ -190,7 +190,7 @@ def test_a_focus_feeds_its_own_fields(spark):
 
 def test_footer_lines_end_at_blocks_and_breaks():
     page = markup.Page("<div id=footer>a <b>b</b><br>c<p>d</p>e</div><p>no</p><footer>f</footer>")
-    assert markup.footer_lines(page) == ["a b", "c", "d", "e", "f"]
+    assert markup.footer_lines(page) == ["a b", "c d", "e", "f"]  # a start tag breaks no line
     assert markup.footer_lines(markup.Page(None)) == []
 
 
