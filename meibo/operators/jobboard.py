@@ -51,12 +51,14 @@ def table_rows(html: str | Column) -> Column:
     """array<struct<key, label, value, cell>> of rows that have a heading and a cell, the first of each label."""
     rows = F.regexp_extract_all(text(html), F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), F.lit(1))
     cell = lambda r, tag: F.regexp_extract(r, rf"(?is)<{tag}[^>]*>(.*?)</{tag}>", 1)
+    read = lambda label, own: F.struct(label_key(label).alias("key"), label.alias("label"), strip_html_lines(own).alias("value"), own.alias("cell"))
     made = F.transform(
         F.filter(rows, lambda r: r.rlike("(?is)<th[ >].*</th>") & r.rlike("(?is)<td[ >].*</td>")),
-        lambda r: F.struct(label_key(strip_html(cell(r, "th"))).alias("key"), strip_html(cell(r, "th")).alias("label"), strip_html_lines(cell(r, "td")).alias("value"), cell(r, "td").alias("cell")),
+        lambda r: x.once(strip_html(cell(r, "th")), lambda label: x.once(cell(r, "td"), lambda own: read(label, own))),
     )
-    keys = F.transform(made, lambda r: r["key"])
-    return F.filter(made, lambda r, i: (r["key"] != "") & (F.array_position(keys, r["key"]) == i + 1))
+    # what a lambda names is worked out for each of its rows: rows and keys are made once and bound
+    first = lambda b: F.filter(b["made"], lambda r, i: (r["key"] != "") & (F.array_position(b["keys"], r["key"]) == i + 1))
+    return x.once(made, lambda m: x.once(F.struct(m.alias("made"), F.transform(m, lambda r: r["key"]).alias("keys")), first))
 
 
 def row_value(rows: Column, exact: tuple[str, ...], partial: tuple[str, ...] = ()) -> Column:
@@ -104,7 +106,7 @@ def contact_rows(df: DataFrame, keys: list[str], html: str = "html") -> DataFram
     known = F.regexp_extract(text(html), r"""(?is)<table[^>]*class=["']dataTable last dataTable02 ver02["'][^>]*>(.*?)</table>""", 1)
     tables = F.transform(F.regexp_extract_all(text(html), F.lit(r"(?is)<table[^>]*>(.*?)</table>"), F.lit(1)), table_rows)
     some = F.flatten(F.filter(tables, lambda t: F.exists(t, lambda r: r["label"].isin(*CONTACT))))
-    rows = df.select(*keys, F.explode(F.when(known != "", table_rows(known)).otherwise(some)).alias("r"))
+    rows = df.select(*keys, F.explode_outer(F.when(known != "", table_rows(known)).otherwise(some)).alias("r")).where("r IS NOT NULL")
     return rows.select(*keys, "r.label", "r.value")
 
 
