@@ -8,6 +8,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from meibo.operators.markup import slices
+
 # Words that end an office's name, lines that end a block, and shapes of contact data.
 _HEAD = re.compile(r"^(.{1,50}?(?:本社|本店|支店|営業所|工場|事業所|センター|事業部|営業部|管理部|総務部|経理部|人事部))(?:\s|$|[:：])")
 _STOP = re.compile(r"^(?:会社情報|業種|創業|設立|資本金|従業員数|取引先|経営理念|沿革|Access|Contact|History)")
@@ -62,7 +64,7 @@ def extract_offices(df: DataFrame, key: str = "company_id", seq: str = "page_seq
     schema = f"`{key}` {df.schema[key].dataType.simpleString()}, seq long, office_name string, company string, " + ", ".join(f"{a} array<string>" for a in arrays)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for k, page, name, text in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
                 for n, o in enumerate(office_blocks((text or "").split("\n"))):
@@ -92,7 +94,7 @@ def labelled_values(df: DataFrame, labels: dict[str, str], key: str = "company_i
     schema = f"`{key}` {df.schema[key].dataType.simpleString()}, field string, value string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 own = (text or "").split("\n")
