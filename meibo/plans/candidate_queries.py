@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from meibo.functions import text as x
 from meibo.operators import lines, pages
 from meibo.plans import text_queries as t
-from meibo.schema import companies, with_companies
+from meibo.schema import dealt_companies, with_companies
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -32,7 +32,7 @@ PAGES = f"""SELECT id AS company_id, 0 AS page_seq, CAST(NULL AS string) AS focu
 
 
 def decoy_pages(spark, sf_dir):
-    return spark.sql(PAGES, companies=companies(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism, "id"))
+    return spark.sql(PAGES, companies=dealt_companies(spark, sf_dir))
 
 
 def _found(spark, sf_dir, field: str):
@@ -119,7 +119,9 @@ def _staff_lines(spark, sf_dir):
     own = decoy_pages(spark, sf_dir).select("company_id", F.split(pages.strip_html_lines("html"), "\n").alias("ls"))
     rows = own.select("company_id", F.posexplode(F.transform("ls", lambda s, k: F.struct(s.alias("line"), F.slice("ls", k + 2, 5).alias("after")))).alias("k", "r")).select("company_id", "k", "r.*")
     read = lines.finds(lines.staff_blocks(F.col("line"), F.col("after"), F.col("k")))
-    found = rows.select("company_id", F.inline_outer(read)).where("raw IS NOT NULL").select("company_id", lines.staff_value(F.col("raw")).alias("value"), "score")
+    found = rows.select("company_id", F.inline_outer(read)).where("raw IS NOT NULL").groupBy("company_id", "raw").agg(F.max("score").alias("score"))
+    # the outer form, since Spark would read every value again for a filter
+    found = found.select("company_id", "score", F.inline_outer(F.array(F.struct(lines.staff_value(F.col("raw")).alias("value")))))
     return found.groupBy("company_id", "value").agg(F.max("score").alias("score")).where("value IS NOT NULL")
 
 
