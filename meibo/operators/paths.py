@@ -46,6 +46,8 @@ FOCUS_PATHS = {
 }
 #: The focus whose guessed addresses come before its links.
 GUESSED_FIRST = "company_core"
+#: The most pages of any focus.
+MOST = max(most for _, most, _ in p.LINK_LIMITS.values())
 
 
 def guessed_paths(focus: str) -> list[str]:
@@ -58,33 +60,44 @@ def _words(focus: str) -> list[tuple[str, int]]:
     return [*p.LINK_RULES[focus], *([(p.RECRUIT, 0), (p.HEADCOUNT, 0)] if focus == "employee_count" else [])]
 
 
-def _points(focus: str, mask: Column) -> Column:
-    hit = lambda n: mask.bitwiseAND(1 << n) != 0
+def _lows(focus: str) -> list[int]:
+    """The points of a focus, less than nothing, by the words that are hit (a bit for each)."""
     words = _words(focus)
-    score = sum((F.when(hit(n), points).otherwise(0) for n, (_, points) in enumerate(words) if points), F.lit(0))
-    return score + F.when(hit(len(words) - 2) & ~hit(len(words) - 1), -250).otherwise(0) if focus == "employee_count" else score
+    jobs, staff = 1 << (len(words) - 2), 1 << (len(words) - 1)
+    barred = lambda mask: focus == "employee_count" and mask & jobs and not mask & staff
+    return [(250 if barred(mask) else 0) - sum(points for n, (_, points) in enumerate(words) if mask >> n & 1) for mask in range(1 << len(words))]
 
 
-def guessed_links(pages: DataFrame, key: str, url: str = "url") -> DataFrame:
-    """(key, focus, link, score, n): the guessed addresses of each page's site, scored as links of their own path's label.
+def _sites(pages: DataFrame, key: str, url: str) -> DataFrame:
+    """(key, head, own): the site of each page, and for each focus the words that the site itself holds.
 
-    No word of a rule holds a slash, so a word is in an address if it is in the site or in the path. The
-    paths' words are known beforehand; only the site is looked through for each page.
+    The words are looked for before anything is exploded, once for each page and not for each guessed address.
     """
     site = F.lower(F.regexp_extract(text(url), r"(?i)^(https?://[^/?#]+)", 1))
-    each = []
-    for focus in p.LINK_LIMITS:
-        words = _words(focus)
-        masks = [(path, sum(bool(re.search(w, path, re.IGNORECASE)) << n for n, (w, _) in enumerate(words))) for path in guessed_paths(focus)]
-        paths = F.array(*[F.struct(F.lit(path).alias("path"), F.lit(mask).alias("mask"), F.lit(n).alias("n")) for n, (path, mask) in enumerate(masks)])
-        own = sum((F.when(F.col("site").rlike(f"(?i){w}"), 1 << n).otherwise(0) for n, (w, _) in enumerate(words)), F.lit(0))
-        rows = pages.select(key, site.alias("site")).where("site <> ''").select(key, "site", own.alias("own"), F.explode(paths).alias("g"))
-        score = _points(focus, F.col("own").bitwiseOR(F.col("g.mask")))
-        each.append(rows.select(key, F.lit(focus).alias("focus"), F.concat("site", "g.path").alias("link"), score.cast("int").alias("score"), "g.n"))
-    out = each[0]
-    for rows in each[1:]:
-        out = out.unionByName(rows)
-    return out
+    hit = lambda focus: sum((F.when(F.col("head").rlike(f"(?i){w}"), 1 << n).otherwise(0) for n, (w, _) in enumerate(_words(focus))), F.lit(0))
+    return pages.select(key, site.alias("head")).where("head <> ''").select(key, "head", F.array(*[hit(f) for f in p.LINK_LIMITS]).alias("own"))
+
+
+def _guessed(focus: str, n: int) -> Column:
+    """The guessed addresses of ``sites`` in order, scored as links of their own path's label.
+
+    No word of a rule holds a slash, so a word is in an address if it is in the site or in the path. The
+    paths' words are known beforehand; they stand as a site without words orders them, which most are, so
+    that little is left to sort.
+    """
+    lows = _lows(focus)
+    masks = [(path, sum(bool(re.search(w, path, re.IGNORECASE)) << k for k, (w, _) in enumerate(_words(focus)))) for path in guessed_paths(focus)]
+    ordered = sorted(enumerate(masks), key=lambda g: (lows[g[1][1]], g[0]))
+    # in one expression each: a Column for every value takes seconds to build
+    paths = F.expr(f"array({', '.join(f"named_struct('n', {k}, 'path', '{path}', 'mask', {mask})" for k, (path, mask) in ordered)})")
+    points = F.expr(f"array({', '.join(map(str, lows))})")
+    low = lambda s, g: F.get(points, F.get(s["own"], F.lit(n)).bitwiseOR(g["mask"]))
+    one = lambda s: F.transform(paths, lambda g: F.struct(low(s, g).alias("low"), g["n"].alias("n"), s["head"].alias("head"), g["path"].alias("path")))
+    return F.sort_array(F.flatten(F.transform("sites", one)))
+
+
+def _address(r: Column) -> Column:
+    return F.concat(r["head"], r["path"])
 
 
 def candidate_pages(pages: DataFrame, links: DataFrame, key: str, url: str = "url") -> DataFrame:
@@ -92,15 +105,30 @@ def candidate_pages(pages: DataFrame, links: DataFrame, key: str, url: str = "ur
 
     Links are of the page's own site and above the focus's least score; guessed addresses follow them, but
     for the company itself come first. Both go by score, then by their own order. An address stands in its
-    first place only; it is looked up once for each page and focus before anything is put in order.
+    first place only. Only links and sites are shuffled: the guessed addresses, many for each page, are put
+    in order and cut within the row that holds a page's links. No row holds more of them than ``MOST`` for
+    each focus, nor more sites for each set of words that they hold; more can have no place.
     """
-    own = links.where(F.col("same_origin") & ~text("link").rlike(f"(?i){p.DENIED}"))
-    each = [F.struct(F.lit(f).alias("focus"), p.link_score(f).cast("int").alias("score"), F.lit(low).alias("low")) for f, (low, _, _) in p.LINK_LIMITS.items()]
-    real = own.select(key, "link", "seq", F.inline(F.array(*each))).where("score > low").select(key, "focus", "link", "score", F.col("seq").alias("n"), F.lit(False).alias("guessed"))
-    made = guessed_links(pages, key, url).withColumn("guessed", F.lit(True))
-    turn = F.when(F.col("focus") == GUESSED_FIRST, ~F.col("guessed")).otherwise(F.col("guessed"))
-    rows = real.unionByName(made).withColumn("at", F.struct(turn.alias("turn"), (-F.col("score")).alias("low"), "n"))
-    once = rows.groupBy(key, "focus", "link").agg(F.min(F.struct("at", "score", "guessed")).alias("r")).select(key, "focus", "link", "r.*")
-    most = F.create_map(*[F.lit(v) for f, (_, n, _) in p.LINK_LIMITS.items() for v in (f, n)])
-    place = F.row_number().over(Window.partitionBy(key, "focus").orderBy("at"))
-    return once.withColumn("place", place).where(F.col("place") <= F.element_at(most, F.col("focus"))).select(key, "focus", "link", "score", "place", "guessed")
+    own = p.focus_scores(links.where(F.col("same_origin") & ~text("link").rlike(f"(?i){p.DENIED}")))
+    each = [F.struct(F.lit(f).alias("focus"), F.col(f"score_{f}").alias("score"), F.lit(low).alias("least")) for f, (low, _, _) in p.LINK_LIMITS.items()]
+    real = own.select(key, "link", "seq", F.inline(F.array(*each))).where("score > least")
+    real = real.select(key, "focus", (-F.col("score")).alias("low"), F.col("seq").alias("n"), F.col("link").alias("head"), F.lit(None).cast("array<int>").alias("own"))
+    sites = _sites(pages, key, url).select(key, F.lit("").alias("focus"), F.lit(0).alias("low"), F.lit(0).alias("n"), "head", "own")
+    once = real.unionByName(sites).groupBy(key, "focus", "head", "own").agg(F.min(F.struct("low", "n")).alias("at"))
+    place = F.row_number().over(Window.partitionBy(key, "focus", "own").orderBy("at", "head"))
+    first = once.withColumn("place", place).where(F.col("place") <= MOST)
+    link = F.struct("at.low", "at.n", "head", F.lit("").alias("path"))
+    held = first.groupBy(key).agg(
+        F.collect_list(F.when(F.col("focus") == "", F.struct("head", "own"))).alias("sites"),
+        *[F.sort_array(F.collect_list(F.when(F.col("focus") == f, link))).alias(f"real_{f}") for f in p.LINK_LIMITS],
+    )
+    held = held.select(key, *[f"real_{f}" for f in p.LINK_LIMITS], *[_guessed(f, n).alias(f"made_{f}") for n, f in enumerate(p.LINK_LIMITS)])
+    kinds = {f: ("made", "real") if f == GUESSED_FIRST else ("real", "made") for f in p.LINK_LIMITS}
+    held = held.select("*", *[F.transform(f"{kinds[f][0]}_{f}", _address).alias(f"stand_{f}") for f in p.LINK_LIMITS])  # once, not for each address that is looked up
+    taken = []
+    for f, (_, most, _) in p.LINK_LIMITS.items():
+        a, b = (F.col(f"{kind}_{f}") for kind in kinds[f])
+        others = F.when(F.size(a) == 0, b).otherwise(F.filter(b, lambda r: ~F.array_contains(f"stand_{f}", _address(r))))  # noqa: B023
+        taken.append(F.struct(F.lit(f).alias("focus"), F.slice(F.concat(a, others), 1, most).alias("rows")))
+    rows = held.select(key, F.inline(F.array(*taken))).select(key, "focus", F.posexplode("rows").alias("place", "r"))
+    return rows.select(key, "focus", _address(F.col("r")).alias("link"), (-F.col("r.low")).alias("score"), (F.col("place") + 1).alias("place"), (F.col("r.path") != "").alias("guessed"))
